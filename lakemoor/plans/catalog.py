@@ -334,7 +334,7 @@ def sample_table(at: Mounted) -> DataFrame:
 # -- SQL surface -------------------------------------------------------------------------
 
 STAR_REVENUE = """
-    SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM {db}.lineitem
     JOIN {db}.orders ON l_orderkey = o_orderkey
     JOIN {db}.customer ON o_custkey = c_custkey

@@ -227,9 +227,7 @@ class Lake:
             found = bounded(normalise(df), limit).fetch()
             return True, True, None, None, found.row_count, found.truncated
         except Exception as error:
-            read: Callable | None = getattr(error, "getCondition", None)
-            condition = read() if read else None
-            return False, False, condition, f"{type(error).__name__}: {error}", None, None
+            return False, False, _condition(error), f"{type(error).__name__}: {error}", None, None
 
     # -- session -----------------------------------------------------------------------
 
@@ -291,6 +289,13 @@ class Lake:
         self._known.clear()
 
 
+def _condition(error: Exception) -> str | None:
+    """The error condition; an error that comes out of a task only has it in its text."""
+    read: Callable[[], str | None] | None = getattr(error, "getCondition", None)
+    named = re.match(r"\[([A-Z0-9_.]+)\]", str(error))
+    return (read() if read else None) or (named.group(1) if named else None)
+
+
 @contextmanager
 def _quiet_analysis():
     """Keep names that are about to be mounted out of the error log; errors are still raised."""
