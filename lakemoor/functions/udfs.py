@@ -9,6 +9,8 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +35,18 @@ def weighted_means(df: DataFrame, keys: Sequence[str], value: str, weight: str)
     """
     names = list(keys)
 
-    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = rows.assign(_product=rows[value] * rows[weight], _weight=rows[weight])
-            yield rows.groupby(names, dropna=False)[["_product", "_weight"]].sum().reset_index()
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows.append_column("_product", pc.multiply(rows["_value"], rows["_weight"]))
+            sums = rows.group_by(names).aggregate([("_product", "sum"), ("_weight", "sum")])
+            ordered = sums.select([*names, "_product_sum", "_weight_sum"])
+            yield from ordered.rename_columns([*names, "_product", "_weight"]).to_batches()
 
-    picked = df.select(*names, F.col(value).cast("double"), F.col(weight).cast("double"))
-    picked = picked.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+    picked = df.select(*names, F.col(value).cast("double").alias("_value"), F.col(weight).cast("double").alias("_weight"))
+    picked = picked.where(F.col("_value").isNotNull() & F.col("_weight").isNotNull())
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(names)])
-    partial = picked.mapInPandas(reduce_batches, f"{key_types}, _product double, _weight double")
+    partial = picked.mapInArrow(reduce_batches, f"{key_types}, _product double, _weight double")
     return partial.groupBy(*names).agg(
         F.try_divide(F.sum("_product"), F.sum("_weight")).alias("weighted_mean"), F.sum("_weight").alias("weight")
     )

@@ -125,8 +125,8 @@ def float_text(number: Column) -> Column:
     spelled = F.when(F.endswith(spelled, F.lit(".")), F.concat(spelled, F.lit("0"))).otherwise(spelled)
     mantissa = F.regexp_replace(F.substring_index(java, "E", 1), "\\.0$", "")
     power = F.substring_index(java, "E", -1)
-    digits = F.lpad(F.replace(power, F.lit("-"), F.lit("")), 2, "0")
-    digits = F.when(F.char_length(power) > 3, F.replace(power, F.lit("-"), F.lit(""))).otherwise(digits)
+    digits = F.replace(power, F.lit("-"), F.lit(""))
+    digits = F.when(F.char_length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
     sign = F.when(F.startswith(power, F.lit("-")), "e-").otherwise("e+")
     return (
         F.when(number.isNull(), F.lit(None).cast("string"))

@@ -70,7 +70,7 @@ class _Segments:
     keys: Sequence[str]
     most_summaries: int
 
-    def window(self, order: Sequence[Column]):
+    def window(self, order: Sequence[Column | str]):
         return Window.partitionBy("_seg", *self.keys).orderBy(*order)
 
     def chain(self):
@@ -85,7 +85,7 @@ class _Segments:
         return rows.join(side, same).drop(*[f"_s_{c}" for c in ("_seg", *self.keys)])
 
 
-def _segments(groups: SplitGroups, keys: Sequence[str], order: Sequence[Column], most_rows: int) -> _Segments:
+def _segments(groups: SplitGroups, keys: Sequence[str], order: Sequence[Column | str], most_rows: int) -> _Segments:
     count = max(2, ceil(2 * groups.large_rows / most_rows))
     placed = groups.large.repartitionByRange(count, *[F.col(k) for k in keys], *order)
     rows = pinned(placed.withColumn("_seg", F.spark_partition_id()))
@@ -100,7 +100,7 @@ def _both(small: DataFrame, large: DataFrame) -> DataFrame:
 def with_running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Column | str],
     sums: Mapping[str, Column],
     most_rows: int = MOST_GROUP_ROWS,
 ) -> DataFrame:
@@ -127,7 +127,7 @@ def _added(here: Column, before: Column) -> Column:
 def with_last_known(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Column | str],
     value: str,
     out: str,
     most_rows: int = MOST_GROUP_ROWS,
@@ -242,7 +242,7 @@ def _tile(row: Column, total: Column, tiles: int) -> Column:
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Column | str],
     value: str,
     before: int = 1,
     after: int = 1,
@@ -294,7 +294,7 @@ def with_neighbours(
 def with_trailing_rows(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Column | str],
     value: Column,
     out: str,
     rows: int,
@@ -361,7 +361,7 @@ def with_trailing_range(
     return _both(small, large.join(answers, F.col(id) == F.col("_id")))
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their ``place``.
 
     Spark keeps ``k`` rows per group in every map task before it shuffles (window group limit),

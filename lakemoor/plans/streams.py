@@ -121,11 +121,11 @@ def stream_with_customers(at: Mounted) -> DataFrame:
 @query(
     "P87",
     """
-    SELECT user_id, count(*) AS n, round(sum(value), 2) AS total, max(epoch_ms(ts)) AS last_ms
+    SELECT user_id, count(*) AS n, round(sum(value), 2) AS total, max(epoch_us(ts) // 1000) AS last_ms
     FROM events GROUP BY user_id
     """,
 )
 def stream_totals(at: Mounted) -> DataFrame:
-    state = running_totals(_events(at), "user_id", "bigint", "value", "ts", spread_by="event_id")
+    state = running_totals(_events(at), "user_id", "value", "ts", spread_by="event_id")
     newest = newest_rows(run_batches(state, "stream_totals", "update"), ["user_id", "shard"])
     return merge_shards(newest, "user_id").withColumn("total", F.round("total", 2))

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemoor.functions.cells import NO_RESULT, text_rows
@@ -168,7 +169,7 @@ class Lake:
         tried: set[tuple[str, str]] = set()
         while True:
             try:
-                with _quiet_analysis():
+                with _quiet_errors():
                     return self.spark.sql(text)
             except AnalysisException as error:
                 target = self._unmounted(error) if may_mount else None
@@ -215,7 +216,8 @@ class Lake:
     def outcomes(self, statements: Iterable[str], limit: int | None = None) -> DataFrame:
         """Run statements in order; each becomes a row, and an error does not stop the rest."""
         limit = checked_limit(self.default_limit if limit is None else limit)
-        rows = [(i, *self._outcome(text, limit)) for i, text in enumerate(statements)]
+        with _quiet_errors():
+            rows = [(i, *self._outcome(text, limit)) for i, text in enumerate(statements)]
         return self.spark.createDataFrame(rows, OUTCOME_SCHEMA)
 
     def _outcome(self, text: str, limit: int) -> tuple:
@@ -227,7 +229,9 @@ class Lake:
             found = bounded(normalise(df), limit).fetch()
             return True, True, None, None, found.row_count, found.truncated
         except Exception as error:
-            return False, False, _condition(error), f"{type(error).__name__}: {error}", None, None
+            read: Callable[[], str | None] | None = getattr(error, "getCondition", None)
+            condition = read() if read else None
+            return False, False, condition, f"{type(error).__name__}: {error}", None, None
 
     # -- session -----------------------------------------------------------------------
 
@@ -289,17 +293,10 @@ class Lake:
         self._known.clear()
 
 
-def _condition(error: Exception) -> str | None:
-    """The error condition; an error that comes out of a task only has it in its text."""
-    read: Callable[[], str | None] | None = getattr(error, "getCondition", None)
-    named = re.match(r"\[([A-Z0-9_.]+)\]", str(error))
-    return (read() if read else None) or (named.group(1) if named else None)
-
-
 @contextmanager
-def _quiet_analysis():
-    """Keep names that are about to be mounted out of the error log; errors are still raised."""
-    log = logging.getLogger("SQLQueryContextLogger")
+def _quiet_errors():
+    """Keep errors that are handled here, such as names about to be mounted, out of the log."""
+    log = PySparkLogger.getLogger("SQLQueryContextLogger")
     level = log.level
     log.setLevel(logging.CRITICAL)
     try:

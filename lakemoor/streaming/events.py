@@ -50,9 +50,6 @@ def first_of_copies(stream: DataFrame, keys: Sequence[str], shards: int = SHARDS
     return once_each.dropDuplicatesWithinWatermark(list(keys))
 
 
-_TOTALS = "shard int, n bigint, total double, last_ms bigint"
-
-
 def _count_up(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, total, last_ms = state.get if state.exists else (0, 0.0, 0)
     for rows in chunks:
@@ -60,11 +57,10 @@ def _count_up(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         total += float(rows["value"].sum())
         last_ms = max(last_ms, int(rows["ms"].max()))
     state.update((n, total, last_ms))
-    *names, shard = key
-    yield pd.DataFrame([[*names, shard, n, total, last_ms]])
+    yield pd.DataFrame({"k": [key[0]], "shard": [key[1]], "n": [n], "total": [total], "last_ms": [last_ms]})
 
 
-def running_totals(stream: DataFrame, key: str, key_type: str, value: str, at: str, spread_by: str,
+def running_totals(stream: DataFrame, key: str, value: str, at: str, spread_by: str,
                    shards: int = SHARDS) -> DataFrame:
     """Totals per key, kept as state and emitted anew (update mode) when rows arrive.
 
@@ -72,18 +68,20 @@ def running_totals(stream: DataFrame, key: str, key_type: str, value: str, at: s
     :func:`merge_shards` adds the shards up.
     """
     rows = stream.select(
-        F.col(key),
+        F.col(key).alias("k"),
         F.pmod(F.xxhash64(spread_by), F.lit(shards)).cast("int").alias("shard"),
         F.col(value).cast("double").alias("value"),
         F.unix_millis(F.col(at).cast("timestamp")).alias("ms"),
     )
-    return rows.groupBy(key, "shard").applyInPandasWithState(
+    key_type = rows.schema["k"].dataType.simpleString()
+    counted = rows.groupBy("k", "shard").applyInPandasWithState(
         _count_up,
-        f"`{key}` {key_type}, {_TOTALS}",
+        f"k {key_type}, shard int, n bigint, total double, last_ms bigint",
         "n bigint, total double, last_ms bigint",
         "update",
         "NoTimeout",
     )
+    return counted.withColumnRenamed("k", key)
 
 
 def merge_shards(totals: DataFrame, key: str) -> DataFrame:
