@@ -52,11 +52,23 @@ def weighted_means(df: DataFrame, keys: Sequence[str], value: str, weight: str)
     )
 
 
-@F.udtf(returnType=T.StructType().add("place", T.IntegerType()).add("word", T.StringType()))
+_WORD = re.compile(r"[^ \t\r\n]+")
+_WORD_ROW = T.StructType().add("word", T.StringType()).add("uses", T.IntegerType()).add("first_place", T.IntegerType())
+
+
+@F.udtf(returnType=_WORD_ROW)
 class Words:
-    """The words of a text, in order: what is left between blanks and line breaks."""
+    """The distinct words of a text with their uses and the place of the first one.
+
+    Words are what is left between blanks and line breaks. Counting within the text keeps the
+    number of rows that leave Python, and are shuffled, small.
+    """
 
     def eval(self, text: str):
-        if text is not None:
-            for place, found in enumerate(re.finditer(r"[^ \t\r\n]+", text)):
-                yield place, found.group()
+        if text is None:
+            return
+        found: dict[str, list[int]] = {}
+        for place, word in enumerate(_WORD.findall(text)):
+            found.setdefault(word, [0, place])[0] += 1
+        for word, (uses, first_place) in found.items():
+            yield word, uses, first_place

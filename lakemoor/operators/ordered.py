@@ -384,7 +384,8 @@ def exact_quantiles(
     around each share are picked by their running counts.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_running(counts, keys, [F.col(value)], {"_end": F.col("_n")}, most_rows)
+    counts = pinned(counts)  # read three times below
+    placed = with_running(counts, keys, [value], {"_end": F.col("_n")}, most_rows)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     totals = totals.withColumnsRenamed({k: f"_t_{k}" for k in keys})
     joined = placed.join(totals, _all_equal([(placed[k], F.col(f"_t_{k}")) for k in keys]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemoor.plans.registry import SUFFIX, Mounted, query
-from lakemoor.streaming.events import first_of_copies, merge_shards, running_totals, sessions, windowed
+from lakemoor.streaming.events import first_of_copies, running_totals, sessions, windowed
 from lakemoor.streaming.tables import (
     event_time,
     last_batch,
@@ -126,6 +126,6 @@ def stream_with_customers(at: Mounted) -> DataFrame:
     """,
 )
 def stream_totals(at: Mounted) -> DataFrame:
-    state = running_totals(_events(at), "user_id", "value", "ts", spread_by="event_id")
-    newest = newest_rows(run_batches(state, "stream_totals", "update"), ["user_id", "shard"])
-    return merge_shards(newest, "user_id").withColumn("total", F.round("total", 2))
+    state = running_totals(_events(at), "user_id", "value", "ts")
+    newest = newest_rows(run_batches(state, "stream_totals", "update"), ["user_id"])
+    return newest.withColumn("total", F.round("total", 2))

@@ -45,5 +45,5 @@ def words_of_texts(at: Mounted) -> DataFrame:
     documents = at.table("documents").select("lang", "text")
     words = documents.lateralJoin(Words(F.col("text").outer()))
     return words.groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("uses"), F.min("place").alias("first_place")
+        F.sum("uses").alias("uses"), F.min("first_place").alias("first_place")
     )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-# Ways a key is spread over before its state is brought together.
+# Parts that the copies of a key are spread over before they meet.
 SHARDS = 16
 
 
@@ -50,41 +51,41 @@ def first_of_copies(stream: DataFrame, keys: Sequence[str], shards: int = SHARDS
     return once_each.dropDuplicatesWithinWatermark(list(keys))
 
 
+def _reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per key and Arrow batch."""
+    for batch in batches:
+        sums = pa.Table.from_batches([batch]).group_by("k")
+        reduced = sums.aggregate([("n", "sum"), ("total", "sum"), ("last_ms", "max")])
+        ordered = reduced.select(["k", "n_sum", "total_sum", "last_ms_max"])
+        yield from ordered.rename_columns(["k", "n", "total", "last_ms"]).to_batches()
+
+
 def _count_up(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, total, last_ms = state.get if state.exists else (0, 0.0, 0)
     for rows in chunks:
-        n += len(rows)
-        total += float(rows["value"].sum())
-        last_ms = max(last_ms, int(rows["ms"].max()))
+        n += int(rows["n"].sum())
+        total += float(rows["total"].sum())
+        last_ms = max(last_ms, int(rows["last_ms"].max()))
     state.update((n, total, last_ms))
-    yield pd.DataFrame({"k": [key[0]], "shard": [key[1]], "n": [n], "total": [total], "last_ms": [last_ms]})
+    yield pd.DataFrame({"k": [key[0]], "n": [n], "total": [total], "last_ms": [last_ms]})
 
 
-def running_totals(stream: DataFrame, key: str, value: str, at: str, spread_by: str,
-                   shards: int = SHARDS) -> DataFrame:
+def running_totals(stream: DataFrame, key: str, value: str, at: str) -> DataFrame:
     """Totals per key, kept as state and emitted anew (update mode) when rows arrive.
 
-    State is held per ``(key, shard)``, rows stream through in chunks, and
-    :func:`merge_shards` adds the shards up.
+    Input batches are reduced to one row per key before the shuffle, so the task that keeps a hot
+    key sees a small part of its rows, and sees them in chunks.
     """
     rows = stream.select(
         F.col(key).alias("k"),
-        F.pmod(F.xxhash64(spread_by), F.lit(shards)).cast("int").alias("shard"),
-        F.col(value).cast("double").alias("value"),
-        F.unix_millis(F.col(at).cast("timestamp")).alias("ms"),
+        F.lit(1).cast("bigint").alias("n"),
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("total"),
+        F.unix_millis(F.col(at).cast("timestamp")).alias("last_ms"),
     )
     key_type = rows.schema["k"].dataType.simpleString()
-    counted = rows.groupBy("k", "shard").applyInPandasWithState(
-        _count_up,
-        f"k {key_type}, shard int, n bigint, total double, last_ms bigint",
-        "n bigint, total double, last_ms bigint",
-        "update",
-        "NoTimeout",
+    totals = "n bigint, total double, last_ms bigint"
+    reduced = rows.mapInArrow(_reduce_batches, f"k {key_type}, {totals}")
+    counted = reduced.groupBy("k").applyInPandasWithState(
+        _count_up, f"k {key_type}, {totals}", totals, "update", "NoTimeout"
     )
     return counted.withColumnRenamed("k", key)
-
-
-def merge_shards(totals: DataFrame, key: str) -> DataFrame:
-    return totals.groupBy(key).agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_ms").alias("last_ms")
-    )

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lakemoor.streaming.events import first_of_copies, merge_shards, running_totals, sessions, windowed
+from lakemoor.streaming.events import first_of_copies, running_totals, sessions, windowed
 from lakemoor.streaming.tables import (
     event_time,
     last_batch,
@@ -99,9 +99,9 @@ def test_copies_are_dropped(spark, tmp_path):
 
 
 def test_totals_over_batches(spark, late):
-    state = running_totals(late, "user_id", "value", "ts", spread_by="event_id", shards=3)
-    newest = newest_rows(run_batches(state, "totals", "update"), ["user_id", "shard"])
-    found = {r.user_id: (r.n, r.total) for r in merge_shards(newest, "user_id").collect()}
+    state = running_totals(late, "user_id", "value", "ts")
+    newest = newest_rows(run_batches(state, "totals", "update"), ["user_id"])
+    found = {r.user_id: (r.n, r.total) for r in newest.collect()}
     assert found == {7: (5, 143.0), 8: (3, 20.0)}
 
 
