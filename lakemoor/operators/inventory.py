@@ -73,6 +73,17 @@ def mount_report(report: DataFrame, max_listed: int = LISTED_TABLES) -> DataFram
     )
 
 
+def mount_text(report: DataFrame, max_listed: int = LISTED_TABLES) -> str:
+    """:func:`mount_report` as text, one line per database and one per failure shown."""
+    lines = []
+    for row in mount_report(report, max_listed).orderBy("database").collect():
+        lines.append(f"Mounted {row['mounted_count']} table(s) in {row['database']}: {row['mounted']}")
+        if row["failed_count"]:
+            lines.append(f"{row['failed_count']} failed:")
+            lines += [f"  {line}" for line in row["failed"].split("\n")]
+    return "\n".join(lines)
+
+
 def _listed(status: str, text):
     """Texts of one status in request order; at most a report's worth of rows arrives here."""
     picked = F.collect_list(F.when(F.col("status") == status, F.struct("position", text.alias("text"))))

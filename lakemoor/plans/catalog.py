@@ -366,17 +366,12 @@ def bounded_rows(at: Mounted) -> DataFrame:
 
 @query(
     "C2",
-    """
-    SELECT o_orderpriority, least(count(*), 100) AS row_count, count(*) > 100 AS truncated, 100 AS "limit"
-    FROM orders WHERE o_totalprice > 480000 GROUP BY o_orderpriority
-    """,
+    f"""SELECT tbl AS "table", least(n, 100) AS row_count, n > 100 AS truncated, 100 AS "limit" FROM ({_COUNTS})""",
 )
 def bounded_summaries(at: Mounted) -> DataFrame:
     out = None
-    for _, label in _PRIORITIES:
-        df = at.sql(f"SELECT * FROM {{db}}.orders WHERE o_totalprice > 480000 AND o_orderpriority = '{label}'")
-        one = bounded(df, at.lake.default_limit).summary().where("row_count > 0")
-        one = one.select(F.lit(label).alias("o_orderpriority"), "*")
+    for name in TABLES:
+        one = bounded(at.table(name), at.lake.default_limit).summary().select(F.lit(name).alias("table"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 

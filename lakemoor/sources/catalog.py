@@ -78,6 +78,26 @@ class Lake:
         self._known[database.name.lower()] = database
         return database.name
 
+    def add_databases(self, parent: str, exclude: Iterable[str] = (), inside: str = "", suffix: str = "") -> list[str]:
+        """Register every directory below ``parent`` as a database of its name.
+
+        ``exclude`` names those to leave out, in any case; ``inside`` is the folder of each that
+        holds the tables, if they do not lie in it directly.
+        """
+        barred = {name.strip().lower() for name in exclude}
+        found = [e for e in self._list(parent) if e.isDirectory()]
+        names = sorted(e.getPath().getName() for e in found)
+        return [
+            self.add_database("/".join(filter(None, [parent.rstrip("/"), name, inside])), name, suffix)
+            for name in names
+            if name.lower() not in barred and not name.startswith((".", "_"))
+        ]
+
+    def _list(self, directory: str):
+        """The entries of one directory; what lies deeper is not listed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(directory)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+
     def database(self, name: str) -> Database:
         """The registered database of that name, in any case."""
         found = self._known.get(name.lower())
@@ -99,9 +119,7 @@ class Lake:
     def table_names(self, database: str) -> list[str]:
         """Tables stored in a database, mounted or not: one listing of its root directory."""
         info = self.database(database)
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(info.root)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [entry.getPath().getName() for entry in files.listStatus(root)]
+        names = [entry.getPath().getName() for entry in self._list(info.root)]
         return sorted(
             name[: len(name) - len(info.suffix)]
             for name in names
@@ -250,6 +268,18 @@ class Lake:
         ]
         return self.spark.createDataFrame(entries, "key string, value string")
 
+    def describe(self) -> str:
+        """:meth:`snapshot` as text."""
+        entries = {row["key"]: row["value"] for row in self.snapshot().collect()}
+        lines = ["Spark session:"]
+        for key, value in entries.items():
+            if key in ("databases", "registered"):
+                count = len(value.split(", ")) if value else 0
+                lines.append(f"  {key} ({count}): {value or '(none)'}")
+            else:
+                lines.append(f"  {key}: {value}")
+        return "\n".join(lines)
+
     def columns(self, database: str) -> DataFrame:
         """``(database, table, position, column, type)`` of the mounted tables of a database."""
         info = self.database(database)

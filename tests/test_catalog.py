@@ -130,6 +130,19 @@ def test_a_database_stands_for_one_root(spark, tmp_path):
     assert database_name("/x/sf0.01") != database_name("/y/sf0.01")
 
 
+def test_a_directory_of_databases(spark, tmp_path):
+    for name in ("gold", "Silver", "bronze"):
+        spark.range(2).write.parquet(str(tmp_path / name / "Tables" / "t"))
+    (tmp_path / "_logs").mkdir()
+    lake = Lake(spark)
+    assert lake.add_databases(str(tmp_path), exclude=[" silver "], inside="Tables") == ["bronze", "gold"]
+    assert lake.sql("SELECT * FROM gold.t").count() == 2
+    assert lake.table_names("bronze") == ["t"]
+    with pytest.raises(UnknownDatabase):
+        lake.mount("silver", "t")
+    lake.reset()
+
+
 def test_bounded_sql(spark, tmp_path):
     lake = Lake(spark, default_limit=5)
     nums = rows_source(spark, [(i, f"n{i}") for i in range(10)], ["id", "name"])
@@ -227,6 +240,8 @@ def test_snapshot_and_columns(stored):
     entries = {r["key"]: r["value"] for r in lake.snapshot().collect()}
     assert entries["registered"] == db and db.lower() in entries["databases"].lower()
     assert entries["spark_version"] == lake.spark.version
+    text = lake.describe()
+    assert f"spark_version: {lake.spark.version}" in text and f"registered (1): {db}" in text
     columns = [(r["column"], r["type"]) for r in lake.columns(db).orderBy("position").collect()]
     assert columns == [("id", "bigint"), ("name", "string")]
     registered = lake.databases().where("registered").collect()

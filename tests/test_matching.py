@@ -1,4 +1,4 @@
-from lakemoor.operators.inventory import flatten_pages, last_page, mount_report, table_probe, table_sample
+from lakemoor.operators.inventory import flatten_pages, last_page, mount_report, mount_text, table_probe, table_sample
 from lakemoor.operators.matching import exclude_names, lookup_name, resolve_unique_name
 from lakemoor.sources.catalog import REPORT_SCHEMA
 
@@ -71,6 +71,8 @@ def test_report_text(spark):
     short = [("lh", 0, "a", "mounted", None), ("lh", 1, "b", "mounted", None), ("lh", 2, "c", "failed", "boom")]
     (row,) = mount_report(spark.createDataFrame(short, REPORT_SCHEMA)).collect()
     assert (row.mounted, row.failed) == ("a, b", "c: boom")
+    text = mount_text(spark.createDataFrame(short, REPORT_SCHEMA))
+    assert text == "Mounted 2 table(s) in lh: a, b\n1 failed:\n  c: boom"
     (row,) = mount_report(spark.createDataFrame(short[2:], REPORT_SCHEMA)).collect()
     assert (row.mounted_count, row.mounted) == (0, "(none)")
 
