@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemoor.plans.registry import Mounted, query, same_sql
+from lakemoor.sources.files import spread
 
 same_sql(
     "part_strings",
@@ -31,7 +32,7 @@ same_sql(
 )
 def document_strings(at: Mounted) -> DataFrame:
     pieces = F.split("text", " ")
-    return at.table("documents").select(
+    return spread(at.table("documents").select("doc_id", "text"), "doc_id").select(
         "doc_id",
         F.size(pieces).cast("bigint").alias("pieces"),
         pieces[0].alias("first_piece"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakemoor.functions.udfs import Words, elide_batch, weighted_means
 from lakemoor.plans.registry import Mounted, query
+from lakemoor.sources.files import spread
 
 
 @query(
@@ -42,7 +43,7 @@ def weighted_prices(at: Mounted) -> DataFrame:
     """,
 )
 def words_of_texts(at: Mounted) -> DataFrame:
-    documents = at.table("documents").select("lang", "text")
+    documents = spread(at.table("documents").select("doc_id", "lang", "text"), "doc_id")
     words = documents.lateralJoin(Words(F.col("text").outer()))
     return words.groupBy("lang", "word").agg(
         F.sum("uses").alias("uses"), F.min("first_place").alias("first_place")
