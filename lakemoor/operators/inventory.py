@@ -36,9 +36,12 @@ def table_probe(lake: Lake, database: str, tables: Sequence[str] | None = None)
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_sample(lake: Lake, database: str, table: str) -> TextTable:
-    """A few rows of a table as text."""
-    return text_rows(lake.table(database, table).limit(SAMPLE_ROWS), width=SAMPLE_WIDTH)
+def table_sample(lake: Lake, database: str, table: str, order_by: Sequence[str] = ()) -> TextTable:
+    """A few rows of a table as text: any, or the first in the order of ``order_by``."""
+    df = lake.table(database, table)
+    if order_by:
+        df = df.orderBy(*order_by)
+    return text_rows(df.limit(SAMPLE_ROWS), width=SAMPLE_WIDTH)
 
 
 def mount_report(report: DataFrame, max_listed: int = LISTED_TABLES) -> DataFrame:

@@ -25,6 +25,8 @@ from lakemoor.session import pinned
 # Rows of one group that a single task may sort, and rows that may be broadcast.
 MOST_GROUP_ROWS = 5_000_000
 MOST_BROADCAST_ROWS = 10_000
+# Segments per call. Their borders are sampled by the driver; beyond this they get longer instead.
+MOST_SEGMENTS = 20_000
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
@@ -86,7 +88,7 @@ class _Segments:
 
 
 def _segments(groups: SplitGroups, keys: Sequence[str], order: Sequence[Column | str], most_rows: int) -> _Segments:
-    count = max(2, ceil(2 * groups.large_rows / most_rows))
+    count = min(MOST_SEGMENTS, max(2, ceil(2 * groups.large_rows / most_rows)))
     placed = groups.large.repartitionByRange(count, *[F.col(k) for k in keys], *order)
     rows = pinned(placed.withColumn("_seg", F.spark_partition_id()))
     # Each segment border and each group adds at most one (segment, group) pair.

@@ -35,10 +35,21 @@ same_sql(
 )
 
 
-@query("P22")
+@query("P22", "SELECT event_type, true AS users_close, true AS amounts_close FROM events GROUP BY event_type")
 def count_distinct_approx(at: Mounted) -> DataFrame:
-    return (
-        at.table("events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    # Sketches are merged instead of distinct values; the exact counts show how close they come.
+    events = at.table("events")
+    sketched = events.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("users"),
+        F.approx_count_distinct("value", 0.02).alias("amounts"),
+    )
+    exact = events.groupBy("event_type").agg(
+        F.countDistinct("user_id").alias("all_users"), F.countDistinct("value").alias("all_amounts")
+    )
+    return sketched.join(exact, "event_type").select(
+        "event_type",
+        (F.abs(F.col("users") / F.col("all_users") - 1) < 0.1).alias("users_close"),
+        (F.abs(F.col("amounts") / F.col("all_amounts") - 1) < 0.1).alias("amounts_close"),
     )
 
 
@@ -104,13 +115,13 @@ def quantiles_exact(at: Mounted) -> DataFrame:
     return found.select("l_returnflag", *[F.round(name, 4).alias(name) for name in shares])
 
 
-@query("P25")
+@query("P25", "SELECT l_returnflag, true AS within_one_percent FROM lineitem GROUP BY l_returnflag")
 def quantiles_approx(at: Mounted) -> DataFrame:
-    return (
-        at.table("lineitem")
-        .groupBy("l_returnflag")
-        .agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("p50"))
-    )
+    lines = at.table("lineitem")
+    sketched = lines.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("p50"))
+    bounds = exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"low": 0.49, "high": 0.51})
+    close = F.col("p50").between(F.col("low"), F.col("high"))
+    return sketched.join(bounds, "l_returnflag").select("l_returnflag", close.alias("within_one_percent"))
 
 
 same_sql(

@@ -283,10 +283,22 @@ def catalog_columns(at: Mounted) -> DataFrame:
     return at.lake.columns(at.db).join(counts, "table").select("table", "position", "column", "type", "row_count")
 
 
-@query("B6")
+@query(
+    "B6",
+    f"""
+    SELECT key, CASE key WHEN 'default_limit' THEN '100' WHEN 'stored_rows' THEN CAST(stored AS VARCHAR)
+                         ELSE 'given' END AS value
+    FROM (VALUES ('spark_version'), ('master'), ('app_id'), ('current_database'), ('default_limit'),
+                 ('databases'), ('registered'), ('stored_rows')) v(key),
+         (SELECT sum(n) AS stored FROM ({_COUNTS}))
+    """,
+)
 def session_snapshot(at: Mounted) -> DataFrame:
     total = table_probe(at.lake, at.db).agg(F.sum("row_count").cast("string").alias("value"))
-    return at.lake.snapshot().unionByName(total.select(F.lit("stored_rows").alias("key"), "value"))
+    entries = at.lake.snapshot().unionByName(total.select(F.lit("stored_rows").alias("key"), "value"))
+    # What depends on the session is only checked to be there.
+    fixed = F.col("key").isin("default_limit", "stored_rows")
+    return entries.select("key", F.when(fixed, F.col("value")).when(F.col("value") != "", "given").alias("value"))
 
 
 @query(
@@ -326,9 +338,26 @@ def probe_tables(at: Mounted) -> DataFrame:
     return table_probe(at.lake, at.db).select("table", "row_count", "column_count")
 
 
-@query("B9")
+_SAMPLE = ("doc_id", "text", "lang", "source", "n_chars")
+_SAMPLE_CELLS = ", ".join(
+    f"CASE WHEN length(CAST({c} AS VARCHAR)) > 40 THEN left(CAST({c} AS VARCHAR), 39) || '…' "
+    f"ELSE CAST({c} AS VARCHAR) END AS {c}"
+    for c in _SAMPLE
+)
+_SAMPLE_WIDTHS = ", ".join(f"greatest({len(c)}, max(length({c}))) AS w_{c}" for c in _SAMPLE)
+_SAMPLE_PADS = ", ".join(f"rpad({c}, CAST(w_{c} AS INTEGER), ' ')" for c in _SAMPLE)
+
+
+@query(
+    "B9",
+    f"""
+    WITH cells AS (SELECT {_SAMPLE_CELLS} FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 5)),
+         widths AS (SELECT {_SAMPLE_WIDTHS} FROM cells)
+    SELECT concat_ws(' | ', {_SAMPLE_PADS}) AS line FROM cells, widths
+    """,
+)
 def sample_table(at: Mounted) -> DataFrame:
-    return table_sample(at.lake, at.db, "documents").lines
+    return table_sample(at.lake, at.db, "documents", order_by=["doc_id"]).lines
 
 
 # -- SQL surface -------------------------------------------------------------------------

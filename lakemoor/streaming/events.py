@@ -24,8 +24,9 @@ def windowed(stream: DataFrame, at: str, size: str, keys: Sequence[str], aggrega
 def sessions(stream: DataFrame, at: str, gap: str, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     """Sessions per key: stretches without a pause of ``gap`` or longer.
 
-    With the session settings of this package, events are merged to sessions in the map tasks.
+    Events are merged to sessions in the map tasks, before they are shuffled by key.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     window = F.session_window(at, gap).alias("window")
     return _with_bounds(stream.groupBy(window, *keys).agg(*aggregates), keys)
 

@@ -179,6 +179,33 @@ def test_join_strategies(rows):
         sized_join(left, right, ["k"], strategy="magic")
 
 
+def test_hot_keys_of_an_inner_join_are_split(spark):
+    """With thresholds fit for a test, AQE splits the hot partition of an ordinary join."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name, None) for name in small}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        facts = spark.range(0, 200_000, 1, 16).selectExpr("IF(id % 3 = 0, 0, id % 5000) AS k", "id", "id * 7 AS x")
+        members = spark.range(5000).selectExpr("id AS k", "id AS name")
+        joined = sized_join(facts, members, ["k"])
+        total = joined.agg(F.count(F.lit(1)).alias("n"), F.sum("name").alias("s"))
+        assert total.collect()[0]["n"] == 200_000
+        assert "skew=true" in total._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def test_frame_bytes(spark):
     df = spark.createDataFrame([(1, "abc", [1, 2]), (2, None, None)], "a int, b string, c array<int>")
     assert 90 < frame_bytes(df) < 250
