@@ -204,7 +204,7 @@ same_sql(
     "join_star",
     "P17",
     """
-    SELECT n_name, p_brand, year(o_orderdate) AS order_year, count(*) AS lines,
+    SELECT n_name, p_brand, CAST(year(o_orderdate) AS INTEGER) AS order_year, count(*) AS lines,
            round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM {db}.lineitem
     JOIN {db}.part ON l_partkey = p_partkey

@@ -21,7 +21,7 @@ def plain_events(at: Mounted) -> DataFrame:
 @query(
     "D1",
     """
-    SELECT vec_id, pos - 1 AS pos, CAST(embedding[pos] AS DOUBLE) AS value
+    SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, CAST(embedding[pos] AS DOUBLE) AS value
     FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)
     """,
 )

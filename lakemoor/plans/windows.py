@@ -23,7 +23,7 @@ from lakemoor.plans.registry import Mounted, query
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS row_number,
            rank() OVER w AS rank, dense_rank() OVER w AS dense_rank,
            round(percent_rank() OVER w, 9) AS percent_rank,
-           ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS ntile
+           CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS ntile
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC)
     """,
 )
