@@ -5,7 +5,7 @@ table. Here the groups are counted first (a map-side combined count of the key c
 Groups one task can sort go through ordinary windows. Larger ones are range-partitioned by
 ``(key, order)`` into segments: every segment is computed on its own, one summary row per segment
 carries what the earlier segments of the group contribute, and both are joined. The segment of a
-row is pinned by a checkpoint in the shared folder, so that lost executors cannot move it.
+row is pinned by writing it to the shared folder, so that lost executors cannot move it.
 
 ``order`` has to end in a column that makes rows unique: it is what large groups are split by.
 """

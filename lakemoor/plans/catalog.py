@@ -20,18 +20,21 @@ _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for
 # -- registering and mounting ------------------------------------------------------------
 
 
+def _rows_per_database(at: Mounted) -> DataFrame:
+    counted = at.lake.tables(at.db).join(table_probe(at.lake, at.db), "table")
+    return counted.groupBy("database").agg(
+        F.count(F.lit(1)).alias("tables"), F.sum("row_count").alias("stored_rows")
+    )
+
+
 @query(
     "A1 B2",
     f"SELECT true AS registered, {len(TABLES)} AS tables, CAST(sum(n) AS BIGINT) AS stored_rows FROM ({_COUNTS})",
 )
 def registered_databases(at: Mounted) -> DataFrame:
-    inside = table_probe(at.lake, at.db).agg(
-        F.count(F.lit(1)).cast("int").alias("tables"), F.sum("row_count").alias("stored_rows")
-    )
+    inside = _rows_per_database(at).withColumn("tables", F.col("tables").cast("int"))
     mine = exclude_names(at.lake.databases(), "database", ["default"]).where("registered")
-    return mine.join(inside.withColumn("registered", F.lit(True)), "registered").select(
-        "registered", "tables", "stored_rows"
-    )
+    return mine.join(inside, "database").select("registered", "tables", "stored_rows")
 
 
 @query("A3", "SELECT * FROM supplier")
@@ -87,9 +90,7 @@ def mount_database(at: Mounted) -> DataFrame:
 def mount_summary(at: Mounted) -> DataFrame:
     asked = ["nowhere", *sorted(TABLES), "nothing"]
     report = mount_report(at.lake.mount_many(at.db, asked), max_listed=10)
-    rows = table_probe(at.lake, at.db).agg(F.sum("row_count").alias("stored_rows"))
-    rows = rows.withColumn("database", F.lit(at.db))
-    return report.join(rows, "database").select(
+    return report.join(_rows_per_database(at), "database").select(
         F.col("mounted_count").cast("int").alias("mounted_count"),
         "mounted",
         F.col("failed_count").cast("int").alias("failed_count"),

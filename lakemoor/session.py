@@ -13,7 +13,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
@@ -63,6 +62,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder: computed once, and the same ever after.
+
+    Unlike a checkpoint of rows it is columnar, so later steps read only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
