@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemoor.operators.ordered import MOST_BROADCAST_ROWS, MOST_GROUP_ROWS, with_last_known, with_running
+from lakemoor.session import pinned
 
 # The most bytes of measured values that are sent to every executor.
 MOST_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -125,10 +126,13 @@ def _blocks(df: DataFrame, where: Sequence[str], most_rows: int) -> DataFrame |
 
 
 def _cut(df: DataFrame, blocks: DataFrame, where: Sequence[str], name: str) -> DataFrame:
-    """Give each row one block of its cell, by a hash of the whole row."""
-    spread = F.xxhash64(*[df[c] for c in df.columns])
-    block = F.coalesce(F.pmod(spread, F.col("_blocks")), F.lit(0)).cast("int")
-    return df.join(blocks, list(where), "left").withColumn(name, block).drop("_blocks")
+    """Give each row one block of its cell in turn, so that copies of one row are spread, too.
+
+    The choice depends on where a row was read; it is pinned, so that no retry can change it.
+    """
+    in_turn = F.pmod(F.monotonically_increasing_id(), F.col("_blocks"))
+    block = F.coalesce(in_turn, F.lit(0)).cast("int")
+    return pinned(df.join(blocks, list(where), "left").withColumn(name, block).drop("_blocks"))
 
 
 def _visit(df: DataFrame, blocks: DataFrame, where: Sequence[str], name: str) -> DataFrame:
@@ -152,18 +156,15 @@ def asof_join(
     Both frames are laid on one line per group, known rows first at equal ``at``; a known row with
     the larger ``id`` counts as later. One shuffle, no pairs.
     """
-    rest = [c for c in asked.columns if c not in (*on, at, id)]
     base = [*on, at, id]
-    line = (
-        asked.select(*base, F.struct(*rest).alias("_rest"), F.lit(1).alias("_side"))
-        .unionByName(
-            known.select(*base, F.struct(F.col(value).alias("v")).alias("_known"), F.lit(0).alias("_side")),
-            allowMissingColumns=True,
-        )
-    )
+    carried = {c: f"_asked_{c}" for c in asked.columns if c not in base}
+    questions = asked.select(*base, *[F.col(c).alias(n) for c, n in carried.items()], F.lit(1).alias("_side"))
+    answers = known.select(*base, F.struct(F.col(value).alias("v")).alias("_known"), F.lit(0).alias("_side"))
+    line = questions.unionByName(answers, allowMissingColumns=True)
     order = [F.col(at), F.col("_side"), F.col(id)]
     filled = with_last_known(line, on, order, "_known", "_latest", most_rows).where(F.col("_side") == 1)
-    return filled.select(*base, "_rest.*", F.col("_latest").getField("v").alias(out))
+    rest = [F.col(n).alias(c) for c, n in carried.items()]
+    return filled.select(*base, *rest, F.col("_latest").getField("v").alias(out))
 
 
 def count_below(left: DataFrame, right: DataFrame, left_value: str, right_value: str, out: str,

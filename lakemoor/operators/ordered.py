@@ -7,7 +7,7 @@ Groups one task can sort go through ordinary windows. Larger ones are range-part
 carries what the earlier segments of the group contribute, and both are joined. The segment of a
 row is pinned by writing it to the shared folder, so that lost executors cannot move it.
 
-``order`` has to end in a column that makes rows unique: it is what large groups are split by.
+``order`` should end in a column that makes rows unique; rows equal in it are taken in any order.
 """
 
 from __future__ import annotations
@@ -89,8 +89,10 @@ class _Segments:
 
 def _segments(groups: SplitGroups, keys: Sequence[str], order: Sequence[Column | str], most_rows: int) -> _Segments:
     count = min(MOST_SEGMENTS, max(2, ceil(2 * groups.large_rows / most_rows)))
-    placed = groups.large.repartitionByRange(count, *[F.col(k) for k in keys], *order)
-    rows = pinned(placed.withColumn("_seg", F.spark_partition_id()))
+    # The last column parts rows that are equal in all others, such as copies of one row.
+    numbered = groups.large.withColumn("_copy", F.monotonically_increasing_id())
+    placed = numbered.repartitionByRange(count, *[F.col(k) for k in keys], *order, "_copy")
+    rows = pinned(placed.withColumn("_seg", F.spark_partition_id()).drop("_copy"))
     # Each segment border and each group adds at most one (segment, group) pair.
     return _Segments(rows, keys, count + groups.large_groups)
 

@@ -19,6 +19,7 @@ from lakemoor.operators.joins import (
     sized_join,
 )
 from lakemoor.operators.ordered import (
+    _segments,
     exact_quantiles,
     split_groups,
     top_per_group,
@@ -146,6 +147,22 @@ def test_count_below(rows):
     assert found == {i: i // 2 for i in range(0, 500, 2)}
 
 
+def test_copies_of_one_row(spark):
+    """Rows equal in every column are spread over segments and blocks as well."""
+    copies = spark.range(400).selectExpr("1 AS k", "7L AS id", "5 AS v", "2.0D AS w")
+    groups = split_groups(copies, ["k"], 50)
+    sizes = _segments(groups, ["k"], ["v", "id"], 50).rows.groupBy("_seg").count().collect()
+    assert len(sizes) > 5 and max(r["count"] for r in sizes) <= 150
+    found = with_running(copies, ["k"], ["v", "id"], {"n": F.lit(1), "s": C("w")}, 50).collect()
+    assert sorted(r["n"] for r in found) == list(range(1, 401))
+    assert sorted(r["s"] for r in found) == [2.0 * i for i in range(1, 401)]
+    ranked = with_ranks(copies, ["k"], "v", "id", most_rows=50).collect()
+    assert {r["rank"] for r in ranked} == {1} and sorted(r["row_number"] for r in ranked) == list(range(1, 401))
+    asked = spark.createDataFrame([(1, 1, 4, 6), (1, 2, 6, 9)], "k int, i int, s int, e int")
+    pairs = interval_join(copies.drop("id"), asked, ["k"], "v", "s", "e", 2, 50)
+    assert [tuple(r) for r in pairs.groupBy("i").count().collect()] == [(1, 400)]
+
+
 def test_top_per_group(rows):
     found = top_per_group(rows, ["k"], [C("v").desc_nulls_last(), C("id")], 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
