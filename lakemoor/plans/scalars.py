@@ -32,7 +32,7 @@ same_sql(
 )
 def document_strings(at: Mounted) -> DataFrame:
     pieces = F.split("text", " ")
-    return spread(at.table("documents").select("doc_id", "text"), "doc_id").select(
+    return spread(at.table("documents").select("doc_id", "text")).select(
         "doc_id",
         F.size(pieces).cast("bigint").alias("pieces"),
         pieces[0].alias("first_piece"),

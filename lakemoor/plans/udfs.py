@@ -43,7 +43,7 @@ def weighted_prices(at: Mounted) -> DataFrame:
     """,
 )
 def words_of_texts(at: Mounted) -> DataFrame:
-    documents = spread(at.table("documents").select("doc_id", "lang", "text"), "doc_id")
+    documents = spread(at.table("documents").select("lang", "text"))
     words = documents.lateralJoin(Words(F.col("text").outer()))
     return words.groupBy("lang", "word").agg(
         F.sum("uses").alias("uses"), F.min("first_place").alias("first_place")

@@ -21,14 +21,14 @@ def read_path(
     return reader.load(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Spread a scan of few splits over all cores, for costly work per row.
 
     A file with one row group is one task's work however large it is. Scans that already have a
     split per core, as those of large tables do, are left alone and are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def write_path(
