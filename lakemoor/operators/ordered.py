@@ -98,7 +98,8 @@ def _segments(groups: SplitGroups, keys: Sequence[str], order: Sequence[Column |
 
 
 def _both(small: DataFrame, large: DataFrame) -> DataFrame:
-    return small.unionByName(large.select(*small.columns))
+    """Both routes with the types of the ordinary one: sums of sums would widen decimals."""
+    return small.unionByName(large.select(*[large[f.name].cast(f.dataType).alias(f.name) for f in small.schema]))
 
 
 def with_running(

@@ -12,7 +12,8 @@ same_sql(
     "part_strings",
     "P60",
     """
-    SELECT p_partkey, upper(p_name) AS upper_name, CAST(length(p_name) AS INTEGER) AS size, substring(p_brand, 7, 2) AS brand_no,
+    SELECT p_partkey, upper(p_name) AS upper_name, CAST(length(p_name) AS INTEGER) AS size,
+           substring(p_brand, 7, 2) AS brand_no,
            concat_ws('/', lower(p_type), p_brand) AS label, replace(p_name, ' ', '_') AS slug,
            trim(concat('  ', p_type, ' ')) AS trimmed, lpad(CAST(p_size AS STRING), 4, '0') AS padded,
            reverse(p_type) AS reversed, p_name LIKE 'small%' AS is_small
@@ -99,7 +100,8 @@ same_sql(
            CAST(ceil(l_extendedprice / l_quantity) AS BIGINT) AS unit_price, round(sqrt(l_extendedprice), 4) AS root,
            round(pow(l_discount, 2), 6) AS squared, round(ln(l_extendedprice), 6) AS log_price,
            coalesce(nullif(l_discount, 0), -1) AS discount_or, greatest(l_discount, l_tax) AS larger,
-           least(l_discount, l_tax) AS smaller, abs(l_tax - l_discount) AS apart, CAST(sign(l_discount - l_tax) AS INTEGER) AS side
+           least(l_discount, l_tax) AS smaller, abs(l_tax - l_discount) AS apart,
+           CAST(sign(l_discount - l_tax) AS INTEGER) AS side
     FROM {db}.lineitem
     """,
 )

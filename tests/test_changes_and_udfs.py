@@ -57,7 +57,8 @@ def test_elide_batch(spark):
 
 def test_weighted_means(spark):
     df = spark.createDataFrame(
-        [("a", 1.0, 1.0), ("a", 4.0, 2.0), ("b", 5.0, 0.0), (None, 2.0, 1.0), ("a", None, 9.0)], "k string, v double, w double"
+        [("a", 1.0, 1.0), ("a", 4.0, 2.0), ("b", 5.0, 0.0), (None, 2.0, 1.0), ("a", None, 9.0)],
+        "k string, v double, w double",
     )
     found = {r["k"]: (r["weighted_mean"], r["weight"]) for r in weighted_means(df, ["k"], "v", "w").collect()}
     assert found == {"a": (3.0, 3.0), "b": (None, 0.0), None: (2.0, 1.0)}

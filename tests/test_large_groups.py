@@ -74,6 +74,14 @@ def test_running(rows):
     assert len(found) == 500
 
 
+def test_both_routes_have_one_schema(rows):
+    exact = rows.withColumn("w", C("w").cast("decimal(18,2)"))
+    sums = {"total": C("w"), "place": F.lit(1)}
+    usual, split = (with_running(exact, ["k"], ORDER, sums, m) for m in (10**9, 40))
+    assert usual.schema.simpleString() == split.schema.simpleString()
+    same(lambda m: with_running(exact, ["k"], ORDER, sums, m))
+
+
 def test_running_downwards(rows):
     same(lambda m: with_running(rows, ["k"], [C("v").desc_nulls_last(), C("id").desc()], {"n": F.lit(1)}, m))
 

@@ -16,7 +16,8 @@ def test_exclusion_keeps_order_and_ignores_case(spark):
 
 
 def test_unique_resolution(spark):
-    known = spark.createDataFrame([("Other", "a"), ("Data Warehouse", "b"), ("Dup", "c"), ("DUP", "d")], "name string, id string")
+    entries = [("Other", "a"), ("Data Warehouse", "b"), ("Dup", "c"), ("DUP", "d")]
+    known = spark.createDataFrame(entries, "name string, id string")
     asked = spark.createDataFrame(
         [("data warehouse", None), ("nope", None), ("dup", None), ("nope", "WS-1"), (None, None)],
         "name string, id string",

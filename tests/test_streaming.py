@@ -59,7 +59,8 @@ def test_late_rows_are_left_out_of_closed_windows(spark, late):
 
 
 def test_complete_mode_keeps_late_rows(spark, late):
-    found = last_batch(run_batches(windowed(late.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", [], counted()), "all", "complete"))
+    stream = late.withColumn("ts", F.col("ts").cast("timestamp"))
+    found = last_batch(run_batches(windowed(stream, "ts", "1 hour", [], counted()), "all", "complete"))
     assert {(r.window_start, r.n, r.value) for r in found.collect()} == {
         (at(0), 3, 103.0),
         (at(60), 1, 4.0),
