@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from lakemoor.llm import license_scan, secret_scan  # noqa: F401  (importing registers the queries)
+from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
+    frames,
+    license_scan,
+    packing,
+    secret_scan,
+)
 from lakemoor.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
