@@ -7,6 +7,7 @@ from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     frames,
     license_scan,
     packing,
+    quality,
     secret_scan,
 )
 from lakemoor.llm.common import ORACLES, QUERIES
