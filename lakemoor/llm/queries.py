@@ -9,6 +9,7 @@ from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     packing,
     quality,
     secret_scan,
+    similar,
 )
 from lakemoor.llm.common import ORACLES, QUERIES
 
