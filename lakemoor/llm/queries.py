@@ -6,7 +6,9 @@ from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     bpe,
     frames,
     license_scan,
+    metric_tree,
     packing,
+    permutation,
     quality,
     secret_scan,
     similar,
