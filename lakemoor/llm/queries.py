@@ -12,6 +12,7 @@ from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     quality,
     secret_scan,
     similar,
+    unigram,
 )
 from lakemoor.llm.common import ORACLES, QUERIES
 
