@@ -30,10 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemoor.llm.common import each_batch, query, table, texts_of
-from lakemoor.llm.tokens import pieces_of
+from lakemoor.llm.tokens import PieceMemory
 
-MOST_CACHED = 300_000  # pieces a worker remembers, each of LONGEST_CACHED bytes at most
-LONGEST_CACHED = 64
 LONG = 256  # bytes from which a piece takes the query for long ones
 ROWS = 100_000  # token rows given to one query that encodes (a single piece may have more)
 DECODED_ROWS = 300_000  # and to one that decodes
@@ -135,7 +133,7 @@ class RankCoder:
         self._keep("unsafe", merged=np.array(unsafe, "i4"))
         self._keep("vocabulary", id=np.array(list(ranks.values()), "i4"), bytes=pa.array(list(ranks), pa.binary()))
         self._byte = np.array([ranks[bytes([byte])] for byte in range(256)], "i4")
-        self._known: dict[str, bytes] = {}
+        self._memory = PieceMemory(self._learn)
 
     def _keep(self, name: str, **columns) -> None:
         given = pa.table(columns)
@@ -194,16 +192,7 @@ class RankCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [pieces_of(text) for text in texts]
-        known = self._known
-        new = {piece for pieces in cut for piece in pieces if piece not in known}
-        if len(known) + len(new) > MOST_CACHED:
-            known.clear()
-            new = {piece for pieces in cut for piece in pieces}
-        learned = self._learn(list(new))
-        known.update((piece, ids) for piece, ids in learned.items() if len(piece) <= LONGEST_CACHED)
-        get = (known | learned if any(len(piece) > LONGEST_CACHED for piece in new) else known).__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        return self._memory.encode(texts)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for."""

@@ -35,6 +35,8 @@ WINDOW = 2048
 BLOCK = 1 << 19  # tokens solved at once
 SENTENCE_COST = 6  # a window that ends inside a document, in tokens of padding
 SENTENCE_ENDS = (b".", b"!", b"?", b"\n")
+APART = 16  # of the sentence ends within so many tokens, the first is a place to cut
+SHORTEST = 256  # the least power of two that is tried as a window's length
 STEP, STEP_COST = 128, 64  # places inside sentences longer than a window, and what ending there costs
 SEQUENCES_PER_TASK = 36  # bits
 
@@ -51,18 +53,25 @@ def cut_places(lengths: np.ndarray, sentence_ends: np.ndarray, window: int = WIN
     """
     ends = np.cumsum(lengths)
     total = int(ends[-1])
-    places = np.union1d(ends, sentence_ends[(sentence_ends > 0) & (sentence_ends < total)])
+    inside = sentence_ends[(sentence_ends > 0) & (sentence_ends < total)]
+    inside = inside[np.diff(inside // APART, prepend=-1) > 0]
+    places = _union(ends, inside)
     gaps = np.diff(places, prepend=0)
     long = np.flatnonzero(gaps > window)
     steps = [np.arange(places[i] - gaps[i] + STEP, places[i], STEP) for i in long]
     steps = np.concatenate([*steps, np.empty(0, np.int64)]).astype(np.int64)
-    places = np.union1d(places, steps)
+    places = _union(places, steps)
     cost = np.full(len(places), SENTENCE_COST, np.int64)
-    cost[np.isin(places, steps)] = STEP_COST
-    cost[np.isin(places, ends)] = 0
+    cost[np.searchsorted(places, steps)] = STEP_COST
+    cost[np.searchsorted(places, ends)] = 0
     return places, cost
 
 
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.diff(both, prepend=-1) > 0]
+
+
 def best_cuts(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
     """The window ends (the last place included) with the least padding plus cost.
 
@@ -73,7 +82,7 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> lis
     n = len(at)
     exact: dict[int, list[int]] = {}
     whole = np.array(at)
-    power = 1
+    power = SHORTEST
     while power < window:
         found = np.searchsorted(whole, whole - power)
         hit = np.flatnonzero((whole >= power) & (whole[np.minimum(found, n - 1)] == whole - power))
@@ -131,7 +140,7 @@ class _Stream:
         closed = int(cuts[-1])
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        stops = np.union1d(cuts, ends[ends <= closed])
+        stops = _union(cuts, ends[ends <= closed])
         begins = np.concatenate([[0], stops[:-1]])
         doc = np.searchsorted(ends, begins, side="right")
         window = np.searchsorted(cuts, begins, side="right")

@@ -2,13 +2,14 @@
 
 A byte-level BPE merges inside the pieces that its pattern cuts, never across them, so a text's ids
 are those of its pieces in a row. Texts repeat their pieces: each worker keeps the ids of those
-it has met and asks the library for new ones only, many in one call.
+it has met and asks the library's model for new ones only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -25,13 +26,50 @@ _ASCII_PIECES = re.compile(
     r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 
-MOST_CACHED = 300_000  # pieces a worker remembers, each of LONGEST_CACHED characters at most
+# And where all are Latin-1, whose letters, digits and spaces can be listed.
+_LATIN_PIECES = re.compile(
+    r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    r"| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+)
+
+MOST_CACHED = 500_000  # pieces a worker remembers, each of LONGEST_CACHED characters at most
 LONGEST_CACHED = 40
 
 
 def pieces_of(text: str) -> list[str]:
     """What the pattern of the rank files cuts ``text`` into."""
-    return (_ASCII_PIECES if text.isascii() else _PIECES).findall(text)
+    if text.isascii():
+        return _ASCII_PIECES.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _PIECES.findall(text)
+    return _LATIN_PIECES.findall(text)
+
+
+class PieceMemory:
+    """Ids of the pieces met so far, as bytes; ``learn`` gives those of new ones."""
+
+    def __init__(self, learn, most: int = MOST_CACHED, longest: int = LONGEST_CACHED) -> None:
+        self._learn, self._most, self._longest = learn, most, longest
+        self._known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known = self._known
+        cut = [pieces_of(text) for text in texts]
+        found = [list(map(known.get, pieces)) for pieces in cut]
+        gaps = [(at, [i for i, one in enumerate(ids) if one is None]) for at, ids in enumerate(found) if None in ids]
+        if gaps:
+            learned = self._learn(list({cut[at][i] for at, places in gaps for i in places}))
+            for at, places in gaps:
+                pieces, ids = cut[at], found[at]
+                for i in places:
+                    ids[i] = learned[pieces[i]]
+            if len(known) + len(learned) > self._most:
+                known.clear()
+            known.update((piece, ids) for piece, ids in learned.items() if len(piece) <= self._longest)
+        return [b"".join(ids) for ids in found]
 
 
 class PieceEncoder:
@@ -41,30 +79,22 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        self._model = Tokenizer.from_file(path).model
+        self._sign = {byte: sign for sign, byte in byte_alphabet().items()}
+        self._memory = PieceMemory(self._learn)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {piece: np.array(one.ids, "<u4").tobytes() for piece, one in zip(pieces, found)}
+        # A piece goes to the library's model itself: cutting it again would cost more than merging.
+        tokenize, sign = self._model.tokenize, self._sign
+        out = {}
+        for piece in pieces:
+            tokens = tokenize(piece.encode().decode("latin-1").translate(sign))
+            out[piece] = array("I", [token.id for token in tokens]).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
-        cut = [pieces_of(text) for text in texts]
-        known = self._known
-        new = {piece for pieces in cut for piece in pieces if piece not in known}
-        if len(known) + len(new) > MOST_CACHED:
-            known.clear()
-            new = {piece for pieces in cut for piece in pieces}
-        learned = self._learn(list(new))
-        short = {piece: ids for piece, ids in learned.items() if len(piece) <= LONGEST_CACHED}
-        known.update(short)
-        if len(short) == len(learned):
-            get = known.__getitem__
-        else:
-            get = (known | learned).__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in cut]
+        return [np.frombuffer(ids, "<u4") for ids in self._memory.encode(texts)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
