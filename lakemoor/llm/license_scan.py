@@ -13,6 +13,7 @@ repeated rows each get their result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -41,15 +42,15 @@ NAMES = (
     ("bsd-3-clause", "bsd 3 clause(?: license)?", "3 clause bsd(?: license)?", "new bsd license", "modified bsd license"),
     ("bsd-4-clause", "bsd 4 clause(?: license)?", "original bsd license"),
     ("bsd", "bsd license", "bsd style license"),
-    ("gpl-3", "gnu general public license (?:version |v)3", "gpl ?v ?3", "gpl 3 0"),
-    ("gpl-2", "gnu general public license (?:version |v)2", "gpl ?v ?2", "gpl 2 0"),
-    ("gpl-1", "gnu general public license (?:version |v)1", "gpl ?v ?1", "gpl 1 0"),
+    ("gpl-3", "gnu general public license (?:version |v)3", "(?:gnu )?gpl ?v ?3", "(?:gnu )?gpl 3 0"),
+    ("gpl-2", "gnu general public license (?:version |v)2", "(?:gnu )?gpl ?v ?2", "(?:gnu )?gpl 2 0"),
+    ("gpl-1", "gnu general public license (?:version |v)1", "(?:gnu )?gpl ?v ?1", "(?:gnu )?gpl 1 0"),
     ("gpl", "gnu general public license", "gnu gpl", "gpl license"),
-    ("lgpl-3", "gnu lesser general public license (?:version |v)3", "lgpl ?v ?3", "lgpl 3 0"),
-    ("lgpl-2-1", "gnu lesser general public license (?:version |v)2 1", "lgpl ?v ?2 1", "lgpl 2 1"),
+    ("lgpl-3", "gnu lesser general public license (?:version |v)3", "(?:gnu )?lgpl ?v ?3", "lgpl 3 0"),
+    ("lgpl-2-1", "gnu lesser general public license (?:version |v)2 1", "(?:gnu )?lgpl ?v ?2 1", "lgpl 2 1"),
     ("lgpl-2", "gnu library general public license (?:version |v)2", "lgpl 2 0"),
     ("lgpl", "gnu lesser general public license", "gnu library general public license", "gnu lgpl"),
-    ("agpl-3", "gnu affero general public license (?:version |v)3", "agpl ?v ?3", "agpl 3 0"),
+    ("agpl-3", "gnu affero general public license (?:version |v)3", "(?:gnu )?agpl ?v ?3", "agpl 3 0"),
     ("agpl", "gnu affero general public license", "affero general public license", "gnu agpl"),
     ("gfdl", "gnu free documentation license", "gfdl 1 [123]"),
     ("mpl-2", "mozilla public license (?:version |v)?2", "mpl 2 0"),
@@ -60,7 +61,7 @@ NAMES = (
     ("epl", "eclipse public license"),
     ("cddl", "common development and distribution license", "cddl 1 [01]"),
     ("cpl", "common public license", "cpl 1 0"),
-    ("eupl", "european union public li[cs]ence", "eupl 1 [012]"),
+    ("eupl", "european union public licence", "european union public license", "eupl 1 [012]"),
     ("ms-pl", "microsoft public license", "ms pl"),
     ("ms-rl", "microsoft reciprocal license", "ms rl"),
     ("artistic-2", "artistic license (?:version |v)?2", "artistic 2 0"),
@@ -95,7 +96,7 @@ NAMES = (
     ("elastic", "elastic license"),
     ("json", "json license", "shall be used for good not evil"),
     ("vim", "vim license"),
-    ("w3c", "w3c software (?:notice and )?license"),
+    ("w3c", "w3c software license", "w3c software notice and license"),
     ("zpl", "zope public license"),
     ("odbl", "open database license", "odbl 1 0"),
     ("odc-by", "open data commons attribution license"),
@@ -146,7 +147,7 @@ def signature_rules() -> tuple[Rule, ...]:
     return tuple(rules)
 
 
-CORE, MARGIN = 2000, 200  # characters: a window's own part, and what it sees on either side (no rule matches more)
+CORE, MARGIN = 1000, 200  # characters: a window's own part, and what it sees on either side (no rule matches more)
 
 
 def line_of_words(text: Column) -> Column:
@@ -174,14 +175,19 @@ def _base_places(line: Column, phrase: str) -> Column:
     )
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _detections(window: Column, origin: Column, rule: Column) -> Column:
     """All places of one rule in one window, as (start, stop, label, weight, rank)."""
-    between = F.split(window, rule.pattern, -1)
-    found = F.regexp_extract_all(window, rule.pattern, F.lit(0))
+    gaps = F.transform(F.split(window, rule.pattern, -1), F.char_length)
+    lengths = F.transform(F.regexp_extract_all(window, rule.pattern, F.lit(0)), F.char_length)
 
-    def step(done: Column, at: Column) -> Column:
-        start = done.at + F.char_length(F.get(between, at))
-        stop = start + F.char_length(F.get(found, at))
+    def step(done: Column, place: Column) -> Column:
+        start = done.at + place.gaps
+        stop = start + place.lengths
         one = F.struct(
             (origin + start).alias("start"),
             (origin + stop).alias("stop"),
@@ -193,8 +199,9 @@ def _detections(window: Column, origin: Column, rule: Column) -> Column:
 
     none = "array<struct<start: int, stop: int, label: string, weight: double, rank: int>>"
     start = F.struct(F.array().cast(none).alias("found"), F.lit(0).alias("at"))
-    places = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda done: done.found)
-    return F.when(F.size(found) > 0, places).otherwise(F.array().cast(none))
+    # One gap stands before each match, and one behind the last, which has no length.
+    places = F.filter(F.arrays_zip(gaps.alias("gaps"), lengths.alias("lengths")), lambda one: one.lengths.isNotNull())
+    return F.aggregate(places, start, step, lambda done: done.found)
 
 
 def _surviving(found: Column) -> Column:
@@ -223,12 +230,14 @@ def detections(line: Column, rules: tuple[Rule, ...]) -> Column:
     def in_window(core: Column) -> Column:
         origin = F.greatest(core - MARGIN, F.lit(0))
         window = line.substr(origin + 1, core - origin + CORE + MARGIN)
+        surviving = _with(_with(window, lambda one: in_text(one, origin)), _surviving)
+        return F.filter(surviving, lambda one: (one.start >= core) & (one.start < core + CORE))
+
+    def in_text(window: Column, origin: Column) -> Column:
         present = F.flatten(
             F.transform(F.filter(gated, lambda one: F.contains(window, one.keyword)), lambda one: one.rules)
         )
-        found = F.flatten(F.transform(present, lambda rule: _detections(window, origin, rule)))
-        own = F.filter(_surviving(found), lambda one: (one.start >= core) & (one.start < core + CORE))
-        return own
+        return F.flatten(F.transform(present, lambda rule: _detections(window, origin, rule)))
 
     return F.array_sort(F.flatten(F.transform(starts, in_window)))
 
