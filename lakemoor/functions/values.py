@@ -47,6 +47,8 @@ def _key_text(key: Column, dtype: T.DataType) -> Column:
         return F.when(key, "True").otherwise("False")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return float_text(key.cast("double"))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.replace(iso_timestamp(key), F.lit("T"), F.lit(" "))
     return key.cast("string")
 
 

@@ -7,13 +7,13 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-# The most rows that may be brought to the driver at once.
+# The most rows that may be brought to the driver at once, unless a caller says otherwise.
 MOST_ROWS = 100_000
 
 
-def checked_limit(limit: int) -> int:
-    if not 1 <= limit <= MOST_ROWS:
-        raise ValueError(f"limit must be between 1 and {MOST_ROWS}, not {limit}")
+def checked_limit(limit: int, most_rows: int = MOST_ROWS) -> int:
+    if not 1 <= limit <= most_rows:
+        raise ValueError(f"limit must be between 1 and {most_rows}, not {limit}")
     return limit
 
 
@@ -74,6 +74,6 @@ def _plain_lists(value):
     return value
 
 
-def bounded(df: DataFrame, limit: int) -> Bounded:
+def bounded(df: DataFrame, limit: int, most_rows: int = MOST_ROWS) -> Bounded:
     """At most ``limit`` rows of ``df``. After an ORDER BY, Spark keeps only the top rows."""
-    return Bounded(df.limit(checked_limit(limit) + 1), limit)
+    return Bounded(df.limit(checked_limit(limit, most_rows) + 1), limit)

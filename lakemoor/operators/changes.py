@@ -17,10 +17,14 @@ def latest_per_key(changes: DataFrame, keys: Sequence[str], version: str) -> Dat
 def upsert(target: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``target`` with the rows of ``patch`` replacing those of equal keys, and added otherwise.
 
-    ``patch`` holds one row per key (see :func:`latest_per_key`).
+    ``patch`` holds one row per key (see :func:`latest_per_key`); two rows of one key are an error
+    when the result is computed, as in MERGE.
     """
     kept = target.join(patch.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(patch)
+    counted = patch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*patch.columns)).alias("_row"))
+    checked = F.assert_true(F.col("_n") == 1, "two rows of the patch have one key")
+    once = counted.select("_row", checked.alias("_checked")).where(F.col("_checked").isNull()).select("_row.*")
+    return kept.unionByName(once.select(*patch.columns))
 
 
 def update_rows(df: DataFrame, condition: Column, changes: Mapping[str, Column]) -> DataFrame:

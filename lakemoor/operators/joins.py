@@ -59,18 +59,19 @@ def sized_join(
 def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """``left``, ``right`` or ``full`` outer join on columns of the same names.
 
-    Written as an inner join plus the rows without a partner. AQE can split a hot key on either
-    side of an inner join, but not on the preserving side's partner of an outer join and on no
-    side of a full one; the anti joins look only at distinct keys.
+    AQE can split a hot key on the preserved side of a left or right join, so these are plain joins.
+    It can split no side of a full one, which is therefore written as an inner join plus the rows
+    without a partner; the anti joins look only at distinct keys. Both inputs are read more than
+    once there: pin what does not give the same rows each time.
     """
     if how not in ("left", "right", "full"):
         raise ValueError(f"how must be left, right or full, not {how!r}")
     keys = list(on)
+    if how != "full":
+        return left.join(right, keys, how)
     parts = [left.join(right, keys, "inner")]
-    if how in ("left", "full"):
-        parts.append(left.join(right.select(*keys).distinct(), keys, "left_anti"))
-    if how in ("right", "full"):
-        parts.append(right.join(left.select(*keys).distinct(), keys, "left_anti"))
+    parts.append(left.join(right.select(*keys).distinct(), keys, "left_anti"))
+    parts.append(right.join(left.select(*keys).distinct(), keys, "left_anti"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

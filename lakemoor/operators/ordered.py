@@ -19,6 +19,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakemoor.session import pinned
 
@@ -307,24 +308,26 @@ def with_trailing_rows(
 ) -> DataFrame:
     """Add the sum of ``value`` over this row and the ``rows`` rows before it.
 
-    In large groups it is the difference of two running sums; give an exact type (decimal,
-    integer) where the last digits matter.
+    Large groups are cut into stretches by row number; each stretch takes along the ``rows`` rows
+    before it, and the ordinary frame is computed there. A task holds a stretch (``rows`` rows or
+    half the limit, whichever is more) and those.
     """
     groups = split_groups(df, keys, most_rows)
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, Window.currentRow)
-    small = groups.small.withColumn(out, F.sum(value).over(frame))
+    frame = (-rows, Window.currentRow)
+    small = groups.small.withColumn(
+        out, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame))
+    )
     if groups.large is None:
         return small
-    running = with_running(groups.large, keys, order, {"_row": F.lit(1), "_sum": value}, most_rows)
-    here = pinned(running)
-    earlier = here.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys],
-        (F.col("_row") + rows + 1).alias("_o_row"),
-        F.col("_sum").alias("_o_sum"),
-    )
-    pairs = [(here[k], F.col(f"_o_{k}")) for k in keys]
-    joined = here.join(earlier, _all_equal(pairs) & (F.col("_row") == F.col("_o_row")), "left")
-    return _both(small, joined.withColumn(out, F.col("_sum") - F.coalesce(F.col("_o_sum"), F.lit(0))))
+    numbered = pinned(with_running(groups.large, keys, order, {"_row": F.lit(1)}, most_rows))
+    size = max(rows, most_rows // 2, 1)
+    stretch = F.floor((F.col("_row") - 1) / size)
+    own = numbered.withColumns({"_stretch": stretch, "_own": F.lit(True)})
+    taken = numbered.where((F.col("_row") - 1) % size >= size - rows)
+    taken = taken.withColumns({"_stretch": stretch + 1, "_own": F.lit(False)})
+    window = Window.partitionBy(*keys, "_stretch").orderBy("_row").rowsBetween(*frame)
+    large = own.unionByName(taken).withColumn(out, F.sum(value).over(window)).where("_own")
+    return _both(small, large)
 
 
 def with_trailing_range(
@@ -338,15 +341,20 @@ def with_trailing_range(
 ) -> DataFrame:
     """Add sums over the rows of the group with ``at`` in ``[here - reach, here]``.
 
-    ``at`` is a whole number (e.g. microseconds) and ``id`` is unique. In large groups each row
-    asks twice, before the first row in reach and after its last peer, and takes the difference
-    of the two running sums.
+    ``at`` is a whole number (e.g. microseconds) and ``id`` is unique. In large groups, sums of exact
+    types (integers, decimals) are differences of running sums: each row asks twice, before the
+    first row in reach and after its last peer. Sums of doubles are never subtracted: a group
+    is cut into stretches as long as the reach, each stretch takes along the one before it,
+    and the ordinary frame is computed there, so a task holds the rows of two reaches.
     """
     groups = split_groups(df, keys, most_rows)
     frame = Window.partitionBy(*keys).orderBy(at).rangeBetween(-reach, Window.currentRow)
     small = groups.small.withColumns({name: F.sum(v).over(frame) for name, v in sums.items()})
     if groups.large is None:
         return small
+    kinds = df.select(*[value.alias(name) for name, value in sums.items()]).schema
+    if any(isinstance(field.dataType, (T.FloatType, T.DoubleType)) for field in kinds):
+        return _both(small, _trailing_range_by_stretch(pinned(groups.large), keys, at, reach, sums))
     large = pinned(groups.large)
     base = [F.col(k) for k in keys] + [F.col(id).alias("_id")]
 
@@ -359,13 +367,27 @@ def with_trailing_range(
     # Order at one position: questions for "before it", the rows, questions for "with it".
     line = marks(F.col(at) - reach, 0).unionByName(marks(F.col(at), 1)).unionByName(marks(F.col(at), 2))
     order = [F.col("_at"), F.col("_side"), F.col("_id")]
-    run = {f"_r_{name}": F.col(name) for name in sums}
+    known = {f"_c_{name}": F.when((F.col("_side") == 1) & F.col(name).isNotNull(), 1).otherwise(0) for name in sums}
+    run = {f"_r_{name}": F.coalesce(F.col(name), F.lit(0)) for name in sums} | known
     answered = with_running(line, keys, order, run, most_rows)
     sign = F.when(F.col("_side") == 2, 1).when(F.col("_side") == 0, -1)
-    answers = answered.groupBy("_id").agg(*[F.sum(sign * F.col(f"_r_{n}")).alias(n) for n in sums])
+    answers = answered.groupBy("_id").agg(*[F.sum(sign * F.col(name)).alias(name) for name in run])
+    answers = answers.select("_id", *[F.when(F.col(f"_c_{n}") > 0, F.col(f"_r_{n}")).alias(n) for n in sums])
     return _both(small, large.join(answers, F.col(id) == F.col("_id")))
 
 
+def _trailing_range_by_stretch(
+    large: DataFrame, keys: Sequence[str], at: str, reach: int, sums: Mapping[str, Column]
+) -> DataFrame:
+    length = max(reach, 1)
+    start = F.col(at) - F.pmod(F.col(at), F.lit(length))
+    own = large.withColumns({"_stretch": start, "_own": F.lit(True)})
+    taken = large.where(F.col(at).isNotNull()).withColumns({"_stretch": start + length, "_own": F.lit(False)})
+    window = Window.partitionBy(*keys, "_stretch").orderBy(at).rangeBetween(-reach, Window.currentRow)
+    found = own.unionByName(taken).withColumns({name: F.sum(value).over(window) for name, value in sums.items()})
+    return found.where("_own").drop("_stretch", "_own")
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their ``place``.
 

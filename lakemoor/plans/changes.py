@@ -15,23 +15,21 @@ from lakemoor.sources.names import quote, quote_text
 @query(
     "P70",
     """
-    SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal >= 0
+    SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer
     UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier
     """,
 )
 def create_and_insert(at: Mounted) -> DataFrame:
     at.spark.sql("CREATE DATABASE IF NOT EXISTS lakemoor_scratch")
-    for name in ("customer", "supplier"):
-        at.lake.mount(at.db, name)
     path = scratch_path(at.spark, "accounts")
     target = f"lakemoor_scratch.{quote(path.rsplit('/', 1)[-1].replace('-', '_'))}"
-    at.spark.sql(
+    at.lake.sql(
         f"""
         CREATE TABLE {target} USING parquet LOCATION {quote_text(path)} AS
-        SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM `{at.db}`.customer WHERE c_acctbal >= 0
+        SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM `{at.db}`.customer
         """
     )
-    at.spark.sql(f"INSERT INTO {target} SELECT s_suppkey, s_name, s_acctbal FROM `{at.db}`.supplier")
+    at.lake.sql(f"INSERT INTO {target} SELECT s_suppkey, s_name, s_acctbal FROM `{at.db}`.supplier")
     return at.spark.table(target)
 
 

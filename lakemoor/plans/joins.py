@@ -32,14 +32,13 @@ same_sql(
     SELECT c_custkey, c_name, coalesce(n, 0) AS orders, coalesce(spent, 0.0) AS spent
     FROM customer LEFT JOIN (
         SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders
-        WHERE o_totalprice > 400000 GROUP BY o_custkey) ON o_custkey = c_custkey
+        GROUP BY o_custkey) ON o_custkey = c_custkey
     """,
 )
 def join_left(at: Mounted) -> DataFrame:
     # Orders are reduced to one row per customer before the join.
     per_customer = (
         at.table("orders")
-        .where("o_totalprice > 400000")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
     )
@@ -108,7 +107,8 @@ def join_inequality(at: Mounted) -> DataFrame:
     "P13",
     """
     SELECT n.n_nationkey, y.range AS year, count(o_orderkey) AS orders
-    FROM nation n CROSS JOIN range(1994, 2003) y
+    FROM nation n CROSS JOIN (
+        SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS range FROM orders) y
     LEFT JOIN (SELECT c_nationkey, year(o_orderdate) AS yr, o_orderkey
                FROM orders JOIN customer ON o_custkey = c_custkey) o
            ON o.c_nationkey = n.n_nationkey AND o.yr = y.range
@@ -122,7 +122,8 @@ def join_every_year(at: Mounted) -> DataFrame:
         FROM {db}.orders JOIN {db}.customer ON o_custkey = c_custkey GROUP BY 1, 2
         """
     )
-    years = F.sequence(F.lit(1994).cast("bigint"), F.lit(2002).cast("bigint"))
+    span = at.sql("SELECT min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last FROM {db}.orders").first()
+    years = F.sequence(F.lit(span["first"]).cast("bigint"), F.lit(span["last"]).cast("bigint"))
     return dense_grid(facts, at.table("nation"), "n_nationkey", "year", years, "orders")
 
 
@@ -211,7 +212,6 @@ same_sql(
     JOIN {db}.orders ON l_orderkey = o_orderkey
     JOIN {db}.customer ON o_custkey = c_custkey
     JOIN {db}.nation ON c_nationkey = n_nationkey
-    WHERE p_size < 10
     GROUP BY n_name, p_brand, year(o_orderdate)
     """,
 )

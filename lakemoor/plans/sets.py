@@ -29,7 +29,7 @@ same_sql(
 )
 
 _CUSTOMERS = "SELECT c_nationkey AS nation FROM {db}.customer"
-_SUPPLIERS = "SELECT s_nationkey AS nation FROM {db}.supplier WHERE s_acctbal > 5000"
+_SUPPLIERS = "SELECT s_nationkey AS nation FROM {db}.supplier"
 
 same_sql("union_all", "P43", f"{_CUSTOMERS} UNION ALL {_SUPPLIERS}")
 same_sql("union_distinct", "P43", f"{_CUSTOMERS} UNION {_SUPPLIERS}")

@@ -18,17 +18,13 @@ from lakemoor.streaming.tables import (
 
 
 def _events(at: Mounted) -> DataFrame:
-    return stream_table(at.spark, at.root, at.table("events").schema, only=f"events{SUFFIX}")
+    return stream_table(at.spark, f"{at.root}/events{SUFFIX}", at.table("events").schema)
 
 
 def _counted() -> list[Column]:
     return [F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("value")]
 
 
-# Append mode holds a window back until the watermark (in whole milliseconds) has passed its end.
-_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
-
-
 @query("P80", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def stream_rows(at: Mounted) -> DataFrame:
     return run_available(_events(at).drop("props"), "stream_rows")
@@ -36,17 +32,16 @@ def stream_rows(at: Mounted) -> DataFrame:
 
 @query(
     "P81 P82",
-    f"""
-    SELECT * FROM (
-        SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-               event_type, count(*) AS events, round(sum(value), 2) AS value
-        FROM events GROUP BY 1, 2, 3)
-    WHERE window_end <= {_CLOSED}
+    """
+    SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+           event_type, count(*) AS events, round(sum(value), 2) AS value
+    FROM events GROUP BY 1, 2, 3
     """,
 )
 def stream_tumbling(at: Mounted) -> DataFrame:
     stream = event_time(_events(at), "ts", "10 minutes")
-    return run_available(windowed(stream, "ts", "1 hour", ["event_type"], _counted()), "stream_tumbling")
+    found = windowed(stream, "ts", "1 hour", ["event_type"], _counted())
+    return newest_rows(run_batches(found, "stream_tumbling", "update"), ["window_start", "event_type"])
 
 
 @query(
@@ -64,23 +59,23 @@ def stream_days_complete(at: Mounted) -> DataFrame:
 
 @query(
     "P83",
-    f"""
+    """
     SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS events,
            round(sum(value), 2) AS value
     FROM (SELECT value, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start
           FROM events CROSS JOIN (VALUES (0), (1), (2), (3)) v(k))
-    WHERE window_start + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY window_start
+    GROUP BY window_start
     """,
 )
 def stream_sliding(at: Mounted) -> DataFrame:
     stream = event_time(_events(at), "ts", "10 minutes")
     found = windowed(stream, "ts", "1 hour", [], _counted(), slide="15 minutes")
-    return run_available(found, "stream_sliding")
+    return newest_rows(run_batches(found, "stream_sliding", "update"), ["window_start"])
 
 
 @query(
     "P84",
-    f"""
+    """
     WITH marked AS (
         SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
@@ -89,12 +84,14 @@ def stream_sliding(at: Mounted) -> DataFrame:
     )
     SELECT min(ts) AS window_start, max(ts) + INTERVAL 5 MINUTE AS window_end, user_id,
            count(*) AS events, round(sum(value), 2) AS value
-    FROM numbered GROUP BY user_id, session HAVING max(ts) + INTERVAL 5 MINUTE <= {_CLOSED}
+    FROM numbered GROUP BY user_id, session
     """,
 )
 def stream_sessions(at: Mounted) -> DataFrame:
     stream = event_time(_events(at), "ts", "10 minutes")
-    return run_available(sessions(stream, "ts", "5 minutes", ["user_id"], _counted()), "stream_sessions")
+    # Sessions have no update mode: complete mode gives the open ones as well.
+    found = sessions(stream, "ts", "5 minutes", ["user_id"], _counted())
+    return last_batch(run_batches(found, "stream_sessions", "complete"))
 
 
 @query("P85", "SELECT event_id, ts, user_id, event_type, value FROM events")

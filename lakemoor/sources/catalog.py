@@ -27,10 +27,14 @@ OUTCOME_SCHEMA = (
     "row_count bigint, truncated boolean"
 )
 
-# Statements that only read: the ones that may mount what they name.
-_READS = re.compile(r"(?:SELECT|WITH|FROM|VALUES|TABLE|DESCRIBE|DESC|EXPLAIN)\b", re.IGNORECASE)
-_WRITES_INSIDE = re.compile(r"\bINSERT\s+(?:INTO|OVERWRITE)\b", re.IGNORECASE)
-_LEADING_NOISE = re.compile(r"(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/|\()+", re.DOTALL)
+# What stands before the statement that EXPLAIN is asked about.
+_EXPLAIN = re.compile(
+    r"(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*EXPLAIN\s+(?:(?:LOGICAL|FORMATTED|EXTENDED|CODEGEN|COST)\s+)?",
+    re.DOTALL | re.IGNORECASE,
+)
+# Nodes of a parsed statement that change the table they name, and nodes that stand for such a table.
+_CHANGES = ("DeleteFromTable", "UpdateTable", "MergeIntoTable")
+_CHANGED = ("UnresolvedIdentifier", "UnresolvedTable")
 
 
 class UnknownDatabase(ValueError):
@@ -178,12 +182,14 @@ class Lake:
     # -- SQL ---------------------------------------------------------------------------
 
     def sql(self, text: str) -> DataFrame:
-        """``spark.sql``; a query that names stored but unmounted tables mounts them first.
+        """``spark.sql``; a statement that reads stored but unmounted tables mounts them first.
 
-        The analyzer reports one missing name at a time, so each round mounts one table. A name
-        is tried once, which ends the loop when mounting it did not help.
+        That holds for what is read inside CREATE … AS, CACHE, INSERT, EXPLAIN and SHOW as well. A
+        statement that would change a table of a registered database mounts nothing. The
+        analyzer reports one missing name at a time, so each round mounts one table. A name is
+        tried once, which ends the loop when mounting it did not help.
         """
-        may_mount = _only_reads(text)
+        may_mount = self._may_mount(text)
         tried: set[tuple[str, str]] = set()
         while True:
             try:
@@ -196,6 +202,22 @@ class Lake:
                 tried.add(target)
                 self.mount(*target)
 
+    def _may_mount(self, text: str) -> bool:
+        try:
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        except Exception:  # running the statement raises the same, for the caller
+            return False
+        if plan.getClass().getSimpleName() == "ExplainCommand":
+            # The analyzer puts its errors into the answer here, so the statement itself is tried.
+            asked = _EXPLAIN.sub("", text, count=1)
+            inner = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(asked)
+            if asked != text and not _is_command(self.spark, inner):
+                self.sql(asked)
+            return False
+        current = self.spark.catalog.currentDatabase()
+        owners = {(parts[-2] if len(parts) > 1 else current).lower() for parts in _changed_names(plan)}
+        return owners.isdisjoint(self._known)
+
     def _unmounted(self, error: AnalysisException) -> tuple[str, str] | None:
         """The table a failed query misses, if a registered database may hold it."""
         if error.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
@@ -335,7 +357,26 @@ def _quiet_errors():
         log.setLevel(level)
 
 
-def _only_reads(text: str) -> bool:
-    noise = _LEADING_NOISE.match(text)
-    start = noise.end() if noise else 0
-    return bool(_READS.match(text, start)) and not _WRITES_INSIDE.search(text)
+def _is_command(spark: SparkSession, plan) -> bool:
+    command = "org.apache.spark.sql.catalyst.plans.logical.Command"
+    return spark._jvm.java.lang.Class.forName(command).isInstance(plan)
+
+
+def _changed_names(plan) -> list[list[str]]:
+    """The name parts of all tables that a parsed statement creates or changes."""
+    kind = plan.getClass().getSimpleName()
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    found: list[list[str]] = []
+    if kind == "InsertIntoStatement":
+        found.append(_parts(plan.table().multipartIdentifier()))
+    elif kind in _CHANGES:
+        found.append(_parts(plan.collectLeaves().head().multipartIdentifier()))
+    elif kind in _CHANGED:
+        found.append(_parts(plan.nameParts() if kind == "UnresolvedIdentifier" else plan.multipartIdentifier()))
+    for child in children:
+        found += _changed_names(child)
+    return found
+
+
+def _parts(names) -> list[str]:
+    return [names.apply(i) for i in range(names.size())]

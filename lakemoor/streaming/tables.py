@@ -14,19 +14,26 @@ from lakemoor.sources.files import DEFAULT_FORMAT
 
 def stream_table(
     spark: SparkSession,
-    directory: str,
+    path: str,
     schema: T.StructType | str,
     fmt: str = DEFAULT_FORMAT,
     only: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """The files of a directory as a stream. ``only`` is a pattern of file names."""
+    """The files of a table as a stream: those of a directory, or the one file that ``path`` names.
+
+    ``only`` is a pattern of file names in a directory.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        only = "".join(f"\\{sign}" if sign in "*?[]{}\\" else sign for sign in at.getName())
+        path = at.getParent().toString()
     reader = spark.readStream.format(fmt).schema(schema)
     if only:
         reader = reader.option("pathGlobFilter", only)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(directory)
+    return reader.load(path)
 
 
 def event_time(stream: DataFrame, at: str, lateness: str) -> DataFrame:
@@ -65,9 +72,12 @@ def run_batches(
     """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
+    schema = each(spark.createDataFrame([], stream.schema)).schema
+    written: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        written.append(number)
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -77,7 +87,10 @@ def run_batches(
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/data")
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    if not written:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/data")
 
 
 def newest_rows(batches: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -246,3 +246,23 @@ def test_snapshot_and_columns(stored):
     assert columns == [("id", "bigint"), ("name", "string")]
     registered = lake.databases().where("registered").collect()
     assert [r["database"].lower() for r in registered] == [db.lower()]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "CREATE TEMPORARY VIEW seen_{n} AS SELECT * FROM {db}.customer",
+        "CACHE TABLE kept_{n} AS SELECT * FROM {db}.customer",
+        "CREATE TABLE copy_{n} USING parquet AS SELECT * FROM {db}.customer",
+        "INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT * FROM {db}.customer",
+        "SHOW COLUMNS IN {db}.customer",
+        "EXPLAIN SELECT * FROM {db}.customer",
+        "/* why */ EXPLAIN FORMATTED SELECT * FROM {db}.customer",
+        "SELECT count(*) FROM {db}.customer WHERE 'insert into x' <> 'UnresolvedTable [a, b]' -- insert into y",
+    ],
+)
+def test_what_a_statement_reads_is_mounted(stored, tmp_path, text):
+    lake, db = stored
+    found = lake.sql(text.format(db=db, n=tmp_path.name.replace("-", "_"), path=tmp_path / "out")).collect()
+    assert lake.is_mounted(db, "customer")
+    assert not any("Error occurred" in str(row) for row in found)

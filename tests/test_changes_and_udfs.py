@@ -30,6 +30,12 @@ def test_upsert(spark, target):
     ]
 
 
+def test_upsert_refuses_two_rows_of_one_key(spark, target):
+    twice = spark.createDataFrame([(2, "x", 1.0), (2, "y", 2.0)], target.schema)
+    with pytest.raises(Exception, match="two rows of the patch"):
+        upsert(target, twice, ["id"]).collect()
+
+
 def test_update_reads_old_values(target):
     changed = update_rows(target, F.col("id") < 3, {"id": F.col("id") * 10, "x": F.col("id") + 0.5})
     assert rows(changed) == [(10, "a", 1.5), (20, "b", 2.5), (3, None, 3.0)]

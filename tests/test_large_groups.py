@@ -51,9 +51,15 @@ def rows(spark):
     return spark.createDataFrame(data, "k int, id bigint, v int, w double").cache()
 
 
+def _plain(x):
+    if isinstance(x, float):
+        return "nan" if x != x else round(x, 9)
+    return x
+
+
 def same(build):
     def rounded(df):
-        lines = [tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.collect()]
+        lines = [tuple(_plain(x) for x in row) for row in df.collect()]
         return sorted(lines, key=repr)
 
     usual, split = rounded(build(10**9)), rounded(build(40))
@@ -109,8 +115,7 @@ def test_neighbours(rows, before, after, nth):
 
 @pytest.mark.parametrize("reach", [0, 2, 60])
 def test_trailing_rows(rows, reach):
-    some = rows.na.fill(0, ["v"])
-    same(lambda m: with_trailing_rows(some, ["k"], ORDER, C("v"), "total", reach, m))
+    same(lambda m: with_trailing_rows(rows, ["k"], ORDER, C("v"), "total", reach, m))
 
 
 @pytest.mark.parametrize("reach", [0, 3])
@@ -119,6 +124,26 @@ def test_trailing_range(rows, reach):
     same(lambda m: with_trailing_range(some, ["k"], "v", "id", reach, {"n": F.lit(1), "ids": C("id")}, m))
 
 
+@pytest.fixture(scope="module")
+def doubles(spark):
+    """One key, values that a difference of running sums would lose: huge ones, NaN, infinities, NULL."""
+    rng = random.Random(11)
+    odd = [1e17, float("nan"), float("inf"), float("-inf"), None, 1.0, 2.0, 3.0, None, 4.0, 1e-9]
+    data = [(0, i, i // 2, rng.choice(odd)) for i in range(300)]
+    # Stretches of NULL alone, and of small numbers behind a huge one.
+    data += [(0, 300 + i, 200 + i, None) for i in range(20)] + [(0, 320, 220, 1e17)]
+    data += [(0, 321 + i, 221 + i, float(i)) for i in range(60)] + [(0, 400, None, 1.0), (0, 401, None, 2.0)]
+    return spark.createDataFrame(data, "k int, id bigint, at bigint, x double").cache()
+
+
+@pytest.mark.parametrize("reach", [1, 5, 70])
+def test_trailing_sums_of_doubles(doubles, reach):
+    same(lambda m: with_trailing_rows(doubles, ["k"], ["id"], C("x"), "total", reach, m))
+    same(lambda m: with_trailing_range(doubles, ["k"], "at", "id", reach, {"total": C("x")}, m))
+    whole = {"n": F.when(C("x") > 1, C("id"))}
+    same(lambda m: with_trailing_range(doubles.where("at IS NOT NULL"), ["k"], "at", "id", reach, whole, m))
+
+
 def test_quantiles(rows):
     found = same(lambda m: exact_quantiles(rows, ["k"], "id", {"low": 0.1, "mid": 0.5, "top": 1.0}, m))
     expected = rows.groupBy("k").agg(*[F.percentile("id", p).alias(f"p{i}") for i, p in enumerate((0.1, 0.5, 1.0))])
