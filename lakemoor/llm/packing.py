@@ -58,7 +58,8 @@ def cut_places(lengths: np.ndarray, sentence_ends: np.ndarray, window: int = WIN
     places = _union(ends, inside)
     gaps = np.diff(places, prepend=0)
     long = np.flatnonzero(gaps > window)
-    steps = [np.arange(places[i] - gaps[i] + STEP, places[i], STEP) for i in long]
+    step = min(STEP, window)
+    steps = [np.arange(places[i] - gaps[i] + step, places[i], step) for i in long]
     steps = np.concatenate([*steps, np.empty(0, np.int64)]).astype(np.int64)
     places = _union(places, steps)
     cost = np.full(len(places), SENTENCE_COST, np.int64)
