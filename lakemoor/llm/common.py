@@ -49,6 +49,14 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish``, or the next longer name that is not taken in any case."""
+    lowered = {name.lower() for name in taken}
+    while wish.lower() in lowered:
+        wish += "_"
+    return wish
+
+
 def each_batch(handle: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """A function for ``mapInArrow`` that turns one batch into one batch."""
 

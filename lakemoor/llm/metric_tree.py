@@ -177,10 +177,10 @@ def largest_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale:
 @query(
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x
+      SELECT vec_id, [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
       FROM embeddings
       WHERE embedding IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
     ), scored AS (
       SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemoor.llm.common import each_batch, query, table, texts_of
+from lakemoor.llm.common import each_batch, free_name, query, table, texts_of
 from lakemoor.session import scratch_path
 
 
@@ -153,15 +153,20 @@ def redact(docs: DataFrame, ledger_path: str, rules: Sequence[Rule] = RULES, mar
     blob = blob_id(F.coalesce("text", F.lit("")))
     hit = scan_unseen(texts_of(docs), ledger_path, rules).filter(F.size("findings") > 0)
     hit = hit.select(F.col("blob_id").alias("text_id"), "findings")
-    marked = docs.select(F.struct("*").alias("row"), blob.alias("text_id")).join(hit, "text_id", "left")
-    masked = _masked(F.col("row.text"), F.col("findings"), mark)
-    columns = [F.col(f"row.`{name}`").alias(name) for name in docs.columns if name not in ("text", "n_chars")]
-    text = F.when(F.col("findings").isNull(), F.col("row.text")).otherwise(masked).alias("text")
-    out = marked.select(*columns, text)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.char_length("text").cast(kind))
-    return out.select(*docs.columns)
+    held = free_name(docs.columns, "held")  # a column of the same name would hide it
+    marked = docs.select(F.struct("*").alias(held), blob.alias("text_id")).join(hit, "text_id", "left")
+    whole = F.col(held).getField("text")
+    masked = F.when(F.col("findings").isNull(), whole).otherwise(_masked(whole, F.col("findings"), mark))
+    out = marked.select(held, masked.alias("masked"))
+    columns = []
+    for name in docs.columns:
+        value = F.col(held).getField(name)
+        if name == "text":
+            value = F.col("masked")
+        elif name == "n_chars":
+            value = F.char_length("masked").cast(docs.schema["n_chars"].dataType)
+        columns.append(value.alias(name))
+    return out.select(*columns)
 
 
 def _masked(text: Column, findings: Column, mark: str) -> Column:

@@ -1,0 +1,93 @@
+import random
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from odd import TEXTS, odd_documents
+
+from lakemoor.llm import unigram
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def fields(raw):
+    """Number, wire type, start and end of the content of each field of a protocol buffer."""
+
+    def number(at):
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = number(at)
+        if tag & 7 == 2:
+            size, at = number(at)
+        else:
+            size = {0: number(at)[1] - at, 1: 8, 5: 4}[tag & 7]
+        yield tag >> 3, tag & 7, at, at + size
+        at += size
+
+
+@pytest.fixture(scope="module")
+def lattice():
+    """The library's unigram lattice over the same pieces and scores."""
+    raw = bytearray(open(PATH, "rb").read())
+    for field, _, start, stop in fields(bytes(raw)):
+        if field == 2:  # how it was trained; 3 in there is the kind of model
+            for inner, _, place, _ in fields(bytes(raw[start:stop])):
+                if inner == 3:
+                    raw[start + place] = 1  # unigram
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(raw))
+
+
+def test_best_of_the_lattice(lattice):
+    counter = unigram.UnigramCounter(PATH)
+    rnd = random.Random(2)
+    texts = ["the", "then athawh", "x", "lere, herestanble"]
+    texts += ["".join(rnd.choices("aeionrsth ", k=rnd.randrange(1, 25))) for _ in range(400)]
+    for text in texts:
+        best = lattice.nbest_encode_as_pieces(text, 3)
+        scores = [sum(lattice.get_score(lattice.piece_to_id(p)) for p in one) for one in best]
+        (count,), (score,) = counter.count([text])
+        assert score == scores[0], text
+        assert count in {len(one) for one, value in zip(best, scores) if value == scores[0]}
+
+
+def plain(counter, word):
+    """Every segmentation, by recursion."""
+    if not word:
+        return (0.0, 0)
+    found = []
+    for n in range(1, len(word) + 1):
+        piece, rest = word[-n:], word[:-n]
+        if counter._found.exists(piece):
+            score, count = plain(counter, rest)
+            found.append((score + counter._found.get(piece)[1], n, count + 1))
+    if word[-1] not in counter._single:
+        score, count = plain(counter, word[:-1])
+        found.append((score + counter._unknown, 0, count + len(word[-1].encode())))
+    score, _, count = max(found)  # ties to the longer last piece
+    return score, count
+
+
+def test_ties_and_unknown_characters():
+    counter = unigram.UnigramCounter(PATH)
+    rnd = random.Random(4)
+    for _ in range(300):
+        word = "".join(rnd.choices("▁aeth🙂日\x01", k=rnd.randrange(1, 9)))
+        score, count = plain(counter, word)
+        assert counter._word(word) == (count, score), word
+
+
+def test_rows(spark):
+    docs = odd_documents(spark, "n_tokens", "score")
+    rows = unigram.token_counts(docs, PATH).collect()
+    counter = unigram.UnigramCounter(PATH)
+    want = sorted((i or 0, int(counter.count([text or ""])[0][0])) for i, text in TEXTS)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == want
+    assert {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
+    assert unigram.token_counts(docs.limit(0), PATH).collect() == []
