@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakemoor.functions.cells import TextTable, text_rows
 from lakemoor.sources.catalog import Lake
+from lakemoor.session import pinned
 
 # Fixed values of the mount report and the table sample.
 LISTED_TABLES = 50
@@ -41,7 +42,8 @@ def table_sample(lake: Lake, database: str, table: str, order_by: Sequence[str]
     df = lake.table(database, table)
     if order_by:
         df = df.orderBy(*order_by)
-    return text_rows(df.limit(SAMPLE_ROWS), width=SAMPLE_WIDTH)
+    # Taken once, so that widths and lines speak of the same rows.
+    return text_rows(pinned(df.limit(SAMPLE_ROWS)), width=SAMPLE_WIDTH)
 
 
 def mount_report(report: DataFrame, max_listed: int = LISTED_TABLES) -> DataFrame:

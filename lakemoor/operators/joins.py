@@ -13,6 +13,7 @@ from lakemoor.operators.ordered import MOST_BROADCAST_ROWS, MOST_GROUP_ROWS, wit
 from lakemoor.session import pinned
 
 # The most bytes of measured values that are sent to every executor.
+PAIRS_PER_ROW = 1000  # pairs a task may compare for each row it may hold
 MOST_BROADCAST_BYTES = 64 * 1024 * 1024
 
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -93,36 +94,59 @@ def interval_join(
 ) -> DataFrame:
     """Pairs of points and intervals with equal ``on`` and ``start <= at <= end``.
 
-    ``at``, ``start`` and ``end`` are whole numbers. Both sides meet in cells of ``width``; a point
-    lies in one cell and an interval in each cell it touches, so every pair is found once. Cells
-    with more than ``most_rows`` rows on a side are cut into blocks on that side, and the other
-    side visits each block. Column names of the two sides must differ, except for ``on``.
+    ``at``, ``start`` and ``end`` are whole numbers. Both sides meet in cells of ``width`` doubled as
+    often as an interval needs to touch two of them at most; a point lies in one cell of each
+    size in use (64 at most), so every pair is found once, and open-ended intervals cost no more than others.
+    Cells with more than ``most_rows`` rows on a side, or with more pairs to compare than
+    ``PAIRS_PER_ROW`` times as many, are cut into blocks, and the other side visits each block. Column
+    names of the two sides must differ, except for ``on``.
     """
     keys = list(on)
-    cell = F.floor(F.col(at) / width).cast("bigint")
-    p = points.withColumn("_cell", cell)
-    first = F.floor(F.col(start) / width).cast("bigint")
-    last = F.floor(F.col(end) / width).cast("bigint")
-    i = intervals.where(F.col(start) <= F.col(end)).withColumn("_cell", F.explode(F.sequence(first, last)))
-    where = [*keys, "_cell"]
-    p_blocks, i_blocks = _blocks(p, where, most_rows), _blocks(i, where, most_rows)
-    if p_blocks is not None:
-        p, i = _cut(p, p_blocks, where, "_p_block"), _visit(i, p_blocks, where, "_p_block")
-        where = [*where, "_p_block"]
-    if i_blocks is not None:
-        i, p = _cut(i, i_blocks, [*keys, "_cell"], "_i_block"), _visit(p, i_blocks, [*keys, "_cell"], "_i_block")
-        where = [*where, "_i_block"]
+    ordered = intervals.where(F.col(start) <= F.col(end))
+    ordered = ordered.withColumns({"_first": _base_cell(start, width), "_last": _base_cell(end, width)})
+    cells = F.col("_last") - F.col("_first")
+    level = F.when(cells > 1, F.length(F.bin(cells - 1))).otherwise(0).cast("int")
+    touched = F.array_distinct(F.array(F.expr("shiftright(_first, _level)"), F.expr("shiftright(_last, _level)")))
+    i = ordered.withColumn("_level", level).withColumn("_cell", F.explode(touched)).drop("_first", "_last")
+    levels = sorted(row["_level"] for row in i.select("_level").distinct().collect())  # 64 numbers at most
+    p = points.withColumn("_base", _base_cell(at, width))
+    p = p.withColumn("_level", F.explode(F.lit(levels).cast("array<int>")))
+    p = p.withColumn("_cell", F.expr("shiftright(_base, _level)")).drop("_base")
+    where = at_cell = [*keys, "_level", "_cell"]
+    blocks = _blocks(p, i, where, most_rows)
+    if blocks is not None:
+        p_blocks = blocks.select(*at_cell, F.col("_p_blocks").alias("_blocks"))
+        i_blocks = blocks.select(*at_cell, F.col("_i_blocks").alias("_blocks"))
+        p, i = _cut(p, p_blocks, at_cell, "_p_block"), _visit(i, p_blocks, at_cell, "_p_block")
+        i, p = _cut(i, i_blocks, at_cell, "_i_block"), _visit(p, i_blocks, at_cell, "_i_block")
+        where = [*at_cell, "_p_block", "_i_block"]
     joined = p.join(i, where).where(F.col(at).between(F.col(start), F.col(end)))
     return joined.drop(*[c for c in where if c not in keys])
 
 
-def _blocks(df: DataFrame, where: Sequence[str], most_rows: int) -> DataFrame | None:
-    """The number of blocks of each cell that needs several, or ``None`` if no cell does."""
-    sizes = df.groupBy(*where).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > most_rows)
-    large = sizes.select(*where, F.ceil(F.col("_size") / most_rows).cast("int").alias("_blocks"))
+def _base_cell(at: str, width: int) -> Column:
+    at = F.col(at).cast("bigint")
+    return F.call_function("div", at - F.pmod(at, F.lit(width).cast("bigint")), F.lit(width).cast("bigint"))
+
+
+def _blocks(p: DataFrame, i: DataFrame, where: Sequence[str], most_rows: int) -> DataFrame | None:
+    """How many blocks each side of a cell needs, of cells that need several; ``None`` if no cell does."""
+    p_sizes = p.groupBy(*where).agg(F.count(F.lit(1)).alias("_p"))
+    i_sizes = i.groupBy(*where).agg(F.count(F.lit(1)).alias("_i"))
+    pairs = F.col("_p").cast("double") * F.col("_i")
+    each = F.ceil(F.sqrt(pairs / (float(most_rows) * PAIRS_PER_ROW)))
+
+    def needed(size: str) -> Column:
+        return F.greatest(F.ceil(F.col(size) / most_rows), F.least(each, F.col(size))).cast("int")
+
+    large = p_sizes.join(i_sizes, list(where)).select(
+        *where, needed("_p").alias("_p_blocks"), needed("_i").alias("_i_blocks")
+    )
+    large = large.where("_p_blocks > 1 OR _i_blocks > 1")
     count = large.count()
     if count == 0:
         return None
+    large = pinned(large)
     return F.broadcast(large) if count <= MOST_BROADCAST_ROWS else large
 
 

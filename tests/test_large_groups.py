@@ -174,6 +174,20 @@ def test_intervals(rows, width):
     assert found == sorted([tuple(r) for r in brute.select("p.p", "i.i").collect()], key=repr)
 
 
+def test_intervals_of_any_length(spark):
+    """Open-ended intervals touch few cells, and a cell hot on both sides is cut."""
+    points = spark.range(300).selectExpr("1 AS k", "id AS p", "id * 1000 - 5000 AS v")
+    rows = [(1, 0, -(10**15), 10**17), (1, 1, 0, 0), (1, 2, 10**10, 10**16), (1, 3, -10**16, -1), (1, 4, 7, 3)]
+    intervals = spark.createDataFrame(rows, "k int, i int, s bigint, e bigint")
+    found = interval_join(points, intervals, ["k"], "v", "s", "e", 10).groupBy("i").count().collect()
+    assert {r["i"]: r["count"] for r in found} == {0: 300, 1: 1, 3: 5}
+    many = spark.range(400).selectExpr("1 AS k", "id AS i", "0L AS s", "id % 7 AS e")
+    hot = spark.range(400).selectExpr("1 AS k", "id AS p", "id % 5 AS v")
+    joined = interval_join(hot, many, ["k"], "v", "s", "e", 100, most_rows=1)
+    want = hot.alias("p").join(many.alias("i"), F.expr("p.v BETWEEN i.s AND i.e")).count()
+    assert joined.count() == want
+
+
 def test_count_below(rows):
     left, right = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
     found = dict(same(lambda m: count_below(left, right, "id", "id", "n", m)))
