@@ -42,13 +42,14 @@ class Bounded:
         return self.probe.limit(self.limit)
 
     def summary(self) -> DataFrame:
-        """One row ``(row_count, truncated, limit)``, from a count of at most ``limit + 1`` rows."""
-        n = F.col("n")
-        return self.probe.agg(F.count(F.lit(1)).alias("n")).select(
-            F.least(n, F.lit(self.limit)).cast("bigint").alias("row_count"),
-            (n > self.limit).alias("truncated"),
-            F.lit(self.limit).alias("limit"),
-        )
+        """One row ``(row_count, truncated, limit)``.
+
+        Rows without content are fetched, ``limit + 1`` at most: Spark reads only as many splits as
+        it takes to find them, where a count would start a task for each.
+        """
+        n = len(self.probe.select(F.lit(1).alias("one")).collect())
+        row = (min(n, self.limit), n > self.limit, self.limit)
+        return self.probe.sparkSession.createDataFrame([row], "row_count bigint, truncated boolean, limit int")
 
     def fetch_rows(self) -> list[Row]:
         return self.probe.collect()

@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakemoor.operators.ordered import MOST_BROADCAST_ROWS, MOST_GROUP_ROWS, with_last_known, with_running
+from lakemoor.operators.ordered import (
+    MOST_BROADCAST_ROWS,
+    MOST_GROUP_ROWS,
+    MOST_VALUES,
+    with_last_known,
+    with_running,
+)
 from lakemoor.session import pinned
 
 # The most bytes of measured values that are sent to every executor.
@@ -193,7 +199,7 @@ def asof_join(
 
 
 def count_below(left: DataFrame, right: DataFrame, left_value: str, right_value: str, out: str,
-                most_rows: int = MOST_GROUP_ROWS) -> DataFrame:
+                most_rows: int = MOST_VALUES) -> DataFrame:
     """For each distinct value of ``left`` the number of ``right`` rows with a smaller value.
 
     An inequality join that is only counted needs no pairs: both sides are counted per value, put

@@ -26,6 +26,8 @@ from lakemoor.session import pinned
 # Rows of one group that a single task may sort, and rows that may be broadcast.
 MOST_GROUP_ROWS = 5_000_000
 MOST_BROADCAST_ROWS = 10_000
+# Distinct values of one group that a single task counts up, where only counts per value are ordered.
+MOST_VALUES = 250_000
 # Segments per call. Their borders are sampled by the driver; beyond this they get longer instead.
 MOST_SEGMENTS = 20_000
 
@@ -403,7 +405,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     shares: Mapping[str, float],
-    most_rows: int = MOST_GROUP_ROWS,
+    most_rows: int = MOST_VALUES,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one column per entry of ``shares``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakemoor.functions.cells import NO_RESULT, text_rows
 from lakemoor.functions.values import normalise
-from lakemoor.operators.bounded import BoundedRows, bounded, checked_limit
+from lakemoor.operators.bounded import MOST_ROWS, BoundedRows, bounded, checked_limit
 from lakemoor.sources.files import DEFAULT_FORMAT, register_path
 from lakemoor.sources.names import database_name, name_parts, quote
 
@@ -67,6 +67,7 @@ class Lake:
     spark: SparkSession
     fmt: str = DEFAULT_FORMAT
     default_limit: int = DEFAULT_LIMIT
+    most_rows: int = MOST_ROWS
     _known: dict[str, Database] = field(default_factory=dict)
 
     # -- databases ---------------------------------------------------------------------
@@ -97,6 +98,17 @@ class Lake:
             if name.lower() not in barred and not name.startswith((".", "_"))
         ]
 
+    def add_listed(self, listing: DataFrame, parent: str, inside: str = "", suffix: str = "") -> list[str]:
+        """Register the databases of a listing (``name``, ``id``) whose folders are called by their ids.
+
+        A name that stands for two ids is an error.
+        """
+        rows = sorted({(row["name"], row["id"]) for row in listing.select("name", "id").collect()})
+        return [
+            self.add_database("/".join(filter(None, [parent.rstrip("/"), folder, inside])), name, suffix)
+            for name, folder in rows
+        ]
+
     def _list(self, directory: str):
         """The entries of one directory; what lies deeper is not listed."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(directory)
@@ -107,7 +119,7 @@ class Lake:
         found = self._known.get(name.lower())
         if found is None:
             known = sorted(d.name for d in self._known.values())
-            raise UnknownDatabase(f"unknown database {name!r}; known: {known}")
+            raise UnknownDatabase(f"no database {name!r} is registered here, only {', '.join(known) or 'none at all'}")
         return found
 
     def databases(self) -> DataFrame:
@@ -234,20 +246,20 @@ class Lake:
 
     def run_sql(self, text: str, limit: int | None = None) -> BoundedRows:
         """Run a statement and bring at most ``limit`` of its rows, in plain form, to the driver."""
-        limit = checked_limit(self.default_limit if limit is None else limit)
+        limit = checked_limit(self.default_limit if limit is None else limit, self.most_rows)
         df = self.sql(text)
         if not df.columns:
             return BoundedRows([], [], 0, False, limit)
-        return bounded(normalise(df), limit).fetch()
+        return bounded(normalise(df), limit, self.most_rows).fetch()
 
     def show_sql(self, text: str, limit: int | None = None) -> str:
         """:meth:`run_sql` as a text table."""
-        limit = checked_limit(self.default_limit if limit is None else limit)
+        limit = checked_limit(self.default_limit if limit is None else limit, self.most_rows)
         df = self.sql(text)
         if not df.columns:
             return NO_RESULT
         # Fetched once, so that widths, lines and footer speak of the same rows.
-        part = bounded(normalise(df), limit)
+        part = bounded(normalise(df), limit, self.most_rows)
         fetched = part.fetch_rows()
         truncated = len(fetched) > limit
         kept = self.spark.createDataFrame(fetched[:limit], part.probe.schema, verifySchema=False)
@@ -255,7 +267,7 @@ class Lake:
 
     def outcomes(self, statements: Iterable[str], limit: int | None = None) -> DataFrame:
         """Run statements in order; each becomes a row, and an error does not stop the rest."""
-        limit = checked_limit(self.default_limit if limit is None else limit)
+        limit = checked_limit(self.default_limit if limit is None else limit, self.most_rows)
         with _quiet_errors():
             rows = [(i, *self._outcome(text, limit)) for i, text in enumerate(statements)]
         return self.spark.createDataFrame(rows, OUTCOME_SCHEMA)
@@ -266,7 +278,7 @@ class Lake:
             if not df.columns:
                 return True, False, None, None, 0, False
             # The rows are fetched, not counted: counting would skip the columns that may fail.
-            found = bounded(normalise(df), limit).fetch()
+            found = bounded(normalise(df), limit, self.most_rows).fetch()
             return True, True, None, None, found.row_count, found.truncated
         except Exception as error:
             read: Callable[[], str | None] | None = getattr(error, "getCondition", None)

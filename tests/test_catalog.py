@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException, ArithmeticException
 
 from lakemoor import Lake
+from lakemoor.operators.bounded import bounded
 from lakemoor.sources.catalog import MissingTable, UnknownDatabase
 from lakemoor.sources.files import read_path, register_path, rows_source, write_path
 from lakemoor.sources.names import database_name, name_parts, quote, quote_text
@@ -85,8 +86,8 @@ def test_missing_table_names_its_path(stored):
     lake, db = stored
     with pytest.raises(MissingTable, match="nowhere"):
         lake.sql(f"SELECT * FROM {db}.nowhere")
-    with pytest.raises(UnknownDatabase, match=db):
-        lake.mount("other", "t")
+    with pytest.raises(UnknownDatabase, match="'sideboard' is registered here"):
+        lake.mount("sideboard", "cutlery")
 
 
 def test_mounting_reports_failures_and_goes_on(stored):
@@ -143,21 +144,36 @@ def test_a_directory_of_databases(spark, tmp_path):
     lake.reset()
 
 
-def test_bounded_sql(spark, tmp_path):
-    lake = Lake(spark, default_limit=5)
-    nums = rows_source(spark, [(i, f"n{i}") for i in range(10)], ["id", "name"])
-    write_path(nums, str(tmp_path / "nums"))
-    name = lake.add_database(str(tmp_path), name=f"nums_{tmp_path.name}")
-    found = lake.run_sql(f"SELECT * FROM {name}.nums ORDER BY id", limit=3)
-    assert (found.columns, found.row_count, found.truncated, found.limit) == (["id", "name"], 3, True, 3)
-    assert found.rows[0] == [0, "n0"]
-    assert lake.run_sql(f"SELECT * FROM {name}.nums").row_count == 5
-    whole = lake.run_sql(f"SELECT * FROM {name}.nums", limit=10)
-    assert (whole.row_count, whole.truncated) == (10, False)
-    assert whole.to_dict()["limit"] == 10
-    for limit in (0, -1, 10**9):
-        with pytest.raises(ValueError):
-            lake.run_sql("SELECT 1", limit=limit)
+def test_limits_of_results(spark, tmp_path):
+    spark.range(7).selectExpr("id * id AS square", "chr(97 + id) AS letter").write.parquet(str(tmp_path / "squares"))
+    lake = Lake(spark, default_limit=2, most_rows=6)
+    name = lake.add_database(str(tmp_path), name=f"sq_{tmp_path.name}")
+    text = f"SELECT letter, square FROM {name}.squares ORDER BY square DESC"
+    short = lake.run_sql(text)
+    assert short.columns == ["letter", "square"] and short.rows == [["g", 36], ["f", 25]]
+    assert short.truncated and short.row_count == short.limit == 2
+    assert lake.run_sql(text, limit=6).truncated
+    assert not lake.run_sql(f"{text} LIMIT 6", limit=6).truncated
+    for limit in (0, 7, -3):
+        with pytest.raises(ValueError, match="between 1 and 6"):
+            lake.run_sql(text, limit=limit)
+    wider = Lake(spark, most_rows=10**7)
+    assert wider.run_sql("SELECT id FROM range(150000)", limit=150_000).row_count == 150_000
+    told = bounded(spark.range(9), 8).summary().first()
+    assert tuple(told) == (8, True, 8) and tuple(bounded(spark.range(3), 8).summary().first()) == (3, False, 8)
+
+
+def test_databases_of_a_listing(spark, tmp_path):
+    for folder in ("id-1", "id-2"):
+        spark.range(3).write.parquet(str(tmp_path / folder / "Tables" / "t"))
+    listing = spark.createDataFrame([("north", "id-1"), ("south", "id-2"), ("north", "id-1")], "name string, id string")
+    lake = Lake(spark)
+    assert lake.add_listed(listing, str(tmp_path), inside="Tables") == ["north", "south"]
+    assert lake.sql("SELECT * FROM south.t").count() == 3
+    twice = spark.createDataFrame([("north", "id-2")], "name string, id string")
+    with pytest.raises(ValueError, match="already stands for"):
+        lake.add_listed(twice, str(tmp_path), inside="Tables")
+    lake.reset()
 
 
 def test_plain_values_of_a_result(spark):

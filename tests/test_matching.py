@@ -15,67 +15,55 @@ def test_exclusion_keeps_order_and_ignores_case(spark):
     assert set(names(exclude_names(df, "name", barred))) == {"customer", "Silver", None}
 
 
-def test_unique_resolution(spark):
-    entries = [("Other", "a"), ("Data Warehouse", "b"), ("Dup", "c"), ("DUP", "d")]
-    known = spark.createDataFrame(entries, "name string, id string")
-    asked = spark.createDataFrame(
-        [("data warehouse", None), ("nope", None), ("dup", None), ("nope", "WS-1"), (None, None)],
-        "name string, id string",
-    )
-    rows = {(r["name"], r["id"]): (r["resolved_id"], r["status"]) for r in resolve_unique_name(asked, known).collect()}
-    assert rows == {
-        ("data warehouse", None): ("b", "resolved"),
-        ("nope", None): (None, "not found"),
-        ("dup", None): (None, "ambiguous (2)"),
-        ("nope", "WS-1"): ("WS-1", "given"),
-        (None, None): (None, "not found"),
-    }
+def test_one_match_or_none(spark):
+    ports = [("Oslo", 11), ("oslo", 12), ("Bergen", 13), ("BERGEN ", 14), (None, 15)]
+    known = spark.createDataFrame(ports, "name string, id int")
+    asked = spark.createDataFrame([("bergen", None), ("OSLO", None), ("Turku", None), ("Turku", 99), ("Oslo", 11)],
+                                  "name string, id int")
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in resolve_unique_name(asked, known).collect()}
+    assert found[("bergen", None)] == (13, "resolved")  # blanks are part of a name
+    assert found[("OSLO", None)] == (None, "ambiguous (2)")
+    assert found[("Turku", None)] == (None, "not found")
+    assert found[("Turku", 99)] == (99, "given") and found[("Oslo", 11)] == (11, "given")
+    without_ids = resolve_unique_name(asked.select("name").distinct(), known).collect()
+    assert {r["name"]: r["status"] for r in without_ids}["Oslo"] == "ambiguous (2)"
 
 
-def test_lookup_prefers_the_exact_name(spark):
-    known = spark.createDataFrame(
-        [(0, "Customer"), (1, "customer"), (2, "Mosaic_History")], "place int, name string"
-    )
-    asked = spark.createDataFrame([("customer",), ("CUSTOMER",), ("mosaic_history",), ("nope",)], "name string")
-    found = {r["name"]: r["found"] for r in lookup_name(asked, known, "place").collect()}
-    assert found == {
-        "customer": "customer",
-        "CUSTOMER": "Customer",
-        "mosaic_history": "Mosaic_History",
-        "nope": None,
-    }
+def test_spelling_of_a_known_name(spark):
+    known = spark.createDataFrame([("Rhône", 3), ("rhône", 5), ("Po", 1)], "river string, at int")
+    asked = spark.createDataFrame([("rhône",), ("RHÔNE",), ("PO",), ("Elbe",), (None,)], "river string")
+    found = {r["river"]: r["found"] for r in lookup_name(asked, known, "at", "river").collect()}
+    assert found == {"rhône": "rhône", "RHÔNE": "Rhône", "PO": "Po", "Elbe": None, None: None}
 
 
-def test_pages_flatten_in_order(spark):
-    pages = spark.createDataFrame(
-        [
-            (0, '{"value": [{"id": "1", "displayName": "a"}, {"id": "2"}], "continuationToken": "TOK"}'),
-            (1, '{"value": [{"id": "3", "displayName": "c"}]}'),
-            (2, "{}"),
-            (3, '{"data": [{"id": "9"}], "continuationToken": ""}'),
-        ],
-        "seq int, body string",
-    )
-    rows = flatten_pages(pages, "id string, displayName string").orderBy("seq", "pos").collect()
-    assert [tuple(r) for r in rows] == [(0, 0, "1", "a"), (0, 1, "2", None), (1, 0, "3", "c")]
-    assert names(flatten_pages(pages, "id string", items_key="data"), "id") == ["9"]
-    assert [r["is_last"] for r in last_page(pages).orderBy("seq").collect()] == [False, True, True, True]
+def test_landed_pages(spark):
+    bodies = [
+        '{"rows": [{"n": 4, "tag": "x"}, {"tag": "y"}, {"n": 6}], "continuationToken": "next"}',
+        '{"rows": [], "continuationToken": "more"}',
+        '{"other": 1, "continuationToken": null}',
+        "not a page",
+    ]
+    pages = spark.createDataFrame([(10 * i, body) for i, body in enumerate(bodies)], "at int, raw string")
+    items = flatten_pages(pages, "n int, tag string", items_key="rows", body="raw", seq="at")
+    assert sorted(map(tuple, items.collect())) == [(0, 0, 4, "x"), (0, 1, None, "y"), (0, 2, 6, None)]
+    ends = {r["seq"]: r["is_last"] for r in last_page(pages, body="raw", seq="at").collect()}
+    assert ends == {0: False, 10: False, 20: True, 30: True}
 
 
-def test_report_text(spark):
-    rows = [("lh", i, f"t{i}", "mounted", None) for i in range(60)]
-    rows += [("lh", 60 + i, f"bad{i}", "failed", "boom") for i in range(12)]
-    (row,) = mount_report(spark.createDataFrame(rows, REPORT_SCHEMA)).collect()
-    assert (row.mounted_count, row.failed_count) == (60, 12)
-    assert row.mounted.startswith("t0, t1, t2") and row.mounted.endswith("t49, … (+10 more)")
-    assert row.failed.splitlines() == [f"bad{i}: boom" for i in range(10)]
-    short = [("lh", 0, "a", "mounted", None), ("lh", 1, "b", "mounted", None), ("lh", 2, "c", "failed", "boom")]
-    (row,) = mount_report(spark.createDataFrame(short, REPORT_SCHEMA)).collect()
-    assert (row.mounted, row.failed) == ("a, b", "c: boom")
-    text = mount_text(spark.createDataFrame(short, REPORT_SCHEMA))
-    assert text == "Mounted 2 table(s) in lh: a, b\n1 failed:\n  c: boom"
-    (row,) = mount_report(spark.createDataFrame(short[2:], REPORT_SCHEMA)).collect()
-    assert (row.mounted_count, row.mounted) == (0, "(none)")
+def test_reports_are_cut(spark):
+    good = [("sea", i, name, "mounted", None) for i, name in enumerate(("kelp", "eel", "cod", "crab"))]
+    bad = [("sea", 10 - i, f"wreck_{i}", "failed", f"depth {i}") for i in range(3)]
+    report = spark.createDataFrame([*bad, *good, ("air", 0, "kite", "failed", "no wind")], REPORT_SCHEMA)
+    found = {r["database"]: r for r in mount_report(report, max_listed=3).collect()}
+    assert found["sea"]["mounted"] == "kelp, eel, cod, … (+1 more)" and found["sea"]["mounted_count"] == 4
+    assert found["sea"]["failed"].splitlines() == ["wreck_2: depth 2", "wreck_1: depth 1", "wreck_0: depth 0"]
+    assert (found["air"]["mounted"], found["air"]["failed_count"]) == ("(none)", 1)
+    lines = mount_text(report, max_listed=4).splitlines()
+    assert lines[:3] == ["Mounted 0 table(s) in air: (none)", "1 failed:", "  kite: no wind"]
+    assert lines[3] == "Mounted 4 table(s) in sea: kelp, eel, cod, crab" and len(lines) == 8
+    many = spark.createDataFrame([("d", i, "t", "failed", str(i)) for i in range(30)], REPORT_SCHEMA)
+    (row,) = mount_report(many).collect()
+    assert row["failed"].splitlines() == [f"t: {i}" for i in range(10)] and row["failed_count"] == 30
 
 
 def test_probe_and_sample(stored):
