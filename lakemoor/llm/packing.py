@@ -35,8 +35,8 @@ WINDOW = 2048
 BLOCK = 1 << 19  # tokens solved at once
 SENTENCE_COST = 6  # a window that ends inside a document, in tokens of padding
 SENTENCE_ENDS = (b".", b"!", b"?", b"\n")
-APART = 16  # of the sentence ends within so many tokens, the first is a place to cut
-SHORTEST = 256  # the least power of two that is tried as a window's length
+APART = 8  # of the sentence ends within so many tokens, the first is a place to cut
+SHORTEST = 64  # the least power of two that is tried as a window's length
 STEP, STEP_COST = 128, 64  # places inside sentences longer than a window, and what ending there costs
 SEQUENCES_PER_TASK = 36  # bits
 
