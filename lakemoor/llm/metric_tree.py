@@ -128,8 +128,9 @@ def _scaled(rows: np.ndarray, scale: float) -> np.ndarray:
 
 
 def pivots_of(vectors: DataFrame, wanted: int, width: int) -> np.ndarray:
-    """At most ``wanted`` vectors, chosen by a hash of their id."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("vector")
+    """At most ``wanted`` different vectors, chosen by a hash; equal ones, however many, count once."""
+    different = vectors.select("vector").distinct()
+    rows = different.orderBy(F.xxhash64("vector"), "vector").limit(wanted)
     return matrix(rows.toArrow().column("vector"), width) if wanted else np.zeros((0, width))
 
 

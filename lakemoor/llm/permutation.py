@@ -6,7 +6,8 @@ pivots alike, reads the postings of its own nearest ones, and ranks vectors by t
 distance of the two orders (the sum of the differences of places, a missing pivot counting as one
 behind the last). The best share of each shard is then ranked by its exact cosine. The
 share is a share, so the work per query and the recall are alike at every size. Every row is
-posted; pivots alone are a sample, of ``PIVOTS`` rows.
+posted; pivots alone come from a sample of ``SAMPLED`` rows, each as far as possible from those
+chosen before, so that a crowd of similar vectors gets few of them.
 
 Recall of the five nearest against brute force, measured: README. Vectors that are null, empty,
 zero or hold a null or a non-finite number take no part; vectors of unequal length are compared as
@@ -27,9 +28,10 @@ from lakemoor.llm.metric_tree import pivots_of
 from lakemoor.llm.vectors import best_rows, clean, packed, query_blocks, search, width_of
 from lakemoor.session import pinned
 
+SAMPLED = 4096  # different vectors that the pivots are chosen from
 PIVOTS = 256
 PLACES = 64  # nearest pivots that a vector is posted under
-SHARE = 0.12  # of a shard that is ranked exactly
+SHARE = 0.12  # of a shard's different vectors that is ranked exactly
 LEAST_RANKED = 300
 SHARD = 8192
 
@@ -40,6 +42,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def spread_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """At most ``wanted`` unit rows of ``sample``, each with the least cosine to the nearest one so far."""
+    chosen, nearest = [0], sample @ sample[0]
+    while len(chosen) < min(wanted, len(sample)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
 def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
     """For each unit row the numbers of its ``places`` nearest pivots, nearest first."""
     return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :places]
@@ -49,9 +60,13 @@ class Postings:
     """Inverted files of pivots over a shard: who is posted, and at which place."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, places: int) -> None:
-        self.ids, self.rows, self.pivots = ids, rows, pivots
+        # Equal vectors are posted once: very many of them must not fill what is ranked exactly.
+        self.rows, owner = np.unique(rows, axis=0, return_inverse=True)
+        by_owner = np.lexsort((ids, owner.ravel()))
+        self.ids, self.own = ids[by_owner], np.searchsorted(owner.ravel()[by_owner], np.arange(len(self.rows) + 1))
+        self.pivots = pivots
         self.places = min(places, len(pivots))
-        order = nearest_pivots(_unit(rows), pivots, self.places)
+        order = nearest_pivots(_unit(self.rows), pivots, self.places)
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
         self.posted = (by_pivot // self.places).astype(np.int32)
@@ -59,12 +74,12 @@ class Postings:
         self.starts = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
 
     def near(self, order: np.ndarray, wanted: int) -> np.ndarray:
-        """Rows with the least footrule distance to a query that orders the pivots so.
+        """Different vectors with the least footrule distance to a query that orders the pivots so.
 
         With both places known a posting saves twice the number of places behind the later one
         against two missing pivots, so the distance is a constant less the sum of what is saved.
         """
-        saved = np.zeros(len(self.ids), np.int64)
+        saved = np.zeros(len(self.rows), np.int64)
         for place, pivot in enumerate(order[: self.places].tolist()):
             own = slice(self.starts[pivot], self.starts[pivot + 1])
             saved[self.posted[own]] += self.places - np.maximum(self.place[own], place)
@@ -72,6 +87,18 @@ class Postings:
             return np.arange(len(saved))
         return np.argpartition(-saved, wanted - 1)[:wanted]
 
+    def best(self, row: np.ndarray, some: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest vec_ids among the different vectors ``some``, without ``but``, and their cosines."""
+        scores = cosines(row, self.rows[some])
+        if len(some) > k + 1:  # each stands for one vec_id at least, and one of them may be the query
+            least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            some, scores = some[scores >= least], scores[scores >= least]
+        # Of equal vectors only the least ids can be among the best.
+        ids = [self.ids[self.own[at] : self.own[at + 1]][: k + 1] for at in some.tolist()]
+        scores = np.repeat(scores, [len(own) for own in ids])
+        ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        return best_rows(ids[ids != but], scores[ids != but], k)
+
 
 def cosines(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exactly the cosines in double precision."""
@@ -91,16 +118,14 @@ def nearest_by_cosine(
     n = vectors.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pivots = _unit(pivots_of(vectors, PIVOTS, width))
+    pivots = spread_pivots(_unit(pivots_of(vectors, SAMPLED, width)), PIVOTS)
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // SHARD)))
     shards = packed(vectors, [shard], lambda ids, rows: Postings(ids, rows, pivots, places), width)
 
     def look(index: Postings, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        wanted = max(LEAST_RANKED, int(share * len(index.ids))) + 1  # the query may be one of them
+        wanted = max(LEAST_RANKED, int(share * len(index.rows))) + 1  # the query may be one of them
         for query_id, row, order in zip(ids, rows, nearest_pivots(_unit(rows), index.pivots, index.places)):
-            some = index.near(order, wanted)
-            some = some[index.ids[some] != query_id]
-            yield best_rows(index.ids[some], cosines(row, index.rows[some]), k)
+            yield index.best(row, index.near(order, wanted), k, query_id)
 
     return search(shards.toDF("shard", "index"), query_blocks(vectors, every, width), look, k)
 
