@@ -12,26 +12,31 @@ The forest: a bounded number of pivots deals the vectors into shards of neighbou
 one pivot beyond a shard's size is split by a hash, so many equal vectors make many shards. A tree
 holds one shard.
 
-Components are scaled and floored to integers; products of these are exact in doubles for vectors
-of up to a thousand components between -2^21 and 2^21 after scaling, and vectors with a larger
-component take no part. Vectors that are null, empty or hold a null or a non-finite number take no
-part; vectors of unequal length are compared as if zeros stood behind the shorter one; rows that
-share a vec_id are one vector, the least; an empty table gives no rows; ties go to the smaller
-vec_id; other columns are not read.
+Components are scaled and floored to integers. Products of vectors within a bound (see ``small``)
+are exact in doubles, and these vectors are in the trees. Every pair with a vector beyond it is
+scored in shards and blocks of its own: doubles with a bound on their error tell which rows can be
+among the best, and integers without a bound score those. A score that is too large for a bigint is
+an error, as it is in the SQL; one too small for it is an error where it is among the best.
+
+Vectors that are null, empty or hold a null or a non-finite number take no part; vectors of unequal
+length are compared as if zeros stood behind the shorter one; rows that share a vec_id are one
+vector, the least; an empty table gives no rows; ties go to the smaller vec_id; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemoor.llm.common import each_batch, query, table
-from lakemoor.llm.vectors import best_rows, clean, matrix, packed, query_blocks, search, width_of
+from lakemoor.llm.vectors import best_rows, clean, matrix, meet, packed, query_blocks, ranked, search, width_of
 from lakemoor.session import pinned
 
 SHARD = 4096  # vectors in a tree
@@ -39,8 +44,10 @@ PAGE = 64  # entries of a routing page
 LEAF = 128  # vectors of a leaf page
 PIVOTS = 256  # at most; they deal vectors into shards
 SLACK = 1e-6  # relative: what rounding may add to a bound
-LARGEST = float(1 << 21)
+LARGEST = float(1 << 21)  # of a component in a tree, scaled
+LARGEST_SQUARE = float(1 << 52)  # of a vector in a tree: no product of two is larger
 SCALE = 256
+BIGINT = 1 << 63
 
 
 class MetricTree:
@@ -123,6 +130,67 @@ class MetricTree:
         return ids, scores
 
 
+class ExactRows:
+    """Rows of any finite numbers, for products in integers without a bound. Equal rows are one.
+
+    Of the vec_ids of equal rows the ``k + 1`` least are kept: no more can be among the best ``k``.
+    """
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, scale: float) -> None:
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True)
+        order = np.lexsort((ids, which.ravel()))
+        cuts = np.cumsum(np.bincount(which.ravel(), minlength=len(self.rows)))[:-1]
+        self.ids = [own[: k + 1].tolist() for own in np.split(ids[order], cuts)]
+        self.k, self.scale = k, scale
+        self.units, exponents = _units(self.rows, scale)
+        self.powers = exponents - exponents.max()
+        self.norms = np.ldexp(np.sqrt((self.units * self.units).sum(axis=1)), self.powers)
+        self._whole: dict[int, list[int]] = {}
+
+    def _integers(self, at: int) -> list[int]:
+        if at not in self._whole:
+            self._whole[at] = _integers(self.rows[at], self.scale)
+        return self._whole[at]
+
+    def best(self, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the vec_ids and products of the largest products; None for one below a bigint."""
+        units, _ = _units(rows, self.scale)  # what one query's products have in common decides nothing
+        error = (rows.shape[1] + 8) * 2.0**-50
+        for query_id, row, unit in zip(ids.tolist(), rows, units):
+            about = np.ldexp(self.units @ unit, self.powers)
+            doubt = error * np.sqrt(unit @ unit) * self.norms + 1e-300
+            others = np.array([own != [query_id] for own in self.ids])
+            sure = np.sort((about - doubt)[others])[-self.k :]
+            some = others if len(sure) < self.k else others & (about + doubt >= sure[0])
+            asked, found = _integers(row, self.scale), []
+            for at in np.flatnonzero(some).tolist():
+                score = sum(a * b for a, b in zip(asked, self._integers(at)))
+                found += [(-score, one) for one in self.ids[at] if one != query_id]
+            found = sorted(found)[: self.k]
+            if found and -found[0][0] >= BIGINT:
+                raise OverflowError(f"the product of vectors {query_id} and {found[0][1]} is too large for a bigint")
+            scores = np.array([None if score > BIGINT else -score for score, _ in found], object)
+            yield np.array([one for _, one in found], np.int64), scores
+
+
+def _units(rows: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of ``rows`` over a power of two for each row, nearly; and the exponents."""
+    with np.errstate(over="ignore"):
+        shift = np.where(np.isfinite(scale * rows).all(axis=1), 0, 64)
+    whole = np.floor(scale * np.ldexp(rows, -shift[:, None]))
+    exponents = np.frexp(np.abs(whole).max(axis=1, initial=0.0))[1]
+    return np.ldexp(whole, -exponents[:, None]), exponents + shift
+
+
+def _integers(row: np.ndarray, scale: float) -> list[int]:
+    """``floor(scale * x)`` of every component, also where a double cannot hold it."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(scale * row).tolist()
+    return [
+        int(y) if abs(y) != np.inf else int(Fraction(x) * Fraction(scale)) for x, y in zip(row.tolist(), whole)
+    ]
+
+
 def _scaled(rows: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(scale * rows)
 
@@ -164,15 +232,34 @@ def largest_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale:
 
     Queries are the rows whose vec_id is divisible by ``every``. ``query_id``, ``rank``, ``vec_id``, ``score``.
     """
-    vectors = clean(embeddings)
-    vectors = pinned(vectors.filter(F.forall("vector", lambda x: F.abs(x) * scale <= LARGEST)))
+    vectors = pinned(clean(embeddings).withColumn("small", small(F.col("vector"), scale)))
     width = width_of(vectors)
+    trees, large = (vectors.filter(one).select("vec_id", "vector") for one in ("small", "NOT small"))
 
     def look(tree: MetricTree, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for query_id, row in zip(ids.tolist(), _scaled(rows, scale)):
             yield tree.nearest(row, k, query_id)
 
-    return search(forest(vectors, scale, width), query_blocks(vectors, every, width), look, k, "long")
+    found = search(forest(trees, scale, width), query_blocks(trees, every, width), look, k, "long")
+    if large.isEmpty():
+        return found
+
+    def exact(some: DataFrame, asked: DataFrame) -> DataFrame:
+        shard = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-some.count() // SHARD))))
+        shards = packed(some, [shard], lambda ids, rows: ExactRows(ids, rows, k, scale), width)
+        blocks = query_blocks(asked, every, width)
+        return meet(shards.toDF("shard", "index"), blocks, lambda index, ids, rows: index.best(ids, rows), "long")
+
+    all_pairs = found.drop("rank").unionByName(exact(large, vectors)).unionByName(exact(trees, large))
+    best = ranked(all_pairs, k, "long")
+    told = F.raise_error(F.lit("a product among the best is too small for a bigint")).cast("long")
+    return best.withColumn("score", F.when(F.col("score").isNull(), told).otherwise(F.col("score")))
+
+
+def small(vector: Column, scale: float) -> Column:
+    """Whether all products of such vectors are exact in doubles."""
+    square = F.aggregate(vector, F.lit(0.0), lambda done, x: done + F.pow(F.abs(x) * scale + 1, F.lit(2.0)))
+    return F.forall(vector, lambda x: F.abs(x) * scale <= LARGEST) & (square <= LARGEST_SQUARE)
 
 
 @query(

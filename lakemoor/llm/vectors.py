@@ -74,15 +74,17 @@ def query_blocks(vectors: DataFrame, every: int, width: int) -> DataFrame:
     return packed(asked, [block], lambda ids, rows: (ids, rows), width).toDF("block", "queries")
 
 
-FOUND = "query_id long, vec_id long, score double"
-
-
 def search(shards: DataFrame, blocks: DataFrame, look: Callable, k: int, score: str = "double") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score``: the best ``k`` of all shards for each query.
 
     ``shards``: ``shard`` and ``index`` (pickled); ``look(index, ids, rows)`` yields for each query of
     a block the vec_ids and scores of its best ``k`` in that shard, never the query itself.
     """
+    return ranked(meet(shards, blocks, look), k, score)
+
+
+def meet(shards: DataFrame, blocks: DataFrame, look: Callable, score: str = "double") -> DataFrame:
+    """``query_id``, ``vec_id`` and ``score`` of all that ``look`` finds (see :func:`search`)."""
     shards, blocks = pinned(shards), pinned(blocks)
     together = max(1, -(-blocks.count() // BLOCKS_TOGETHER))
     numbers = [row.shard for row in shards.select("shard").collect()]  # a number for each shard, not its rows
@@ -93,6 +95,7 @@ def search(shards: DataFrame, blocks: DataFrame, look: Callable, k: int, score:
         F.pmod("block", F.lit(together)).alias("part"),
         F.explode(F.lit(numbers).cast("array<int>")).alias("shard"),
     )
+    kind = pa.int64() if score == "long" else pa.float64()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, ids, scores = [], [], []
@@ -109,14 +112,19 @@ def search(shards: DataFrame, blocks: DataFrame, look: Callable, k: int, score:
             {
                 "query_id": np.concatenate(query_ids or none).astype(np.int64),
                 "vec_id": np.concatenate(ids or none).astype(np.int64),
-                "score": np.concatenate(scores or none).astype(float),
+                "score": pa.array(np.concatenate(scores or none), kind),
             }
         )
 
-    met = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(run, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.col("score").cast(score).alias("score"))
+    met = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part"))
+    return met.applyInArrow(run, f"query_id long, vec_id long, score {score}")
+
+
+def ranked(met: DataFrame, k: int, score: str) -> DataFrame:
+    """The ``k`` best of ``met`` for each query; a null score comes last, ties go to the smaller vec_id."""
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    found = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", F.col("score").cast(score).alias("score"))
 
 
 def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

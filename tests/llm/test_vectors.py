@@ -43,6 +43,39 @@ def test_exact_products(spark, rows, monkeypatch):
     assert found.dtypes[3] == ("score", "bigint")
 
 
+@pytest.mark.parametrize("share", [0.05, 1.0])
+def test_exact_products_of_large_vectors(spark, monkeypatch, share):
+    """Components beyond what a tree takes: products in integers, some of them beyond 2^53."""
+    monkeypatch.setattr(metric_tree, "SHARD", 60)
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(300, 8))
+    rows[rng.random(300) < share, 3] = 10_000.0
+    rows[[7, 50, 51, 52]] = [12345.678, -9000.0, 1e6, 3e6, 0.0, 1.0, -1.0, 8192.01]
+    rows[100] = [8192.5] + [0.0] * 7
+    rows[101:120] = rows[101]
+    rows = np.float32(rows).astype(float)
+    whole = [[int(np.floor(256 * x)) for x in row] for row in rows]
+    want = []
+    for q in range(0, 300, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(300) if i != q)[:5]
+        want += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(scores)]
+    found = metric_tree.largest_products(table(spark, [(i, row.tolist(), 0) for i, row in enumerate(rows)]))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert max(score for *_, score in want) > 1 << 53
+
+
+def test_products_beyond_a_bigint(spark):
+    rows = [(0, [1e30, 0.0], 0), (1, [-1e30, 0.0], 0), (2, [0.0, 1.0], 0), (3, [0.0, 2.0], 0)]
+    found = metric_tree.largest_products(table(spark, rows), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(0, 1, 2, 0), (0, 2, 3, 0)]
+    for more, told in (([1e30, 0.0], "too large"), (None, "too small")):
+        with pytest.raises(Exception, match=told):
+            metric_tree.largest_products(table(spark, [*rows, (4, more, 0)]), k=3).collect()
+    index = metric_tree.ExactRows(np.array([1, 2]), np.array([[1e308, 0.0], [1e-3, 2.0]]), 2, 256)
+    ((ids, scores),) = index.best(np.array([5]), np.array([[-1.7e308, 3.0]]))
+    assert ids.tolist() == [2, 1] and scores.tolist() == [768 * 512, None]
+
+
 def test_trees_against_plain_search():
     rng = np.random.default_rng(2)
     for size in (0, 1, 3, 200, 3000):
