@@ -2,7 +2,8 @@
 
 A text becomes a line of lower-case words, one space between them. Rules are regular expressions
 over that line; each names a word sequence that it cannot match without (its keyword), so a rule
-is tried only where its keyword stands. Detections inside a larger detection, or inside an equal
+is tried only where its keyword stands. They are SPDX identifiers behind their tag, sentences of
+license bodies and standard notices, and names of licenses; what stands before a name gives its weight. Detections inside a larger detection, or inside an equal
 one of an earlier rule, are suppressed. The line is looked at in windows of fixed length that
 overlap by more than any rule can match, and a detection counts in the window where it starts, so
 work per text is linear in its length. Nothing is shuffled.
@@ -13,6 +14,7 @@ repeated rows each get their result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -114,6 +116,174 @@ TEMPLATES = (
 )
 
 
+# Label, then SPDX identifiers; each is a rule of its own behind the tag, or behind "or", "and" or "with" in its expression.
+SPDX = (
+    ("mit", "MIT", "X11", "MIT-Modern-Variant", "MIT-feh", "MIT-advertising"),
+    ("mit-0", "MIT-0"),
+    ("apache-2", "Apache-2.0"),
+    ("apache-1", "Apache-1.0", "Apache-1.1"),
+    ("0bsd", "0BSD"),
+    ("bsd-1-clause", "BSD-1-Clause"),
+    ("bsd-2-clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-2-Clause-Views", "BSD-2-Clause-FreeBSD"),
+    ("bsd-3-clause", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-3-Clause-LBNL", "BSD-3-Clause-Attribution"),
+    ("bsd-4-clause", "BSD-4-Clause", "BSD-4-Clause-UC"),
+    ("bsd", "BSD-Source-Code", "BSD-Protection"),
+    ("gpl-3", "GPL-3.0", "GPL-3.0+", "GPL-3.0-only", "GPL-3.0-or-later"),
+    ("gpl-2", "GPL-2.0", "GPL-2.0+", "GPL-2.0-only", "GPL-2.0-or-later"),
+    ("gpl-1", "GPL-1.0", "GPL-1.0+", "GPL-1.0-only", "GPL-1.0-or-later"),
+    ("lgpl-3", "LGPL-3.0", "LGPL-3.0+", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    ("lgpl-2-1", "LGPL-2.1", "LGPL-2.1+", "LGPL-2.1-only", "LGPL-2.1-or-later"),
+    ("lgpl-2", "LGPL-2.0", "LGPL-2.0+", "LGPL-2.0-only", "LGPL-2.0-or-later"),
+    ("agpl-3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    ("agpl", "AGPL-1.0", "AGPL-1.0-only", "AGPL-1.0-or-later"),
+    ("gfdl", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3", "GFDL-1.1-only", "GFDL-1.2-only", "GFDL-1.3-only",
+     "GFDL-1.1-or-later", "GFDL-1.2-or-later", "GFDL-1.3-or-later"),
+    ("mpl-2", "MPL-2.0", "MPL-2.0-no-copyleft-exception"),
+    ("mpl-1-1", "MPL-1.1"),
+    ("mpl", "MPL-1.0"),
+    ("epl-2", "EPL-2.0"),
+    ("epl-1", "EPL-1.0"),
+    ("cddl", "CDDL-1.0", "CDDL-1.1"),
+    ("cpl", "CPL-1.0"),
+    ("eupl", "EUPL-1.0", "EUPL-1.1", "EUPL-1.2"),
+    ("ms-pl", "MS-PL"),
+    ("ms-rl", "MS-RL"),
+    ("artistic-2", "Artistic-2.0"),
+    ("artistic", "Artistic-1.0", "Artistic-1.0-Perl", "Artistic-1.0-cl8", "ClArtistic"),
+    ("zlib", "Zlib", "zlib-acknowledgement"),
+    ("libpng", "Libpng", "libpng-2.0"),
+    ("boost-1", "BSL-1.0"),
+    ("busl", "BUSL-1.1"),
+    ("isc", "ISC"),
+    ("wtfpl", "WTFPL"),
+    ("unlicense", "Unlicense"),
+    ("cc0", "CC0-1.0"),
+    ("cc-by-nc-sa", *(f"CC-BY-NC-SA-{n}" for n in ("1.0", "2.0", "2.5", "3.0", "4.0"))),
+    ("cc-by-nc-nd", *(f"CC-BY-NC-ND-{n}" for n in ("1.0", "2.0", "2.5", "3.0", "4.0"))),
+    ("cc-by-nc", *(f"CC-BY-NC-{n}" for n in ("1.0", "2.0", "2.5", "3.0", "4.0"))),
+    ("cc-by-sa", *(f"CC-BY-SA-{n}" for n in ("1.0", "2.0", "2.5", "3.0", "4.0"))),
+    ("cc-by-nd", *(f"CC-BY-ND-{n}" for n in ("1.0", "2.0", "2.5", "3.0", "4.0"))),
+    ("cc-by", *(f"CC-BY-{n}" for n in ("1.0", "2.0", "2.5", "3.0", "4.0"))),
+    ("ofl", "OFL-1.0", "OFL-1.1", "OFL-1.1-RFN", "OFL-1.1-no-RFN"),
+    ("postgresql", "PostgreSQL"),
+    ("psf", "PSF-2.0", "Python-2.0", "Python-2.0.1"),
+    ("ruby", "Ruby"),
+    ("php", "PHP-3.0", "PHP-3.01"),
+    ("openssl", "OpenSSL", "OpenSSL-standalone", "SSLeay-standalone"),
+    ("ncsa", "NCSA"),
+    ("afl", "AFL-1.1", "AFL-1.2", "AFL-2.0", "AFL-2.1", "AFL-3.0"),
+    ("osl", "OSL-1.0", "OSL-1.1", "OSL-2.0", "OSL-2.1", "OSL-3.0"),
+    ("ecl", "ECL-1.0", "ECL-2.0"),
+    ("sspl", "SSPL-1.0"),
+    ("elastic", "Elastic-2.0"),
+    ("json", "JSON"),
+    ("vim", "Vim"),
+    ("w3c", "W3C", "W3C-19980720", "W3C-20150513"),
+    ("zpl", "ZPL-1.1", "ZPL-2.0", "ZPL-2.1"),
+    ("odbl", "ODbL-1.0"),
+    ("odc-by", "ODC-By-1.0"),
+    ("curl", "curl"),
+    ("hpnd", "HPND", "HPND-sell-variant"),
+    ("ntp", "NTP"),
+    ("upl", "UPL-1.0"),
+    ("blueoak", "BlueOak-1.0.0"),
+    ("beerware", "Beerware"),
+    ("bzip2", "bzip2-1.0.6"),
+    ("icu", "ICU"),
+    ("unicode", "Unicode-3.0", "Unicode-DFS-2015", "Unicode-DFS-2016"),
+    ("ftl", "FTL"),
+    ("ijg", "IJG"),
+    ("tcl", "TCL"),
+    ("ipl", "IPL-1.0"),
+    ("cecill", "CECILL-1.0", "CECILL-2.0", "CECILL-2.1", "CECILL-B", "CECILL-C"),
+    ("mulan", "MulanPSL-1.0", "MulanPSL-2.0"),
+    ("pddl", "PDDL-1.0"),
+    ("cdla", "CDLA-Permissive-1.0", "CDLA-Permissive-2.0", "CDLA-Sharing-1.0"),
+)
+TAG = "spdx license identifier"
+WITHIN = f"(?<={TAG} [a-z0-9 ]{{1,80}} (?:or|and|with) )"  # fewer characters than MARGIN
+
+# Label, then sentences of its body and its standard notices, none longer than MARGIN.
+LICENSE = "licen[cs]e"
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+     " documentation files"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the"
+     " software and accompanying documentation covered by this license"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is"
+     " hereby granted provided that the above copyright notice"),
+    ("0bsd", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is"
+     " hereby granted the software is provided"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose"
+     " without fee and without a written agreement is hereby granted"),
+    ("hpnd", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any"
+     " purpose(?: and| is hereby granted)? without fee"),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or"
+     " without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that"
+     " the following conditions are met"),
+    ("bsd-2-clause", "the views and conclusions contained in the software and documentation are those of the authors and"
+     " should not be interpreted as representing official policies"),
+    ("bsd-3-clause", "nor the names? of (?:its|the|any|other) contributors may be used to endorse or promote products"
+     " derived from this software", "the name of the author may not be used to endorse or promote products derived from"
+     " this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following"
+     " acknowledge?ment"),
+    ("ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the"
+     " following disclaimers"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"
+     " (?:https? )?www apache org licenses license 2 0", "apache license version 2 0 january 2004"),
+    ("apache-1", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl-3", "gnu general public license as published by the free software foundation (?:either )?version 3",
+     "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", "gnu general public license as published by the free software foundation (?:either )?version 2",
+     "gnu general public license version 2 as published by the free software foundation",
+     "the gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("gpl-1", "gnu general public license as published by the free software foundation (?:either )?version 1"),
+    ("lgpl-3", "gnu lesser general public license as published by the free software foundation (?:either )?version 3",
+     "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("lgpl-2-1", "gnu lesser general public license as published by the free software foundation (?:either )?version 2 1",
+     "this is the first released version of the lesser gpl"),
+    ("lgpl-2", "gnu library general public license as published by the free software foundation (?:either )?version 2",
+     "this is the first released version of the library gpl"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation (?:either )?version 3",
+     "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free"
+     " documentation license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0",
+     "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1-1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cpl", "the accompanying program is provided under the terms of this common public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "licensed under the eupl"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("artistic-2", "this license establishes the terms under which a given free software package may be copied modified"
+     " distributed and or redistributed"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors? be held"
+     " liable for any damages arising from the use of this software", "altered source versions must be plainly marked as"
+     " such and must not be misrepresented as being the original software"),
+    ("libpng", "this copy of the libpng notices is provided for your convenience"),
+    ("busl", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non"
+     " production use of the licensed work"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and"
+     " changing it is allowed as long as the name is changed"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "waived all copyright and related or neighbou?ring rights"),
+    ("ofl", "the goals of the open font license ofl are to stimulate worldwide development"),
+    ("psf", "this license agreement is between the python software foundation"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("php", "this product includes php software freely available from"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit",
+     "this product includes cryptographic software written by eric young"),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("w3c", "by obtaining using and or copying this work you the licensee agree that you have read understood"),
+    ("beerware", "if we meet some ?day and you think this stuff is worth it you can buy me a beer in return"),
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` matches whole words of a line; ``keyword`` stands in every match."""
@@ -138,12 +308,23 @@ def _keyword(name: str) -> str:
     return max([*parts, plain], key=len).strip()
 
 
+def _spelled(pattern: str) -> str:
+    """``pattern`` for "license" and "licence" alike."""
+    return pattern.replace(LICENSE, "license").replace("licence", "license").replace("license", LICENSE)
+
+
 def signature_rules() -> tuple[Rule, ...]:
-    """The base phrases first, then every name in every template, strongest template first."""
+    """The base phrases first, then identifiers, bodies, and every name in every template, strongest template first."""
     rules = [Rule(label, 1.0, phrase, phrase) for phrase, label in BASE.items()]
+    for label, *identifiers in SPDX:
+        words = dict.fromkeys(re.sub("[^a-z0-9]+", " ", one.lower()).strip() for one in identifiers)
+        rules += [Rule(label, 1.0, TAG, f"(?:{TAG} |{WITHIN}){one}") for one in words]
+    for label, *sentences in BODIES:
+        rules += [Rule(label, 1.0, _keyword(_spelled(one)), _spelled(one)) for one in sentences]
     for weight, template in TEMPLATES:
         for label, *names in NAMES:
-            rules += [Rule(label, weight, _keyword(name), template.format(name=name)) for name in names]
+            spelled = dict.fromkeys(map(_spelled, names))
+            rules += [Rule(label, weight, _keyword(one), _spelled(template.format(name=one))) for one in spelled]
     return tuple(rules)
 
 
@@ -242,13 +423,18 @@ def detections(line: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_sort(F.flatten(F.transform(starts, in_window)))
 
 
-# Where none of these stands in a line, no rule's keyword can (the tests check this).
-ANCHORS = (
-    "licen", "gpl", "creative commons", "cc by", "cc0", "cc zero", "public domain", "rights reserved",
-    "apache 2 0", "clause", "gfdl", "mpl 1", "mpl 2", "epl 1", "epl 2", "cpl 1", "cddl", "eupl", "ms pl", "ms rl",
-    "artistic", "bsl 1", "busl", "wtfpl", "ofl 1", "terms as perl", "afl 3", "osl 3", "ecl 2", "sspl",
-    "good not evil", "odbl",
-)
+# Parts that many keywords have in common.
+COMMON = ("licen", "gpl", "creative commons", "public domain", "clause", "this software", "hereby granted", "apache")
+
+
+def anchors_of(rules: tuple[Rule, ...]) -> tuple[str, ...]:
+    """Where none of these stands in a line, no keyword of ``rules`` and no base phrase can."""
+    keywords = [*BASE, *[rule.keyword for rule in rules]]
+    some = dict.fromkeys(next((part for part in COMMON if part in word), word) for word in keywords)
+    return tuple(one for one in some if not any(other in one for other in some if other != one))
+
+
+ANCHORS = anchors_of(signature_rules())
 
 
 def license_scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -257,9 +443,9 @@ def license_scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Data
     ``score`` says how surely the text names a license: 1 less the chance that every surviving
     label is a false one, taking each label's strongest detection.
     """
-    rules = rules or signature_rules()
+    rules = signature_rules() if rules is None else rules
     line = F.col("line")
-    anchored = reduce(or_, [line.contains(anchor) for anchor in ANCHORS])
+    anchored = reduce(or_, [line.contains(anchor) for anchor in anchors_of(rules)])
     lines = texts_of(docs).select("doc_id", line_of_words(F.col("text")).alias("line"))
     lines = lines.withColumn("anchored", anchored)
     none = F.array().cast("array<struct<start: int, stop: int, label: string, weight: double, rank: int>>")

@@ -70,3 +70,46 @@ def test_odd_rows(spark):
     assert scan.license_scan(docs.limit(0)).collect() == []
     both = scan.license_scan(docs).filter(F.col("doc_id") == 3).collect()
     assert len(both) == 2 and both[0] == both[1]
+
+
+def labels_of(spark, texts, rules=None):
+    found = scan.license_scan(frame(spark, list(enumerate(texts))), rules).collect()
+    return [r.labels for r in sorted(found, key=lambda r: r.doc_id)]
+
+
+def test_identifiers_bodies_and_spellings(spark):
+    pad = "w " * 470
+    texts = {
+        "// SPDX-License-Identifier: MIT": ["mit"],
+        "SPDX-License-Identifier: ISC": ["isc"],
+        "# SPDX-License-Identifier: (Zlib OR PostgreSQL)": ["postgresql", "zlib"],
+        "SPDX-License-Identifier: OpenSSL AND Ruby": ["openssl", "ruby"],
+        "SPDX-License-Identifier: GPL-2.0-or-later OR Vim": ["gpl-2", "vim"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0 OR BSD-3-Clause": ["apache-2", "bsd-3-clause", "mit"],
+        "SPDX-License-Identifier: MIT-0": ["mit-0"],
+        pad + "SPDX-License-Identifier: MIT OR ISC": ["isc", "mit"],
+        "the MIT Licence": ["mit"],
+        "GNU General Public Licence, version 3": ["gpl-3"],
+        "European Union Public License": ["eupl"],
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal': ["mit"],
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met:": ["bsd"],
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without": ["bsd-3-clause"],
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice": ["isc"],
+        "This is free and unencumbered software released into the public domain.": ["unlicense"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": ["mpl-2"],
+        "a mit, an isc and a ruby in prose; spdx": [],
+    }
+    assert dict(zip(texts, labels_of(spark, texts))) == texts
+    bodies = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??|\[(.)[^]]*\]", r"\1\2", body).replace("?", "") for _, *own in scan.BODIES for body in own]
+    want = [label for label, *own in scan.BODIES for _ in own]
+    assert all(label in found for label, found in zip(want, labels_of(spark, bodies)))
+    assert max(map(len, bodies)) < scan.MARGIN
+
+
+def test_given_rules_decide_where_to_look(spark):
+    rules = (scan.Rule("own", 0.5, "house rules", "house rules(?: apply)?"),)
+    assert labels_of(spark, ["Our house rules apply.", "MIT license"], rules) == [["own"], []]
