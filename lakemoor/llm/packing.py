@@ -34,8 +34,7 @@ from lakemoor.llm.tokens import encoder, vocabulary
 WINDOW = 2048
 BLOCK = 1 << 19  # tokens solved at once
 SENTENCE_COST = 6  # a window that ends inside a document, in tokens of padding
-SENTENCE_ENDS = (b".", b"!", b"?", b"\n")
-APART = 8  # of the sentence ends within so many tokens, the first is a place to cut
+SENTENCE_ENDS = tuple(sign.encode() for sign in ".!?\n…。！？．｡।॥؟۔։።၊။།")
 SHORTEST = 64  # the least power of two that is tried as a window's length
 STEP, STEP_COST = 128, 64  # places inside sentences longer than a window, and what ending there costs
 SEQUENCES_PER_TASK = 36  # bits
@@ -54,7 +53,6 @@ def cut_places(lengths: np.ndarray, sentence_ends: np.ndarray, window: int = WIN
     ends = np.cumsum(lengths)
     total = int(ends[-1])
     inside = sentence_ends[(sentence_ends > 0) & (sentence_ends < total)]
-    inside = inside[np.diff(inside // APART, prepend=-1) > 0]
     places = _union(ends, inside)
     gaps = np.diff(places, prepend=0)
     long = np.flatnonzero(gaps > window)
@@ -68,6 +66,26 @@ def cut_places(lengths: np.ndarray, sentence_ends: np.ndarray, window: int = WIN
     return places, cost
 
 
+class SentenceEnds:
+    """Finds the ends of sentences in ids, also where a full stop's bytes are several tokens."""
+
+    def __init__(self, words: list[bytes], end_id: int) -> None:
+        self.words = words
+        self.whole = np.zeros(max(len(words), end_id + 1), bool)
+        self.whole[: len(words)] = [word.endswith(SENTENCE_ENDS) for word in words]
+        parts = {sign[at:] for sign in SENTENCE_ENDS for at in range(1, len(sign))}
+        self.part = np.zeros(len(self.whole), bool)
+        self.part[: len(words)] = [word in parts for word in words]
+
+    def behind(self, ids: np.ndarray) -> np.ndarray:
+        """The positions behind the last token of each sentence."""
+        found = self.whole[ids]
+        for at in np.flatnonzero(self.part[ids]).tolist():
+            last = [self.words[i] for i in ids[max(at - 3, 0) : at + 1].tolist() if i < len(self.words)]
+            found[at] = found[at] or b"".join(last).endswith(SENTENCE_ENDS)
+        return np.flatnonzero(found) + 1
+
+
 def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     both = np.sort(np.concatenate([a, b]), kind="stable")
     return both[np.diff(both, prepend=-1) > 0]
@@ -119,8 +137,8 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> lis
 class _Stream:
     """Documents of one task that are not in a closed window yet."""
 
-    def __init__(self, sentence_end: np.ndarray, window: int, first_sequence: int) -> None:
-        self.sentence_end, self.window, self.sequence = sentence_end, window, first_sequence
+    def __init__(self, sentence_ends: SentenceEnds, window: int, first_sequence: int) -> None:
+        self.sentence_ends, self.window, self.sequence = sentence_ends, window, first_sequence
         self.docs: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, tokens in all, start, ids
         self.tokens = 0
 
@@ -132,7 +150,7 @@ class _Stream:
         """The pieces of all windows (but the last one, if more is to come)."""
         ids = np.concatenate([doc[3] for doc in self.docs])
         lengths = np.array([len(doc[3]) for doc in self.docs], np.int64)
-        places, cost = cut_places(lengths, np.flatnonzero(self.sentence_end[ids]) + 1, self.window)
+        places, cost = cut_places(lengths, self.sentence_ends.behind(ids), self.window)
         cuts = np.array(best_cuts(places, cost, self.window), np.int64)
         if not last:
             cuts = cuts[:-1]
@@ -180,10 +198,8 @@ class _Stream:
 def _packer(tokenizer: str, end_id: int, window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        words = vocabulary(tokenizer)
-        sentence_end = np.zeros(max(len(words), end_id + 1), bool)
-        sentence_end[: len(words)] = [word.endswith(SENTENCE_ENDS) for word in words]
-        stream = _Stream(sentence_end, window, TaskContext.get().partitionId() << SEQUENCES_PER_TASK)
+        sentence_ends = SentenceEnds(vocabulary(tokenizer), end_id)
+        stream = _Stream(sentence_ends, window, TaskContext.get().partitionId() << SEQUENCES_PER_TASK)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):

@@ -119,6 +119,21 @@ def test_best_cuts_against_every_cut():
         assert sum(packing_window - n for n in spans) + sum(price[c] for c in cuts) == least[-1]
 
 
+def test_every_sentence_end_is_a_place_to_cut(library):
+    places, _ = packing.cut_places(np.array([30]), np.array([2, 3, 5, 8, 13, 14, 21]), 2048)
+    assert places.tolist() == [2, 3, 5, 8, 13, 14, 21, 30]
+    words = vocabulary(JSON)
+    ends = packing.SentenceEnds(words, 1)
+    for sign in "。！？।؟۔.!?":
+        text = f"日本 ab{sign}日本 cd"
+        ids = np.array(library(text))
+        behind = {len(b"".join(words[i] for i in ids[:at])) for at in ends.behind(ids).tolist()}
+        assert behind == {len(f"日本 ab{sign}".encode())} or any(
+            sign.encode() in words[i] and not words[i].endswith(sign.encode()) for i in ids
+        )
+    assert ends.behind(np.array([1, 1])).tolist() == []
+
+
 def test_short_windows_of_a_power_of_two_cost_nothing():
     places, cost = np.array([256, 2304]), np.array([0, 0])
     assert packing.best_cuts(places, cost, 2048) == [256, 2304]
