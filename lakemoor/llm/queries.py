@@ -5,6 +5,7 @@ from __future__ import annotations
 from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     bpe,
     frames,
+    lexical,
     license_scan,
     metric_tree,
     packing,
