@@ -9,6 +9,7 @@ from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     license_scan,
     metric_tree,
     packing,
+    periodic,
     permutation,
     quality,
     secret_scan,
