@@ -15,6 +15,7 @@ from lakemoor.llm import (  # noqa: F401  (importing registers the queries)
     secret_scan,
     similar,
     unigram,
+    wrapper,
 )
 from lakemoor.llm.common import ORACLES, QUERIES
 

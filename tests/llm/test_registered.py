@@ -23,7 +23,7 @@ REPO = Path(__file__).resolve().parents[2]
 def test_all_are_registered():
     registered = entry_point.queries()
     assert "pipeline" in registered
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(key.startswith(f"op{n}_") for key in registered) == 1
     assert set(ORACLES) <= set(entry_point.oracle_sql())
 
