@@ -41,6 +41,7 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 
+SHARD_BYTES = 1 << 28  # of text behind one file
 FRAME_TOKENS = 1 << 18  # a frame is closed once it holds as many
 LEVEL = 3
 
@@ -173,9 +174,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     ``folder`` must be one that all executors reach; the manifest lies in ``folder``/manifest.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = texts_of(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = (
-        texts_of(docs)
+        docs
         .withColumn("read_at", F.monotonically_increasing_id())
         .repartitionByRange(partitions, "doc_id", "read_at")
         .sortWithinPartitions("doc_id", "read_at")

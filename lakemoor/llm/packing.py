@@ -18,7 +18,6 @@ partition is whatever is left. Rows of one partition are packed in the order the
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ WINDOW = 2048
 BLOCK = 1 << 19  # tokens solved at once
 SENTENCE_COST = 6  # a window that ends inside a document, in tokens of padding
 SENTENCE_ENDS = tuple(sign.encode() for sign in ".!?\n…。！？．｡।॥؟۔։።၊။།")
-SHORTEST = 64  # the least power of two that is tried as a window's length
+SHORTEST = 64  # the least power of two tried as a window's length where none is given
 STEP, STEP_COST = 128, 64  # places inside sentences longer than a window, and what ending there costs
 SEQUENCES_PER_TASK = 36  # bits
 
@@ -70,7 +69,7 @@ class SentenceEnds:
     """Finds the ends of sentences in ids, also where a full stop's bytes are several tokens."""
 
     def __init__(self, words: list[bytes], end_id: int) -> None:
-        self.words = words
+        self.words, self.none = words, max(len(words), end_id + 1)
         self.whole = np.zeros(max(len(words), end_id + 1), bool)
         self.whole[: len(words)] = [word.endswith(SENTENCE_ENDS) for word in words]
         parts = {sign[at:] for sign in SENTENCE_ENDS for at in range(1, len(sign))}
@@ -80,9 +79,13 @@ class SentenceEnds:
     def behind(self, ids: np.ndarray) -> np.ndarray:
         """The positions behind the last token of each sentence."""
         found = self.whole[ids]
-        for at in np.flatnonzero(self.part[ids]).tolist():
-            last = [self.words[i] for i in ids[max(at - 3, 0) : at + 1].tolist() if i < len(self.words)]
-            found[at] = found[at] or b"".join(last).endswith(SENTENCE_ENDS)
+        parts = np.flatnonzero(self.part[ids] & ~found)
+        if len(parts):
+            # The last four ids hold the bytes of any full stop; each four of them is looked at once.
+            four = np.concatenate([np.full(3, self.none), ids.astype(np.int64)])[parts[:, None] + np.arange(4)]
+            kinds, kind = np.unique(four, axis=0, return_inverse=True)
+            ends = [b"".join(self.words[i] for i in own if i < len(self.words)) for own in kinds.tolist()]
+            found[parts] = np.array([end.endswith(SENTENCE_ENDS) for end in ends])[kind.ravel()]
         return np.flatnonzero(found) + 1
 
 
@@ -91,42 +94,59 @@ def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.diff(both, prepend=-1) > 0]
 
 
-def best_cuts(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
+def _powers(whole: np.ndarray, shortest: int, window: int) -> tuple[list[int], list[int]]:
+    """The places that lie a power of two before each place: all in a row, and where each one's begin."""
+    line = np.full(int(whole[-1]) + 1, -1, np.int32)
+    line[whole] = np.arange(len(whole), dtype=np.int32)
+    ends, starts = [], []
+    power = shortest
+    while power < window:
+        first = int(np.searchsorted(whole, power))
+        found = line[whole[first:] - power]
+        hit = np.flatnonzero(found >= 0)
+        ends.append(hit + first)
+        starts.append(found[hit])
+        power *= 2
+    ends = np.concatenate([*ends, np.empty(0, np.int64)])
+    starts = np.concatenate([*starts, np.empty(0, np.int32)])
+    begins = np.cumsum(np.bincount(ends.astype(np.int64), minlength=len(whole)))
+    return starts[np.argsort(ends, kind="stable")].tolist(), begins.tolist()
+
+
+def best_cuts(places: np.ndarray, cost: np.ndarray, window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
     """The window ends (the last place included) with the least padding plus cost.
 
-    No gap between neighbouring places may exceed ``window``. A tie goes to the longer window.
+    Windows of a power of two from ``shortest`` on need no padding. No gap between neighbouring places may exceed
+    ``window``. A tie goes to the longer window.
     """
-    at = [0, *places.tolist()]
-    extra = [0, *cost.tolist()]
-    n = len(at)
-    exact: dict[int, list[int]] = {}
-    whole = np.array(at)
-    power = SHORTEST
-    while power < window:
-        found = np.searchsorted(whole, whole - power)
-        hit = np.flatnonzero((whole >= power) & (whole[np.minimum(found, n - 1)] == whole - power))
-        for j, i in zip(hit.tolist(), found[hit].tolist()):
-            exact.setdefault(j, []).append(i)
-        power *= 2
+    whole = np.concatenate([[0], places])
+    n = len(whole)
+    exact, stops = _powers(whole, shortest, window)
+    at = whole.tolist()
     least = [0] * n  # cost of the best cut of what lies before a place
     before = [0] * n
-    queue: deque[int] = deque([0])
     key = [0] * n  # least + place: what decides between starts
-    for j in range(1, n):
-        end = at[j]
-        while end - at[queue[0]] > window:
-            queue.popleft()
-        start = queue[0]
-        value = key[start] + window - end
-        for i in exact.get(j, ()):
-            if least[i] < value:
-                value, start = least[i], i
-        value += extra[j]
-        least[j], before[j], key[j] = value, start, value + end
-        mine = key[j]
-        while queue and key[queue[-1]] > mine:
-            queue.pop()
-        queue.append(j)
+    queue = [0] * n  # from head to tail
+    head, tail = 0, 1
+    begin = stops[0]
+    for j, (end, extra, stop) in enumerate(zip(at[1:], cost.tolist(), stops[1:]), 1):
+        reach = end - window
+        while at[queue[head]] < reach:
+            head += 1
+        start = queue[head]
+        value = key[start] - reach
+        if begin != stop:
+            for i in exact[begin:stop]:
+                if least[i] < value:
+                    value, start = least[i], i
+            begin = stop
+        value += extra
+        least[j], before[j] = value, start
+        key[j] = mine = value + end
+        while tail > head and key[queue[tail - 1]] > mine:
+            tail -= 1
+        queue[tail] = j
+        tail += 1
     cuts, j = [], n - 1
     while j > 0:
         cuts.append(at[j])
@@ -137,8 +157,9 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> lis
 class _Stream:
     """Documents of one task that are not in a closed window yet."""
 
-    def __init__(self, sentence_ends: SentenceEnds, window: int, first_sequence: int) -> None:
+    def __init__(self, sentence_ends: SentenceEnds, window: int, first_sequence: int, shortest: int = 1) -> None:
         self.sentence_ends, self.window, self.sequence = sentence_ends, window, first_sequence
+        self.shortest = shortest
         self.docs: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, tokens in all, start, ids
         self.tokens = 0
 
@@ -151,7 +172,7 @@ class _Stream:
         ids = np.concatenate([doc[3] for doc in self.docs])
         lengths = np.array([len(doc[3]) for doc in self.docs], np.int64)
         places, cost = cut_places(lengths, self.sentence_ends.behind(ids), self.window)
-        cuts = np.array(best_cuts(places, cost, self.window), np.int64)
+        cuts = np.array(best_cuts(places, cost, self.window, self.shortest), np.int64)
         if not last:
             cuts = cuts[:-1]
         if not len(cuts):
@@ -195,11 +216,12 @@ class _Stream:
         return batch
 
 
-def _packer(tokenizer: str, end_id: int, window: int):
+def _packer(tokenizer: str, end_id: int, window: int, shortest: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         sentence_ends = SentenceEnds(vocabulary(tokenizer), end_id)
-        stream = _Stream(sentence_ends, window, TaskContext.get().partitionId() << SEQUENCES_PER_TASK)
+        first = TaskContext.get().partitionId() << SEQUENCES_PER_TASK
+        stream = _Stream(sentence_ends, window, first, shortest)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
@@ -212,13 +234,15 @@ def _packer(tokenizer: str, end_id: int, window: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, shortest: int = 1) -> DataFrame:
     """The pieces of all ``docs`` (``doc_id``, ``text``) in sequences of at most ``window`` tokens.
 
+    Every power of two from ``shortest`` on is tried as a sequence's length.
+
     ``ids`` holds a piece's token ids as little-endian unsigned 32-bit numbers; ``sequence_tokens``
     is the length of its sequence before padding.
     """
-    return texts_of(docs).mapInArrow(_packer(tokenizer, end_id, window), PIECES)
+    return texts_of(docs).mapInArrow(_packer(tokenizer, end_id, window, shortest), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

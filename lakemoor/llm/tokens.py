@@ -7,6 +7,7 @@ it has met and asks the library's model for new ones only.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -72,29 +73,94 @@ class PieceMemory:
         return [b"".join(ids) for ids in found]
 
 
+class _Learned(dict):
+    """Ids of pieces, as bytes; a piece that is not known yet is learned when it is asked for."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._learn(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
-    """Ids of texts under a tokenizer file, without special tokens (their strings are plain text)."""
+    """Ids of texts under a tokenizer file, as the library gives them with add_special_tokens=False.
+
+    That adds no token, but reads the string of an added token in a text as that token: texts with
+    such a string go to the library whole.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MOST_CACHED) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path).model
+        self._whole = Tokenizer.from_file(path)
+        self._added = [token.content for token in self._whole.get_added_tokens_decoder().values()]
+        self._tokenize = self._whole.model.tokenize
         self._sign = {byte: sign for sign, byte in byte_alphabet().items()}
-        self._memory = PieceMemory(self._learn)
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        self._merger = self._by_rank(path)
+        self._known, self._most = _Learned(self._learn), most
+
+    def _by_rank(self, path: str):
+        """tiktoken's faster merging over the same vocabulary, where it gives the same ids, else None.
+
+        It merges any two neighbours whose bytes together are a token, least id first. The model merges
+        listed pairs, in their order. If ids grow in that order and the model makes each token's own bytes
+        into that token, then whenever it is a token's turn, the model has its bytes as the listed pair or
+        crossed by another token, so both merge the same.
+        """
+        import tiktoken
+
+        state = json.loads(self._whole.to_str())["model"]
+        if state["type"] != "BPE" or any(state.get(name) for name in ("dropout", "byte_fallback", "ignore_merges")):
+            return None
+        words, merges = state["vocab"], state["merges"]
+        made = [words["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in merges]
+        if made != sorted(set(made)):
+            return None
+        added = set(self._added)
+        ranks = {bytes_of: at for at, bytes_of in enumerate(vocabulary(path)) if bytes_of}
+        ranks = {bytes_of: at for bytes_of, at in ranks.items() if bytes_of.decode("latin-1") not in added}
+        for bytes_of, at in ranks.items():
+            signs = bytes_of.decode("latin-1").translate(self._sign)
+            if [token.id for token in self._tokenize(signs)] != [at]:
+                return None
+        if not all(bytes([byte]) in ranks for byte in range(256)):
+            return None
+        return tiktoken.Encoding(path, pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _learn(self, piece: str) -> bytes:
+        if self._merger is not None:
+            return array("I", self._merger(piece)).tobytes()
         # A piece goes to the library's model itself: cutting it again would cost more than merging.
-        tokenize, sign = self._model.tokenize, self._sign
-        out = {}
-        for piece in pieces:
-            tokens = tokenize(piece.encode().decode("latin-1").translate(sign))
-            out[piece] = array("I", [token.id for token in tokens]).tobytes()
-        return out
+        if piece.isascii() and piece.isprintable():
+            signs = piece.replace(" ", self._sign[32])
+        else:
+            signs = piece.encode().decode("latin-1").translate(self._sign)
+        return array("I", [token.id for token in self._tokenize(signs)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
-        return [np.frombuffer(ids, "<u4") for ids in self._memory.encode(texts)]
+        known, out = self._known.__getitem__, []
+        for text in texts:
+            if any(one in text for one in self._added):
+                ids = array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                ids = b"".join(map(known, pieces_of(text)))
+            out.append(np.frombuffer(ids, "<u4"))
+            if len(self._known) > self._most:
+                self._forget()
+        return out
+
+    def _forget(self) -> None:
+        # Pieces of one id are words of the vocabulary: the usual ones, and bounded in number.
+        usual = {piece: ids for piece, ids in self._known.items() if len(ids) == 4}
+        self._known.clear()
+        self._known.update(usual if 2 * len(usual) < self._most else {})
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -19,13 +19,12 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def some_texts():
     rnd = random.Random(5)
-    signs = ["a", "the", " ", "  ", "\n", "'s", "'LL", "é", "日", "🙂", "\x85", " ", "\x1c", "½", "9", "!", "_", "　"]
+    signs = ["<|endoftext|>", "<|end", "a", "the", " ", "  ", "\n", "'s", "'LL", "é", "日", "🙂", "\x85", " ", "\x1c", "½", "9", "!", "_", "　"]
     return [text or "" for _, text in TEXTS] + ["".join(rnd.choices(signs, k=rnd.randrange(40))) for _ in range(400)]
 
 
@@ -34,12 +33,24 @@ def test_pieces_and_ids(library):
     texts = some_texts()
     for text in texts:
         assert pieces_of(text) == _PIECES.findall(text)
-    encoder._memory._most = 50  # forgets again and again
+    encoder._most = 50  # forgets again and again
     for _ in range(2):
         assert [ids.tolist() for ids in encoder.encode(texts)] == [library(text) for text in texts]
     assert b"".join(vocabulary(JSON)[i] for i in library("naïve 日本 text")) == "naïve 日本 text".encode()
 
 
+def test_both_ways_to_merge(library):
+    """The faster merging and the library's model."""
+    fast, slow = PieceEncoder(JSON), PieceEncoder(JSON)
+    assert fast._merger is not None
+    slow._merger = None
+    rnd = random.Random(15)
+    texts = ["".join(rnd.choices("etaoin shrdluETAOIN'.,0é日\n", k=rnd.randrange(80))) for _ in range(2000)]
+    texts += ["".join(chr(rnd.randrange(32, 0x3000)) for _ in range(30)) for _ in range(300)] + ["a" * 999, "ab" * 500]
+    want = [ids.tolist() for ids in slow.encode(texts)]
+    assert [ids.tolist() for ids in fast.encode(texts)] == want == [library(text) for text in texts]
+
+
 def test_recursive_queries():
     coder = bpe.RankCoder(RANKS)
     ranks = bpe.read_ranks(RANKS)
@@ -98,6 +109,39 @@ def test_packing_rows(spark, library):
     assert packing.pack(every.limit(0), JSON).collect() == []
 
 
+def test_best_cuts_with_powers_of_two():
+    """Windows of a power of two, 1 included, need no padding."""
+    rnd, window = random.Random(9), 16
+    for _ in range(300):
+        lengths = np.array([rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 9))])
+        ends = np.array(sorted(rnd.sample(range(1, 40), rnd.randrange(1, 9))))
+        places, cost = packing.cut_places(lengths, ends, window)
+        for shortest in (1, 2, 8):
+
+            def padding(n):
+                return 0 if n >= shortest and n & (n - 1) == 0 else window - n
+
+            at, extra = [0, *places.tolist()], [0, *cost.tolist()]
+            least = [0] + [10**9] * len(places)
+            for j in range(1, len(at)):
+                options = [least[i] + padding(at[j] - at[i]) for i in range(j) if at[j] - at[i] <= window]
+                least[j] = min(options) + extra[j]
+            cuts = packing.best_cuts(places, cost, window, shortest)
+            spent = sum(padding(b - a) for a, b in zip([0, *cuts], cuts))
+            spent += sum(extra[at.index(cut)] for cut in cuts)
+            assert cuts[-1] == at[-1] and spent == least[-1]
+
+
+def test_sentence_ends_of_several_tokens():
+    """Against the bytes of the last four ids, one position after the other."""
+    words = vocabulary(JSON)
+    ends = packing.SentenceEnds(words, 1)
+    ids = PieceEncoder(JSON).encode(["One. Two! 日本語。 और। ok… ۔x។ y\n z？ end"])[0]
+    found = [at + 1 for at in range(len(ids)) if b"".join(words[i] for i in ids[max(at - 3, 0) : at + 1]).endswith(packing.SENTENCE_ENDS)]
+    assert ends.behind(ids).tolist() == found and len(found) >= 8
+    assert ends.behind(ids[:0]).tolist() == []
+
+
 def test_best_cuts_against_every_cut():
     rnd = random.Random(8)
     packing_window = 16
