@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemoor.plans.registry import SUFFIX, Mounted, query
+from lakemoor.plans.registry import QUERIES, SUFFIX, Mounted, query
+from lakemoor.session import scratch_path
 from lakemoor.streaming.events import first_of_copies, running_totals, sessions, windowed
+from lakemoor.streaming.stateful import (
+    open_sessions,
+    run_keyed,
+    sessions_by_timer,
+    state_of,
+    totals_until_silence,
+)
 from lakemoor.streaming.tables import (
     event_time,
     last_batch,
@@ -94,6 +102,23 @@ def stream_sessions(at: Mounted) -> DataFrame:
     return last_batch(run_batches(found, "stream_sessions", "complete"))
 
 
+@query("P84", QUERIES["stream_sessions"].oracle)
+def stream_sessions_appended(at: Mounted) -> DataFrame:
+    # Each batch writes what it closed; the sessions still open at the end come from the state.
+    path = scratch_path(at.spark, "stream_sessions_appended")
+    stream = event_time(_events(at), "ts", "10 minutes")
+    gap = 5 * 60 * 1_000_000
+    closed = run_keyed(sessions_by_timer(stream, "user_id", "value", "ts", gap), "sessions", path).drop("batch")
+    told = closed.where("kind = 'closed'").unionByName(open_sessions(at.spark, path, "user_id"))
+    return told.select(
+        F.timestamp_micros("first").cast("timestamp_ntz").alias("window_start"),
+        F.timestamp_micros(F.col("last") + gap).cast("timestamp_ntz").alias("window_end"),
+        "user_id",
+        F.col("n").alias("events"),
+        F.round("total", 2).alias("value"),
+    )
+
+
 @query("P85", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def stream_without_copies(at: Mounted) -> DataFrame:
     doubled = _events(at).unionByName(_events(at)).drop("props")
@@ -126,3 +151,58 @@ def stream_totals(at: Mounted) -> DataFrame:
     state = running_totals(_events(at), "user_id", "value", "ts")
     newest = newest_rows(run_batches(state, "stream_totals", "update"), ["user_id"])
     return newest.withColumn("total", F.round("total", 2))
+
+
+_SILENCE_MS = 12 * 3600 * 1000
+
+
+@query(
+    "P81 P87",
+    f"""
+    WITH cut AS (SELECT max(ts) - INTERVAL 1 DAY AS day FROM events),
+    waves AS (
+        SELECT user_id, value, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type <> 'error' AND ts < day THEN 1 ELSE 2 END AS wave
+        FROM events, cut
+    ),
+    marks AS (
+        SELECT max(ms) FILTER (wave = 1) - 600000 AS first_mark, max(ms) - 600000 AS last_mark FROM waves
+    ),
+    told AS (
+        SELECT waves.*, first_mark, last_mark, wave = 2 AND (ms // 60000 + 1) * 60000 <= first_mark AS late FROM waves, marks
+    ),
+    first AS (
+        SELECT user_id, max(ms) AS last_ms, count(*) AS n, sum(value) AS total,
+               max(ms) + {_SILENCE_MS} <= any_value(first_mark) AS over
+        FROM told WHERE wave = 1 GROUP BY user_id
+    ),
+    carried AS (
+        SELECT user_id, last_ms, n, total FROM first WHERE NOT over
+        UNION ALL SELECT user_id, ms, 1, value FROM told WHERE wave = 2 AND NOT late
+    ),
+    second AS (
+        SELECT user_id, max(last_ms) AS last_ms, sum(n)::BIGINT AS n, sum(total) AS total FROM carried GROUP BY user_id
+    )
+    SELECT 'closed' AS kind, user_id, last_ms, n, round(total, 2) AS total FROM first WHERE over
+    UNION ALL
+    SELECT CASE WHEN last_ms + {_SILENCE_MS} <= last_mark THEN 'closed' ELSE 'open' END, user_id, last_ms, n, round(total, 2)
+    FROM second, marks
+    UNION ALL
+    SELECT 'late', user_id, max(ms), count(*), round(sum(value), 2) FROM told WHERE late GROUP BY user_id, ms // 60000
+    """,
+)
+def stream_late_totals(at: Mounted) -> DataFrame:
+    # Errors are delivered late: they land, with the last day, behind all other events.
+    path = scratch_path(at.spark, "stream_late_totals")
+    events = at.table("events").drop("props")
+    last = events.agg(F.max("ts").alias("ts")).first()["ts"]
+    in_time = (F.col("event_type") != "error") & (F.col("ts") < F.lit(last) - F.expr("INTERVAL 1 DAY"))
+    for wave in (in_time, ~in_time):
+        events.where(wave).write.mode("append").parquet(f"{path}/landed")
+        stream = event_time(stream_table(at.spark, f"{path}/landed", events.schema), "ts", "10 minutes")
+        totals = totals_until_silence(stream, "user_id", "value", "ts", 60_000, _SILENCE_MS)
+        told = run_keyed(totals, "totals", path)
+    over = told.where("kind = 'closed'").select("kind", "user_id", "last_ms", "n", "total")
+    still = state_of(at.spark, path, "totals").select(F.lit("open").alias("kind"), F.col("k").alias("user_id"), "last_ms", "n", "total")
+    late = told.where("kind = 'late'").groupBy("kind", "user_id", "until_ms")
+    late = late.agg(F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"), F.sum("total").alias("total")).drop("until_ms")
+    return over.unionByName(still).unionByName(late).withColumn("total", F.round("total", 2))

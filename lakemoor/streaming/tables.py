@@ -64,14 +64,16 @@ def run_batches(
     label: str,
     mode: str = "append",
     each: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    path: str | None = None,
 ) -> DataFrame:
     """Process what is there batch by batch; ``each`` sees a batch as an ordinary frame.
 
     A batch overwrites its own folder, so a repeated batch changes nothing. The result carries the
-    ``batch`` of each row.
+    ``batch`` of each row. With the ``path`` of an earlier run the stream goes on where that one
+    ended, and the result holds the batches of both.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     schema = each(spark.createDataFrame([], stream.schema)).schema
     written: list[int] = []
 
@@ -88,11 +90,16 @@ def run_batches(
     )
     query.awaitTermination()
     schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
-    if not written:
+    if not written and not _exists(spark, f"{path}/data"):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/data")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def newest_rows(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last version of each row that batches in update mode have written."""
     row = F.struct(*[c for c in batches.columns if c != "batch"])
