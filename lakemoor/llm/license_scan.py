@@ -5,7 +5,7 @@ over that line; each names a word sequence that it cannot match without (its key
 is tried only where its keyword stands. They are SPDX identifiers behind their tag, sentences of
 license bodies and standard notices, and names of licenses; what stands before a name gives its weight. Detections inside a larger detection, or inside an equal
 one of an earlier rule, are suppressed. The line is looked at in windows of fixed length that
-overlap by more than any rule can match, and a detection counts in the window where it starts, so
+overlap by more than any rule can match (longer rules are refused), and a detection counts in the window where it starts, so
 work per text is linear in its length. Nothing is shuffled.
 
 Defined results: a null text is an empty one; a text without words has ``n_words`` 0 and no labels;
@@ -201,7 +201,6 @@ SPDX = (
     ("cdla", "CDLA-Permissive-1.0", "CDLA-Permissive-2.0", "CDLA-Sharing-1.0"),
 )
 TAG = "spdx license identifier"
-WITHIN = f"(?<={TAG} [a-z0-9 ]{{1,80}} (?:or|and|with) )"  # fewer characters than MARGIN
 
 # Label, then sentences of its body and its standard notices, none longer than MARGIN.
 LICENSE = "licen[cs]e"
@@ -313,12 +312,16 @@ def _spelled(pattern: str) -> str:
     return pattern.replace(LICENSE, "license").replace("licence", "license").replace("license", LICENSE)
 
 
+def _words(identifier: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", identifier.lower()).strip()
+
+
 def signature_rules() -> tuple[Rule, ...]:
     """The base phrases first, then identifiers, bodies, and every name in every template, strongest template first."""
     rules = [Rule(label, 1.0, phrase, phrase) for phrase, label in BASE.items()]
     for label, *identifiers in SPDX:
-        words = dict.fromkeys(re.sub("[^a-z0-9]+", " ", one.lower()).strip() for one in identifiers)
-        rules += [Rule(label, 1.0, TAG, f"(?:{TAG} |{WITHIN}){one}") for one in words]
+        words = dict.fromkeys(map(_words, identifiers))
+        rules += [Rule(label, 1.0, TAG, f"{TAG} {one}") for one in words]
     for label, *sentences in BODIES:
         rules += [Rule(label, 1.0, _keyword(_spelled(one)), _spelled(one)) for one in sentences]
     for weight, template in TEMPLATES:
@@ -328,7 +331,7 @@ def signature_rules() -> tuple[Rule, ...]:
     return tuple(rules)
 
 
-CORE, MARGIN = 1000, 200  # characters: a window's own part, and what it sees on either side (no rule matches more)
+CORE, MARGIN = 1000, 200  # characters: a window's own part, and what it sees on either side
 
 
 def line_of_words(text: Column) -> Column:
@@ -336,6 +339,29 @@ def line_of_words(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), NOT_WORD, " "))
 
 
+def expression_labels(line: Column) -> Column:
+    """The labels of all identifiers in the SPDX expressions of a line, however long those are.
+
+    An expression is what stands behind the tag: identifiers, or, and, with, up to the first other word.
+    """
+    label_of = {_words(one): label for label, *identifiers in SPDX for one in identifiers}
+    known = "|".join(sorted(label_of, key=len, reverse=True))
+    # Possessive repetition: one step after the other, without a way back to remember.
+    expressions = F.regexp_extract_all(line, F.lit(f"(?<= ){TAG} ((?:(?:{known}|or|and|with) )++)"), F.lit(1))
+    met = F.flatten(
+        F.transform(expressions, lambda one: F.regexp_extract_all(F.concat(F.lit(" "), one), F.lit(f"(?<= )({known})(?= )"), F.lit(1)))
+    )
+    labels = F.create_map(*[F.lit(text) for pair in label_of.items() for text in pair])
+    found = F.transform(F.array_distinct(met), lambda one: F.element_at(labels, one))
+    none = F.array().cast("array<string>")
+    return F.when(line.contains(f" {TAG} "), F.array_distinct(found)).otherwise(none)
+
+
+def _longest(pattern: str) -> int:
+    """The most characters that a pattern can match."""
+    return re._parser.parse(pattern).getwidth()[1]
+
+
 def _spaces(line: Column) -> Column:
     return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
 
@@ -440,10 +466,15 @@ ANCHORS = anchors_of(signature_rules())
 def license_scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """Per row of ``docs``: its number of words, base places and labels, and the surviving detections.
 
-    ``score`` says how surely the text names a license: 1 less the chance that every surviving
-    label is a false one, taking each label's strongest detection.
+    Without ``rules`` they are :func:`signature_rules`, and SPDX expressions are read to their end as well.
+    No rule may match more than MARGIN characters. ``score`` says how surely the text names a license: 1 less
+    the chance that every surviving label is a false one, taking each label's strongest detection.
     """
+    expressions = F.array().cast("array<string>") if rules else expression_labels(F.col("line"))
     rules = signature_rules() if rules is None else rules
+    for rule in rules:
+        if _longest(rule.pattern) > MARGIN - 2:  # with a space on either side
+            raise ValueError(f"rule {rule.label!r} can match more than {MARGIN - 2} characters: {rule.pattern}")
     line = F.col("line")
     anchored = reduce(or_, [line.contains(anchor) for anchor in anchors_of(rules)])
     lines = texts_of(docs).select("doc_id", line_of_words(F.col("text")).alias("line"))
@@ -454,6 +485,7 @@ def license_scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Data
         (_spaces(line) - 1).cast("long").alias("n_words"),
         *[_base_places(line, phrase).alias(label) for phrase, label in BASE.items()],
         F.when(F.col("anchored"), detections(line, rules)).otherwise(none).alias("detections"),
+        expressions.alias("expressions"),
     )
     base = [F.col(f"`{label}`") for label in BASE.values()]
     labels = F.array_sort(
@@ -462,6 +494,7 @@ def license_scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Data
                 F.concat(
                     F.array(*[F.when(one.isNotNull(), F.lit(label)) for one, label in zip(base, BASE.values())]),
                     F.transform("detections", lambda one: one.label),
+                    F.col("expressions"),
                 )
             )
         )

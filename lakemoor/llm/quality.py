@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemoor.llm.common import each_batch, query, table, texts_of
+from lakemoor.sources.names import quote
 
 MOST_LABELLED = 20_000  # rows that the model is fitted on
 BINS = 48  # per feature
@@ -254,13 +255,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = feature_matrix(batch.column("text").to_pylist())
         rows = pa.array(list(found), pa.list_(pa.float64()))
-        return pa.record_batch(
-            [batch.column("doc_id"), batch.column("quality"), rows], names=["doc_id", "quality", "x"]
-        )
+        names = ["doc_id", "quality", "hash"]
+        return pa.record_batch([*map(batch.column, names), rows], names=[*names, "x"])
 
-    # Broadcast: ``most`` rows of two numbers.
-    known = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = known.mapInArrow(each_batch(run), "doc_id long, quality int, x array<double>").collect()
+    # Broadcast: ``most`` rows of two numbers. A doc_id may stand in many rows, so they are bounded again.
+    known = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("hash"), "text")
+    found = known.mapInArrow(each_batch(run), "doc_id long, quality int, hash long, x array<double>")
+    rows = found.orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash", "quality", "x").limit(most).collect()
     rows.sort(key=lambda row: (row.doc_id, row.quality, row.x))
     x = np.array([row.x for row in rows], float).reshape(len(rows), len(FEATURES))
     return x, np.array([row.quality for row in rows], float)
@@ -294,8 +295,8 @@ def keep_good(docs: DataFrame, model: AdditiveModel) -> DataFrame:
         good = model.score(feature_matrix(found)) >= 0.5
         return texts.filter(pa.array(good))
 
-    own = docs.select(*[name for name in docs.columns if name != "text"], "text")
-    return own.mapInArrow(each_batch(run), own.schema).select(*docs.columns)
+    own = docs.select(*[quote(name) for name in docs.columns if name != "text"], "text")
+    return own.mapInArrow(each_batch(run), own.schema).select(*map(quote, docs.columns))
 
 
 @query()

@@ -52,6 +52,42 @@ class Rule:
         return [m.span() for m in found if m.end(self.group) - m.start(self.group) >= self.least]
 
 
+@dataclass(frozen=True)
+class WebToken(Rule):
+    """Three parts between points, the first two beginning with ``pattern``, of ``parts`` characters or more.
+
+    A first part may begin behind a hyphen. Each run of parts is read once, however often the beginning
+    stands in it, which one regular expression would not do.
+    """
+
+    parts: tuple[int, int, int] = (1, 1, 1)
+
+    def spans(self, text: str, lowered: str) -> list[tuple[int, int]]:
+        if self.hints and not any(hint in lowered for hint in self.hints):
+            return []
+        out = []
+        for run in _RUN_OF_PARTS.finditer(text):
+            begins = run.start()
+            parts = []
+            for part in run.group().split("."):
+                parts.append((begins, part))
+                begins += len(part) + 1
+            at = 0
+            while at + 2 < len(parts):
+                (begin, one), (_, two), (last, three) = parts[at : at + 3]
+                first = 0 if one.startswith(self.pattern) else one.find("-" + self.pattern) + 1
+                fits = first or one.startswith(self.pattern)
+                fits = fits and len(one) - first >= self.parts[0] and two.startswith(self.pattern)
+                if fits and len(two) >= self.parts[1] and len(three) >= self.parts[2]:
+                    out.append((begin + first, last + len(three)))
+                    at += 3
+                else:
+                    at += 1
+        return out
+
+
+_RUN_OF_PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++", re.ASCII)
+
 # The base kinds, in the order that decides ties. A run of hex digits too short to count cannot
 # hold a longer one, nor can a run after AKIA, so those two ask for the length in the pattern.
 BASE = (
@@ -67,7 +103,7 @@ BASE = (
 )
 MORE = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", hints=("private key-----",)),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", hints=("eyj",)),
+    WebToken("jwt", "eyJ", parts=(11, 11, 16), hints=("eyj",)),
     Rule("forge_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-")),
     Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
     Rule("bearer", r"\b[Bb]earer [A-Za-z0-9_.=/+-]{24,}", hints=("bearer",)),

@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from odd import TEXTS, frame, odd_documents
 from pyspark.sql import functions as F
 
@@ -113,3 +115,38 @@ def test_identifiers_bodies_and_spellings(spark):
 def test_given_rules_decide_where_to_look(spark):
     rules = (scan.Rule("own", 0.5, "house rules", "house rules(?: apply)?"),)
     assert labels_of(spark, ["Our house rules apply.", "MIT license"], rules) == [["own"], []]
+
+
+def test_long_expressions(spark):
+    eight = "Apache-2.0 OR BSD-3-Clause OR GPL-2.0-or-later OR LGPL-2.1-or-later OR MPL-2.0 OR CC-BY-SA-4.0 OR PostgreSQL OR Zlib"
+    every = [(label, one) for label, *own in scan.SPDX for one in own]
+    texts = [
+        f"SPDX-License-Identifier: {eight}",
+        "SPDX-License-Identifier: " + " OR ".join(one for _, one in every) + " Copyright, Ruby and MIT",
+        "SPDX-License-Identifier: " + " AND ".join(["MIT"] * 20_000) + " AND (Zlib OR Vim)",
+        "spdx license identifier house rules or mit; SPDX-License-Identifier: ISC WITH other",
+    ]
+    got = labels_of(spark, texts)
+    assert len(got[0]) == 8 and {"postgresql", "zlib", "apache-2", "mpl-2"} <= set(got[0])
+    assert set(got[1]) == {label for label, _ in every}
+    assert got[2:] == [["mit", "vim", "zlib"], ["isc"]]
+
+
+def test_rules_longer_than_a_window_sees_are_refused(spark):
+    for pattern in ("word " * 60, "a(?: b)*", "x{1,300}"):
+        with pytest.raises(ValueError, match="can match more"):
+            labels_of(spark, ["x"], (scan.Rule("own", 0.5, "x", pattern),))
+
+
+def test_suppression_against_plain_python(spark):
+    rnd, rows = random.Random(10), []
+    for _ in range(200):
+        own = [(a, a + rnd.randrange(1, 6), "x", 0.5, rnd.randrange(4)) for a in (rnd.randrange(8) for _ in range(rnd.randrange(9)))]
+        rows.append((own,))
+    kind = "found array<struct<start: int, stop: int, label: string, weight: double, rank: int>>"
+    for own, left in spark.createDataFrame(rows, kind).select("found", scan._surviving(F.col("found"))).collect():
+        want = [
+            a for a in own
+            if not any(b[0] <= a[0] and b[1] >= a[1] and ((b[1] - b[0]) > (a[1] - a[0]) or b[4] < a[4]) for b in own)
+        ]
+        assert left == want

@@ -62,3 +62,11 @@ def test_odd_rows(spark):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(docs.limit(0), none).collect() == []
     assert quality.keep_good(docs, none).count() == len(TEXTS)
+
+
+def test_training_rows_are_bounded_where_an_id_repeats(spark):
+    docs = spark.createDataFrame([(3, f"text number {i} of one id") for i in range(300)] + [(6, "another")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    x, y = quality.training_rows(docs, labels, most=10)
+    assert len(x) == len(y) <= 10
+    assert (quality.training_rows(docs.repartition(7), labels, most=10)[0] == x).all()

@@ -71,7 +71,7 @@ def test_stages(spark, sf_dir):
 
 
 def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
-    docs = odd_documents(spark, "row", "text_id", "score", "set_id")
+    docs = odd_documents(spark, "row", "text_id", "score", "set_id", "a.b", "text.x")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from odd import frame, odd_documents
@@ -69,3 +70,24 @@ def test_redact(spark):
 def test_long_and_nested(text):
     found = [f"{k}:{a}:{b}" for k, a, b in scan.find_all(text, scan.BASE)]
     assert found == base_spans(text)
+
+
+def test_web_tokens_against_one_expression():
+    rnd = random.Random(21)
+    rule = next(rule for rule in scan.RULES if rule.kind == "jwt")
+    pattern = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", re.ASCII)
+    pieces = [*["eyJabcdefgh."] * 8, *["abcdefghijklmnop"] * 4, "eyJ", "eyJabcdefgh", "-", ".", ".eyJ", "abcdefgh", "abcdefghijklmnop", "_", " ", "é", "..", "x"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rnd.choices(pieces, k=rnd.randrange(1, 16)))
+        want = [m.span() for m in pattern.finditer(text)]
+        assert rule.spans(text, text.lower()) == want, text
+        found += len(want)
+    assert found > 100
+
+
+def test_many_beginnings_of_a_web_token():
+    text = "eyJaaaaaaaa-" * 100_000
+    began = time.monotonic()
+    assert scan.find_all(text, scan.RULES) == []
+    assert time.monotonic() - began < 2
