@@ -295,8 +295,11 @@ def keep_good(docs: DataFrame, model: AdditiveModel) -> DataFrame:
         good = model.score(feature_matrix(found)) >= 0.5
         return texts.filter(pa.array(good))
 
-    own = docs.select(*[quote(name) for name in docs.columns if name != "text"], "text")
-    return own.mapInArrow(each_batch(run), own.schema).select(*map(quote, docs.columns))
+    names = [*[name for name in docs.columns if name != "text"], "text"]
+    # By number while Python sees them: it takes a point in a name for one of a struct.
+    own = docs.select(*map(quote, names)).toDF(*[f"c{at}" for at in range(len(names))])
+    kept = own.mapInArrow(each_batch(run), own.schema).toDF(*names)
+    return kept.select(*map(quote, docs.columns))
 
 
 @query()
