@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemoor.operators.ordered import exact_quantiles
+from lakemoor.operators.sketches import (
+    daily_sketches,
+    distinct_estimate,
+    merged,
+    quantile_estimate,
+    rank_estimate,
+    union_of,
+    without,
+    write_sketches,
+)
 from lakemoor.plans.registry import Mounted, query, same_sql
+from lakemoor.session import scratch_path
+from lakemoor.sources.files import read_path
 
 same_sql("count_all", "P20", "SELECT count(*) AS n, count(l_orderkey) AS keys FROM {db}.lineitem")
 
@@ -172,3 +184,61 @@ def unpivot_measures(at: Mounted) -> DataFrame:
     ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
     measures = ["l_quantity", "l_tax", "l_discount"]
     return at.table("lineitem").unpivot(ids, measures, "measure", "amount")
+
+
+def _event_sketches(at: Mounted) -> DataFrame:
+    """One row per day and type of event, read back from a table of sketches."""
+    made = daily_sketches(at.table("events"), ["event_type"], "ts", ["user_id", "value"], ["value"])
+    return read_path(at.spark, write_sketches(made, scratch_path(at.spark, "event_sketches")))
+
+
+@query(
+    "P22",
+    """
+    WITH seen AS (SELECT *, ts < (SELECT max(ts) - INTERVAL 10 DAY FROM events)::DATE AS early FROM events),
+    named AS (SELECT event_type, user_id, value, early FROM seen UNION ALL SELECT '(any)', user_id, value, early FROM seen)
+    SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT value) AS amounts,
+           count(DISTINCT value) FILTER (NOT early) - count(DISTINCT CASE WHEN NOT early AND known THEN value END) AS new_amounts
+    FROM (SELECT *, bool_or(early) OVER (PARTITION BY event_type, value) AS known FROM named)
+    GROUP BY event_type
+    """,
+)
+def distinct_by_sketch(at: Mounted) -> DataFrame:
+    # Estimates from merged daily sketches, exact while a sketch holds all values (up to 2 ** LG_NOMINAL of them).
+    sketches = _event_sketches(at)
+    last = at.table("events").agg(F.to_date(F.max("ts") - F.expr("INTERVAL 10 DAY")).alias("day")).first()["day"]
+    early = F.col("day") < F.lit(last)
+    any_type = F.lit("(any)").alias("event_type")
+    both = sketches.unionByName(sketches.withColumn("event_type", any_type)).drop("value_kll")
+    before = merged(both.where(early), ["event_type"])
+    after = merged(both.where(~early), ["event_type"]).select("event_type", *[F.col(c).alias(f"late_{c}") for c in ("user_id_theta", "value_theta")])
+    met = before.join(after, "event_type")
+    return met.select(
+        "event_type",
+        distinct_estimate(union_of(F.col("user_id_theta"), F.col("late_user_id_theta"))).alias("users"),
+        distinct_estimate(union_of(F.col("value_theta"), F.col("late_value_theta"))).alias("amounts"),
+        distinct_estimate(without(F.col("late_value_theta"), F.col("value_theta"))).alias("new_amounts"),
+    )
+
+
+_SHARES = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+
+
+@query(
+    "P25",
+    f"""
+    WITH placed AS (
+        SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS place,
+               count(*) OVER (PARTITION BY event_type) AS n
+        FROM events WHERE value IS NOT NULL
+    )
+    SELECT event_type, {", ".join(f"min(value) FILTER (place >= {share} * n) AS {name}" for name, share in _SHARES.items())},
+           round(avg(CASE WHEN value <= 50 THEN 1.0 ELSE 0.0 END), 6) AS to_50
+    FROM placed GROUP BY event_type
+    """,
+)
+def quantiles_by_sketch(at: Mounted) -> DataFrame:
+    # Estimates from merged daily sketches, exact while a merged sketch holds all values (up to RANKED of them).
+    found = merged(_event_sketches(at), ["event_type"])
+    shares = [quantile_estimate(F.col("value_kll"), share).alias(name) for name, share in _SHARES.items()]
+    return found.select("event_type", *shares, F.round(rank_estimate(F.col("value_kll"), 50), 6).alias("to_50"))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemoor.operators.changes import delete_rows, latest_per_key, update_rows, upsert
+from lakemoor.operators.changes import (
+    delete_rows,
+    delete_touched,
+    latest_per_key,
+    update_rows,
+    upsert,
+    upsert_touched,
+)
 from lakemoor.plans.registry import Mounted, query
 from lakemoor.session import scratch_path
 from lakemoor.sources.files import read_path, write_path
@@ -75,3 +82,39 @@ def update_orders(at: Mounted) -> DataFrame:
 @query("P72", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 100000)")
 def delete_orders(at: Mounted) -> DataFrame:
     return delete_rows(at.table("orders"), (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000))
+
+
+_BY_YEAR = "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders"
+
+
+@query(
+    "P70 P71 P72",
+    f"""
+    WITH old AS ({_BY_YEAR}), span AS (SELECT max(year) AS last FROM old),
+    patch AS (
+        SELECT o_orderkey, 'U' AS o_orderstatus, round(o_totalprice + 1, 2) AS o_totalprice, last AS year
+        FROM old, span WHERE year = last AND o_orderstatus = 'O'
+        UNION ALL SELECT o_orderkey, 'M', o_totalprice, last + 1 FROM old, span WHERE year = last - 1 AND o_totalprice > 300000
+    )
+    SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM patch)
+        AND NOT (year = (SELECT last - 2 FROM span) AND o_totalprice < 200000)
+    UNION ALL SELECT * FROM patch
+    """,
+)
+def rewrite_order_years(at: Mounted) -> DataFrame:
+    # A copy by year: a patch of the last two years, some of it moved to a new one, and a delete in the year before.
+    path = scratch_path(at.spark, "order_years")
+    orders = at.sql(_BY_YEAR.replace("FROM orders", "FROM {db}.orders"))
+    write_path(orders, path, partition_by=["year"])
+    target = read_path(at.spark, path)
+    last = target.agg(F.max("year")).first()[0]
+    raised = target.where((F.col("year") == last) & (F.col("o_orderstatus") == "O")).select(
+        "o_orderkey", F.lit("U").alias("o_orderstatus"), F.round(F.col("o_totalprice") + 1, 2).alias("o_totalprice"), "year"
+    )
+    moved = target.where((F.col("year") == last - 1) & (F.col("o_totalprice") > 300000)).select(
+        "o_orderkey", F.lit("M").alias("o_orderstatus"), "o_totalprice", F.lit(last + 1).alias("year")
+    )
+    upsert_touched(target, path, raised.unionByName(moved), ["o_orderkey"], ["year"])
+    few = (F.col("year") == last - 2) & (F.col("o_totalprice") < 200000)
+    delete_touched(read_path(at.spark, path), path, few, ["year"])
+    return read_path(at.spark, path).select(*target.columns)
