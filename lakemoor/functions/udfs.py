@@ -72,3 +72,65 @@ class Words:
             found.setdefault(word, [0, place])[0] += 1
         for word, (uses, first_place) in found.items():
             yield word, uses, first_place
+
+
+@F.arrow_udtf(returnType="lang string, word string, uses bigint, first_place bigint")
+class WordTable:
+    """The words of a table of texts (lang, text), counted batch by batch; no Python runs per row.
+
+    Words are what is left between blanks and line breaks; ``first_place`` is the least place of a word in a text.
+    """
+
+    def eval(self, texts: pa.RecordBatch) -> Iterator[pa.Table]:
+        lang, text = texts.column(0), pc.ascii_trim(texts.column(1), " \t\r\n")
+        # A list of very many words has more than one chunk's offsets can hold: split few texts at a time.
+        for at in range(0, texts.num_rows, 200):
+            words = pc.split_pattern_regex(text.slice(at, 200), r"[ \t\r\n]+")
+            row = pc.list_parent_indices(words)
+            begins = pc.subtract(words.offsets[:-1], words.offsets[0])
+            place = pc.subtract(pa.array(range(len(row)), pa.int64()), begins.take(row).cast(pa.int64()))
+            table = pa.table({"lang": lang.slice(at, 200).take(row), "word": pc.list_flatten(words), "place": place})
+            table = table.filter(pc.not_equal(table["word"], ""))
+            found = table.group_by(["lang", "word"]).aggregate([("place", "count"), ("place", "min")])
+            yield found.select(["lang", "word", "place_count", "place_min"]).rename_columns(["lang", "word", "uses", "first_place"])
+
+
+@F.arrow_udtf(returnType="user_id bigint, day date, kind string, first_id bigint, last_id bigint, events bigint")
+class Streaks:
+    """Stretches of rows of one kind in an ordered partition (user_id, day, event_type, event_id).
+
+    A partition comes in batches; a stretch that goes on in the next batch is carried over, so a long one takes no memory.
+    """
+
+    def __init__(self) -> None:
+        self._open: tuple | None = None
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        if not rows.num_rows:
+            return
+        kind = rows.column(2)
+        before, after = kind.slice(0, len(kind) - 1), kind.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(before, after), False), pc.xor(pc.is_null(before), pc.is_null(after)))
+        begins = [0, *(at + 1 for at in pc.indices_nonzero(differ).to_pylist())]
+        ends = [*begins[1:], rows.num_rows]
+        ids = rows.column(3)
+        found = []
+        for begin, end in zip(begins, ends):
+            own = (rows.column(0)[begin].as_py(), rows.column(1)[begin].as_py(), kind[begin].as_py())
+            if self._open and self._open[:3] == own:
+                self._open = (*own, self._open[3], ids[end - 1].as_py(), self._open[5] + end - begin)
+            else:
+                if self._open:
+                    found.append(self._open)
+                self._open = (*own, ids[begin].as_py(), ids[end - 1].as_py(), end - begin)
+        if found:
+            yield _streak_table(found)
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self._open:
+            yield _streak_table([self._open])
+
+
+def _streak_table(found: list[tuple]) -> pa.Table:
+    kinds = {"user_id": pa.int64(), "day": pa.date32(), "kind": pa.string(), "first_id": pa.int64(), "last_id": pa.int64(), "events": pa.int64()}
+    return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), zip(*found))})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemoor.functions.udfs import Words, elide_batch, weighted_means
+from lakemoor.functions.udfs import Streaks, WordTable, elide_batch
+from lakemoor.operators.digests import weighted_quantiles
 from lakemoor.plans.registry import Mounted, query
 from lakemoor.sources.files import spread
 
@@ -29,8 +30,35 @@ def elided_by_function(at: Mounted) -> DataFrame:
     """,
 )
 def weighted_prices(at: Mounted) -> DataFrame:
-    found = weighted_means(at.table("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity")
-    return found.withColumn("weighted_mean", F.round("weighted_mean", 4))
+    # A weighted mean needs no function of its own.
+    price, weight = F.col("l_extendedprice"), F.col("l_quantity")
+    both = F.when(price.isNotNull(), weight)
+    found = at.table("lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum(both).alias("weight"), F.round(F.try_divide(F.sum(price * weight), F.sum(both)), 4).alias("weighted_mean")
+    )
+    return found.where("weight IS NOT NULL")
+
+
+@query(
+    "P91",
+    """
+    WITH summed AS (
+        SELECT l_returnflag, l_linestatus, l_discount, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL
+    ), ran AS (
+        SELECT *, sum(weight) OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_discount) AS upto,
+               sum(weight) OVER (PARTITION BY l_returnflag, l_linestatus) AS whole
+        FROM summed
+    )
+    SELECT l_returnflag, l_linestatus, min(l_discount) FILTER (upto >= 0.5 * whole) AS median,
+           min(l_discount) FILTER (upto >= 0.9 * whole) AS p90
+    FROM ran GROUP BY l_returnflag, l_linestatus
+    """,
+)
+def weighted_discounts(at: Mounted) -> DataFrame:
+    # A digest holds these few different values exactly; what it does with many is tested apart.
+    return weighted_quantiles(
+        at.table("lineitem"), ["l_returnflag", "l_linestatus"], "l_discount", "l_quantity", {"median": 0.5, "p90": 0.9}
+    )
 
 
 @query(
@@ -44,7 +72,26 @@ def weighted_prices(at: Mounted) -> DataFrame:
 )
 def words_of_texts(at: Mounted) -> DataFrame:
     documents = spread(at.table("documents").select("lang", "text"))
-    words = documents.lateralJoin(Words(F.col("text").outer()))
+    words = WordTable(documents.asTable())
     return words.groupBy("lang", "word").agg(
-        F.sum("uses").alias("uses"), F.min("first_place").alias("first_place")
+        F.sum("uses").alias("uses"), F.min("first_place").cast("int").alias("first_place")
     )
+
+
+@query(
+    "P92",
+    """
+    WITH marked AS (
+        SELECT user_id, ts::DATE AS day, event_type, event_id, row_number() OVER w AS place,
+               row_number() OVER (PARTITION BY user_id, ts::DATE, event_type ORDER BY ts, event_id) AS own
+        FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)
+    )
+    SELECT user_id, day, event_type AS kind, arg_min(event_id, place) AS first_id, arg_max(event_id, place) AS last_id,
+           count(*) AS events
+    FROM marked GROUP BY user_id, day, event_type, place - own
+    """,
+)
+def streaks_of_users(at: Mounted) -> DataFrame:
+    # A partition is a user's day: a user with very many events is spread over as many tasks as there are days.
+    events = at.table("events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", "ts")
+    return Streaks(events.asTable().partitionBy("user_id", "day").orderBy("ts", "event_id"))
