@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,7 @@ from lakemoor.operators.ordered import (
 from lakemoor.session import pinned
 
 # The most bytes of measured values that are sent to every executor.
+MOST_SLABS = 4096  # cuts of a range that are written into a plan
 PAIRS_PER_ROW = 1000  # pairs a task may compare for each row it may hold
 MOST_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -213,6 +217,83 @@ def count_below(left: DataFrame, right: DataFrame, left_value: str, right_value:
     return ran.where(F.col("_side") == 0).select(F.col("_v").alias(left_value), out)
 
 
+def count_dominated(
+    df: DataFrame, id: str, first: str, second: str, out: str, slabs: int | None = None, most_rows: int = MOST_VALUES
+) -> DataFrame:
+    """For each row of ``df`` the number of rows that are smaller in ``first`` and in ``second``: ``id`` and ``out``.
+
+    A join on two inequalities that is only counted needs no pairs. The range of ``first`` is cut into slabs of
+    about as many rows; a value with a slab's worth of rows is a slab of its own. Slabs are the leaves of a binary tree:
+    a row asks each left sibling of the nodes on its way up how many of its rows are smaller in ``second``, which
+    is a running count along ``second`` in that node. Within a slab tasks count alike by the bits of ranks.
+    So every row stands on some log2(slabs) lines, and nothing meets in pairs. Slabs hold ``most_rows`` rows, or a
+    MOST_SLABS-th of all where that is more. Rows with a null, or a NaN,
+    are smaller than nothing and have nothing below them: their count is 0. ``id`` names a row.
+    """
+    rows = pinned(df.select(F.col(id).alias("_id"), F.col(first).alias("_x"), F.col(second).alias("_y")))
+    known = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    for name in ("_x", "_y"):
+        if isinstance(rows.schema[name].dataType, T.FractionalType):
+            known &= ~F.isnan(F.col(name).cast("double"))
+    points = rows.where(known)
+    if slabs is None:
+        slabs = min(max(1, -(-points.count() // most_rows)), MOST_SLABS)
+    points = _in_slabs(points, slabs)
+    levels = max(1, (2 * slabs).bit_length())
+    nodes = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
+    # A row is a point of every node above its slab, and asks the left sibling wherever it comes from the right.
+    at = points.select("_id", "_y", "_slab", nodes).withColumn("_node", F.expr("shiftright(_slab, _level)"))
+    asks = at.where(F.col("_node") % 2 == 1).select(F.col("_node") - 1, "_level", "_y", "_id").toDF("_node", "_level", "_y", "_id")
+    asked = at.where(F.col("_node") % 2 == 1).select("_level", (F.col("_node") - 1).alias("_node")).distinct()
+    # Broadcast: two nodes a slab at most.
+    told = at.where(F.col("_node") % 2 == 0).join(F.broadcast(asked), ["_level", "_node"], "left_semi")
+    counted = told.groupBy("_level", "_node", "_y").agg(F.count(F.lit(1)).alias("_n")).withColumn("_side", F.lit(1))
+    questions = asks.groupBy("_level", "_node", "_y").agg(F.lit(0).cast("bigint").alias("_n")).withColumn("_side", F.lit(0))
+    line = counted.unionByName(questions)
+    ran = with_running(line, ["_level", "_node"], [F.col("_y"), F.col("_side")], {"_below": F.col("_n")}, most_rows)
+    answers = ran.where(F.col("_side") == 0).select("_level", "_node", "_y", "_below")
+    across = asks.join(answers, ["_level", "_node", "_y"]).select("_id", F.col("_below").alias("_n"))
+    inside = points.where(F.col("_slab") % 2 == 0).groupBy("_slab").applyInArrow(
+        _count_inside, f"_id {rows.schema['_id'].dataType.simpleString()}, _n bigint"
+    )
+    summed = across.unionByName(inside).groupBy("_id").agg(F.sum("_n").alias(out))
+    return rows.select("_id").join(summed, "_id", "left").select(F.col("_id").alias(id), F.coalesce(out, F.lit(0)).alias(out))
+
+
+def _in_slabs(points: DataFrame, slabs: int) -> DataFrame:
+    """``_slab``: twice the number of cuts below ``_x``, and one more where it is a cut that stands for a slab alone."""
+    cuts = points.agg(F.percentile_approx("_x", [at / slabs for at in range(1, slabs)] or [0.5], 100 * slabs)).first()[0] or []
+    cuts = sorted(set(cuts)) if slabs > 1 else []
+    if not cuts:
+        return points.withColumn("_slab", F.lit(0))
+    # Cuts in groups: the coarse ones lead to a few fine ones.
+    step = max(1, int(len(cuts) ** 0.5))
+    kind = points.schema["_x"].dataType
+    coarse = F.array(*[F.lit(one).cast(kind) for one in cuts[::step]])
+    group = F.greatest(F.size(F.filter(coarse, lambda cut: cut < F.col("_x"))) - 1, F.lit(0))
+    fine = F.get(F.array(*[F.array(*[F.lit(one).cast(kind) for one in cuts[at : at + step]]) for at in range(0, len(cuts), step)]), group)
+    below = group * step + F.size(F.filter(fine, lambda cut: cut < F.col("_x")))
+    is_cut = F.array_contains(fine, F.col("_x")) | F.array_contains(coarse, F.col("_x"))
+    return pinned(points.withColumn("_slab", (2 * below + is_cut.cast("int")).cast("int")))
+
+
+def _count_inside(slab: pa.Table) -> pa.Table:
+    """Per row of a slab the rows that are smaller in both, by the bits of the ranks of ``_x``."""
+    x = pc.rank(slab["_x"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    y = pc.rank(slab["_y"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    below = np.zeros(len(x), np.int64)
+    for bit in range(int(x.max()).bit_length() if len(x) else 0):
+        right = (x >> bit) & 1  # those on the right of a node ask, those on the left are counted
+        node = x >> (bit + 1)
+        order = np.lexsort((1 - right, y, node))  # at equal y those that ask come first
+        left = 1 - right[order]
+        upto = np.cumsum(left) - left
+        begins = np.flatnonzero(np.diff(node[order], prepend=-1))
+        base = np.repeat(upto[begins], np.diff(np.append(begins, len(x))))
+        below[order] += np.where(left == 0, upto - base, 0)
+    return pa.table({"_id": slab["_id"], "_n": pa.array(below)})
+
+
 def dense_grid(facts: DataFrame, members: DataFrame, key: str, step: str, steps: Column, measure: str) -> DataFrame:
     """Every member with every step, ``measure`` being 0 where ``facts`` has no row.
 

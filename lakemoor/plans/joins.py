@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakemoor.operators.joins import (
     asof_join,
     count_below,
+    count_dominated,
     dense_grid,
     having_partner,
     interval_join,
@@ -103,6 +104,18 @@ def join_inequality(at: Mounted) -> DataFrame:
     return count_below(at.table("customer"), at.table("supplier"), "c_acctbal", "s_acctbal", "suppliers_below")
 
 
+@query(
+    "P13",
+    """
+    SELECT a.o_orderkey, count(b.o_orderkey) AS earlier_and_cheaper
+    FROM orders a LEFT JOIN orders b ON b.o_orderdate < a.o_orderdate AND b.o_totalprice < a.o_totalprice
+    GROUP BY a.o_orderkey
+    """,
+)
+def join_two_inequalities(at: Mounted) -> DataFrame:
+    return count_dominated(at.table("orders"), "o_orderkey", "o_orderdate", "o_totalprice", "earlier_and_cheaper")
+
+
 @query(
     "P13",
     """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakemoor.plans.registry import QUERIES, SUFFIX, Mounted, query
 from lakemoor.session import scratch_path
-from lakemoor.streaming.events import first_of_copies, running_totals, sessions, windowed
+from lakemoor.streaming.events import first_of_copies, interval_pairs, running_totals, sessions, windowed
 from lakemoor.streaming.stateful import (
     open_sessions,
     run_keyed,
@@ -206,3 +206,22 @@ def stream_late_totals(at: Mounted) -> DataFrame:
     late = told.where("kind = 'late'").groupBy("kind", "user_id", "until_ms")
     late = late.agg(F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"), F.sum("total").alias("total")).drop("until_ms")
     return over.unionByName(still).unionByName(late).withColumn("total", F.round("total", 2))
+
+
+@query(
+    "P81",
+    """
+    SELECT e.event_id AS error_id, p.event_id, p.event_type, p.value, e.user_id
+    FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type <> 'error'
+         AND p.ts BETWEEN e.ts - INTERVAL 10 MINUTE AND e.ts
+    WHERE e.event_type = 'error'
+    """,
+)
+def stream_interval_pairs(at: Mounted) -> DataFrame:
+    errors = _events(at).where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("failed_at"))
+    others = _events(at).where("event_type <> 'error'").select("event_id", "event_type", "value", "user_id", "ts")
+    pairs = interval_pairs(
+        event_time(others, "ts", "10 minutes"), "ts", event_time(errors, "failed_at", "10 minutes"), "failed_at",
+        "user_id", 10 * 60 * 1_000_000,
+    )
+    return run_available(pairs.select("error_id", "event_id", "event_type", "value", "user_id"), "stream_interval_pairs")

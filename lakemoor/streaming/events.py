@@ -52,6 +52,33 @@ def first_of_copies(stream: DataFrame, keys: Sequence[str], shards: int = SHARDS
     return once_each.dropDuplicatesWithinWatermark(list(keys))
 
 
+def interval_pairs(
+    points: DataFrame, point_at: str, spans: DataFrame, span_at: str, on: str, before_us: int
+) -> DataFrame:
+    """Pairs of two streams with equal ``on`` and ``span_at - before_us <= point_at <= span_at``.
+
+    Both have a watermark on their time. They meet by key and by cell of ``before_us``, a span in the two cells that it
+    touches, so that the rows of a hot key are spread over time. Rows that can have no more partner leave the state
+    when both watermarks have passed them. Column names of the two sides must differ, except for ``on``.
+    """
+
+    def cell(at: Column) -> Column:
+        micros = F.unix_micros(at)
+        return F.call_function("div", micros - F.pmod(micros, F.lit(before_us)), F.lit(before_us))
+
+    left = points.withColumn("_cell", cell(F.col(point_at))).withColumnRenamed(on, "_point_key")
+    touched = F.array(cell(F.col(span_at)) - 1, cell(F.col(span_at)))
+    right = spans.withColumn("_span_cell", F.explode(touched))
+    met = left.join(
+        right,
+        (F.col("_point_key") == F.col(on))
+        & (F.col("_cell") == F.col("_span_cell"))
+        & (F.col(point_at) >= F.col(span_at) - F.expr(f"INTERVAL {before_us} MICROSECONDS"))
+        & (F.col(point_at) <= F.col(span_at)),
+    )
+    return met.drop("_point_key", "_cell", "_span_cell")
+
+
 def _reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per key and Arrow batch."""
     for batch in batches:
