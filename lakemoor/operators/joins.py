@@ -22,6 +22,8 @@ from lakemoor.operators.ordered import (
 from lakemoor.session import pinned
 
 # The most bytes of measured values that are sent to every executor.
+MOST_HOT, MOST_TRACKED = 100, 10_000  # hot keys of a side, and keys that their sketch keeps
+SALTS = 64
 MOST_SLABS = 4096  # cuts of a range that are written into a plan
 PAIRS_PER_ROW = 1000  # pairs a task may compare for each row it may hold
 MOST_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -67,23 +69,66 @@ def sized_join(
     return left.join(right, list(on), how)
 
 
-def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+def outer_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, most_rows: int = MOST_GROUP_ROWS
+) -> DataFrame:
     """``left``, ``right`` or ``full`` outer join on columns of the same names.
 
     AQE can split a hot key on the preserved side of a left or right join, so these are plain joins.
-    It can split no side of a full one, which is therefore written as an inner join plus the rows
-    without a partner; the anti joins look only at distinct keys. Both inputs are read more than
-    once there: pin what does not give the same rows each time.
+    It can split no side of a full one. There keys with more than ``most_rows`` rows on a side are found by a sketch of
+    the keys alone; the larger side deals their rows to salts and the other side repeats its rows for each salt, so that
+    one shuffled full join of both sides, each read once, has no hot key. Rows with a null key are dealt, too.
+    The deal goes by where a row was read: pin inputs that do not give the same rows in the same order each time.
     """
     if how not in ("left", "right", "full"):
         raise ValueError(f"how must be left, right or full, not {how!r}")
     keys = list(on)
     if how != "full":
         return left.join(right, keys, how)
-    parts = [left.join(right, keys, "inner")]
-    parts.append(left.join(right.select(*keys).distinct(), keys, "left_anti"))
-    parts.append(right.join(left.select(*keys).distinct(), keys, "left_anti"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    item = _key_item(left, keys)
+    left_hot, right_hot = _hot_keys(left, item, most_rows), _hot_keys(right, item, most_rows)
+    by_left = [key for key, n in left_hot.items() if n >= right_hot.get(key, 0)]
+    by_right = [key for key in right_hot if key not in set(by_left)]
+    left = _salted(left, keys, item, by_left, by_right).withColumn("_from_left", F.lit(True))
+    right = _salted(right, keys, item, by_right, by_left).withColumn("_from_right", F.lit(True))
+    joined = left.withColumnRenamed("_repeated", "_left_repeated").join(
+        right.withColumnRenamed("_repeated", "_right_repeated"), [*keys, "_salt"], "full"
+    )
+    # A repeated row without a partner in one salt has partners in others: its key is hot on the other side.
+    alone = (F.col("_from_left").isNull() & F.col("_right_repeated")) | (F.col("_from_right").isNull() & F.col("_left_repeated"))
+    found = joined.where(~F.coalesce(alone, F.lit(False)))
+    return found.drop("_salt", "_from_left", "_from_right", "_left_repeated", "_right_repeated")
+
+
+def _key_item(df: DataFrame, keys: Sequence[str]) -> Column:
+    """One value that stands for a row's keys; null where one of them is null."""
+    if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, (T.IntegralType, T.StringType, T.DateType)):
+        return F.col(keys[0])
+    known = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+    return F.when(known, F.to_json(F.struct(*keys)))
+
+
+def _hot_keys(df: DataFrame, item: Column, most_rows: int) -> dict:
+    """Keys with more than ``most_rows`` rows, and about how many; MOST_HOT of them at most.
+
+    Found from the sketch of one pass. Beyond a share of one in MOST_TRACKED of the rows no key is missed.
+    """
+    top = F.call_function("approx_top_k", F.col("_item"), F.lit(MOST_HOT), F.lit(MOST_TRACKED))
+    found = df.select(item.alias("_item")).where("_item IS NOT NULL").agg(top.alias("top")).first()["top"] or []
+    return {one["item"]: one["count"] for one in found if one["count"] > most_rows}
+
+
+def _salted(df: DataFrame, keys: Sequence[str], item: Column, dealt: Sequence, repeated: Sequence) -> DataFrame:
+    """``_salt``: rows of ``dealt`` keys (and null ones) in turn, those of ``repeated`` keys once for each salt."""
+    in_turn = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    no_key = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
+    salt = F.when(no_key | item.isin(list(dealt)), in_turn).otherwise(0) if dealt else F.when(no_key, in_turn).otherwise(0)
+    if not repeated:
+        return df.withColumn("_salt", salt).withColumn("_repeated", F.lit(False))
+    again = F.coalesce(item.isin(list(repeated)), F.lit(False))
+    marked = df.withColumn("_salt", salt).withColumn("_repeated", again)
+    every = F.when(F.col("_repeated"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array("_salt"))
+    return marked.withColumn("_salt", F.explode(every))
 
 
 def having_partner(left: DataFrame, right: DataFrame, left_key: str, right_key: str, found: bool = True) -> DataFrame:
@@ -118,7 +163,8 @@ def interval_join(
     level = F.when(cells > 1, F.length(F.bin(cells - 1))).otherwise(0).cast("int")
     touched = F.array_distinct(F.array(F.expr("shiftright(_first, _level)"), F.expr("shiftright(_last, _level)")))
     i = ordered.withColumn("_level", level).withColumn("_cell", F.explode(touched)).drop("_first", "_last")
-    levels = sorted(row["_level"] for row in i.select("_level").distinct().collect())  # 64 numbers at most
+    bits = ordered.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), level))).first()[0] or 0
+    levels = [at for at in range(64) if bits >> at & 1]
     p = points.withColumn("_base", _base_cell(at, width))
     p = p.withColumn("_level", F.explode(F.lit(levels).cast("array<int>")))
     p = p.withColumn("_cell", F.expr("shiftright(_base, _level)")).drop("_base")
@@ -141,15 +187,16 @@ def _base_cell(at: str, width: int) -> Column:
 
 def _blocks(p: DataFrame, i: DataFrame, where: Sequence[str], most_rows: int) -> DataFrame | None:
     """How many blocks each side of a cell needs, of cells that need several; ``None`` if no cell does."""
-    p_sizes = p.groupBy(*where).agg(F.count(F.lit(1)).alias("_p"))
-    i_sizes = i.groupBy(*where).agg(F.count(F.lit(1)).alias("_i"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = p.select(*where, one.alias("_p"), none.alias("_i")).unionByName(i.select(*where, none.alias("_p"), one.alias("_i")))
+    sizes = both.groupBy(*where).agg(F.sum("_p").alias("_p"), F.sum("_i").alias("_i")).where("_p > 0 AND _i > 0")
     pairs = F.col("_p").cast("double") * F.col("_i")
     each = F.ceil(F.sqrt(pairs / (float(most_rows) * PAIRS_PER_ROW)))
 
     def needed(size: str) -> Column:
         return F.greatest(F.ceil(F.col(size) / most_rows), F.least(each, F.col(size))).cast("int")
 
-    large = p_sizes.join(i_sizes, list(where)).select(
+    large = sizes.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in where])).select(
         *where, needed("_p").alias("_p_blocks"), needed("_i").alias("_i_blocks")
     )
     large = large.where("_p_blocks > 1 OR _i_blocks > 1")

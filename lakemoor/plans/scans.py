@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemoor.operators.clustering import write_clustered
 from lakemoor.plans.registry import Mounted, query, same_sql
 from lakemoor.session import scratch_path
 from lakemoor.sources.files import read_path, write_path
@@ -89,3 +90,19 @@ def partitioned_read(at: Mounted) -> DataFrame:
     kept = at.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     path = write_path(kept, scratch_path(at.spark, "orders"), partition_by=["o_orderstatus"])
     return read_path(at.spark, path).where(F.col("o_orderstatus") == "F")
+
+
+@query(
+    "P7",
+    """
+    SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem
+    WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31' AND l_extendedprice BETWEEN 20000 AND 30000
+    """,
+)
+def clustered_read(at: Mounted) -> DataFrame:
+    # Files are ranges of a curve through both columns: either condition, and both, leave most of them out.
+    lines = at.table("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    path = write_clustered(lines, scratch_path(at.spark, "clustered"), ["l_shipdate", "l_extendedprice"], 16)
+    return read_path(at.spark, path).where(
+        "l_shipdate BETWEEN TIMESTAMP_NTZ '1996-01-01' AND TIMESTAMP_NTZ '1996-03-31' AND l_extendedprice BETWEEN 20000 AND 30000"
+    )

@@ -116,3 +116,23 @@ def over_views(at: Mounted) -> DataFrame:
     located.createOrReplaceTempView("lakemoor_located_customers")
     counted = at.spark.table("lakemoor_located_customers").groupBy("r_name", "c_mktsegment")
     return counted.agg(F.count(F.lit(1)).alias("customers"))
+
+
+_NEAR_NATIONS = """
+    WITH RECURSIVE {linked} AS (
+        SELECT DISTINCT s.s_nationkey AS a, c.c_nationkey AS b
+        FROM {db}lineitem JOIN {db}supplier s ON l_suppkey = s.s_suppkey
+        JOIN {db}orders ON l_orderkey = o_orderkey JOIN {db}customer c ON o_custkey = c.c_custkey
+        WHERE l_quantity >= 50 AND l_extendedprice > 90000
+    ), reached(nation, steps) AS (
+        SELECT n_nationkey, 0 FROM {db}nation WHERE n_regionkey = 0
+        UNION {all} SELECT b, steps + 1 FROM reached JOIN {linked} ON nation = a WHERE steps < 3
+    )
+    SELECT nation, CAST(min(steps) AS INTEGER) AS steps FROM reached GROUP BY nation
+"""
+
+
+@query("P50", _NEAR_NATIONS.format(linked="linked", db="", all=""))
+def reachable_nations(at: Mounted) -> DataFrame:
+    # Steps along large sales, three at most. The recursive part names tables that are mounted as the rest are.
+    return at.sql(_NEAR_NATIONS.format(linked="linked", db="{db}.", all="ALL"))
