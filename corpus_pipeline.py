@@ -7,11 +7,14 @@ but the last return the columns of ``documents``:
 2. ngram_jaccard_join: of each group of linked documents the one with the least doc_id stays.
 3. secret_scans: every document stays, what was found in it is masked in its text.
 4. packing: the pieces of token sequences.
+
+Defined results: a null text counts as an empty one; rows without a doc_id, and repeated ones, are rows of their own in each
+stage; rows without words are copies of nothing; an empty table passes through as one; other columns stay as they are in
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemoor.llm.common import prepare, table
@@ -21,6 +24,8 @@ from lakemoor.llm.secret_scan import redact
 from lakemoor.llm.similar import keep_one_of_each
 from lakemoor.session import pinned, scratch_path
 
+import public_tokenizers  # isort: skip  (behind what the entry point may find missing)
+
 ORACLE_SQL = None  # trained models and tokenizers are beyond SQL; the tests check against plain Python
 
 
