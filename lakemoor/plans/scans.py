@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakemoor.operators.clustering import write_clustered
 from lakemoor.plans.registry import Mounted, query, same_sql
 from lakemoor.session import scratch_path
-from lakemoor.sources.files import read_path, write_path
+from lakemoor.sources.files import read_path, read_with_damage, write_path
 
 same_sql("scan_all", "P1", "SELECT * FROM {db}.lineitem")
 
@@ -106,3 +106,36 @@ def clustered_read(at: Mounted) -> DataFrame:
     return read_path(at.spark, path).where(
         "l_shipdate BETWEEN TIMESTAMP_NTZ '1996-01-01' AND TIMESTAMP_NTZ '1996-03-31' AND l_extendedprice BETWEEN 20000 AND 30000"
     )
+
+
+@query(
+    "P6",
+    """
+    SELECT 'json' AS format, CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
+           CASE WHEN event_type <> 'error' THEN user_id END AS user_id,
+           CASE WHEN event_type = 'error' THEN '{"event_id": ' || event_id || ', "user_id": ' END AS damaged
+    FROM events
+    UNION ALL
+    SELECT 'csv', CASE WHEN event_type <> 'error' THEN event_id END, CASE WHEN event_type <> 'error' THEN user_id END,
+           CASE WHEN event_type = 'error' THEN event_id || ',no number' END
+    FROM events
+    """,
+)
+def damaged_rows(at: Mounted) -> DataFrame:
+    # Errors are written as rows that break off, or hold no number: they come back as text.
+    events, out = at.table("events"), []
+    broken = {
+        "json": F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "user_id": ')),
+        "csv": F.concat("event_id", F.lit(",no number")),
+    }
+    whole = {
+        "json": F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "user_id": '), "user_id", F.lit("}")),
+        "csv": F.concat_ws(",", "event_id", "user_id"),
+    }
+    for fmt in ("json", "csv"):
+        line = F.when(F.col("event_type") == "error", broken[fmt]).otherwise(whole[fmt])
+        path = scratch_path(at.spark, f"damaged_{fmt}")
+        events.select(line.alias("value")).write.text(path)
+        found = read_with_damage(at.spark, path, fmt, "event_id bigint, user_id bigint")
+        out.append(found.select(F.lit(fmt).alias("format"), "event_id", "user_id", F.col("_damaged").alias("damaged")))
+    return out[0].unionByName(out[1])

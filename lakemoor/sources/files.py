@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakemoor.sources.names import quote, quote_text
 
@@ -21,6 +23,28 @@ def read_path(
     return reader.load(path)
 
 
+DAMAGED = "_damaged"
+
+
+def read_with_damage(
+    spark: SparkSession, path: str, fmt: str, schema: T.StructType | str, **options
+) -> DataFrame:
+    """The JSON or CSV table at ``path``, damaged rows included.
+
+    ``_damaged`` holds the text of a row that does not fit ``schema``, whose other columns are null then, and is null
+    for a good row; ``_file`` is the file that a row stands in. Nothing is dropped and nothing fails.
+    Spark asks that a query reads another column of the schema beside ``_damaged``.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    whole = T.StructType([*schema.fields, T.StructField(DAMAGED, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED, **options}
+    read = spark.read.format(fmt).options(**options).schema(whole).load(path)
+    good = F.col(DAMAGED).isNull()
+    columns = [F.when(good, F.col(quote(name))).alias(name) for name in schema.names]
+    return read.select(*columns, DAMAGED, F.col("_metadata.file_path").alias("_file"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan of few splits over all cores, for costly work per row.
 
