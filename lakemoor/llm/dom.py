@@ -45,7 +45,11 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert alertdialog dialog popup modal overlay paywall "
     "newsletter subscribe subscription signup signin login register "
     "share sharing social follow related recommended recommendations trending popular "
-    "comment comments commentlist respond reply replies disqus discussion form search searchbox".split()
+    "comment comments commentlist respond reply replies disqus discussion search searchbox".split()
+)
+# What they can mean for an element that says itself that it is an article.
+_NOT_THE_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement sponsored promo comment comments respond reply replies related recommended".split()
 )
 _MARKED_TAGS = frozenset("nav footer aside form dialog menu fieldset header search".split())
 _OF_THE_ARTICLE = frozenset("article post entry story content heading".split())
@@ -112,7 +116,7 @@ def marked(tag: str, tokens: frozenset[str]) -> bool:
     """Whether an element's name, class, id or role says that it is not part of the article."""
     if tag in _MARKED_TAGS or HIDDEN in tokens:
         return True
-    found = tokens & MARKS
+    found = tokens & (_NOT_THE_ARTICLE if tag in ("article", "main") else MARKS)
     if "sidebar" in found and tokens & _LAYOUT:  # a layout with or without one
         found -= {"sidebar"}
     return bool(found) or ("header" in tokens and not tokens & _OF_THE_ARTICLE)

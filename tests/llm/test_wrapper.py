@@ -98,6 +98,17 @@ def test_single_pages(spark, made):
         assert got.text == row[3]
 
 
+def test_names_that_mislead(spark):
+    rows = [
+        (1, "http://one.example.com/", "<div class='has-sidebar'><article class='long-form popular'><p>The article.</p></article></div>", "The article."),
+        (2, "http://two.example.com/", "<article class=story><header><h1>Title</h1></header><p>Text.</p><div class='story-comments'>no</div></article>", "Title\nText."),
+        (3, "http://three.example.com/", "<main class='main-content notices'><h1>T</h1><p>x</p></main><div id=cookieBanner>no</div>", "T\nx"),
+        (4, "http://four.example.com/", "<div class=page><header>Site</header><div id=content><h1>T</h1><p>one<p>two</div><div class=rightSidebar><p>no no no</div></div>", "T\none\ntwo"),
+    ]
+    got = {r.page_id: r.text for r in wrapper.main_texts(pages_frame(spark, rows)).collect()}
+    assert got == {row[0]: row[3] for row in rows}
+
+
 def test_copies_and_shared_passages(spark):
     rnd, rows = random.Random(4), []
     blocks, body = article(rnd)
