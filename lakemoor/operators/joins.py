@@ -86,7 +86,7 @@ def outer_join(
     if how != "full":
         return left.join(right, keys, how)
     item = _key_item(left, keys)
-    left_hot, right_hot = _hot_keys(left, item, most_rows), _hot_keys(right, item, most_rows)
+    left_hot, right_hot = _hot_keys(left, right, item, most_rows)
     by_left = [key for key, n in left_hot.items() if n >= right_hot.get(key, 0)]
     by_right = [key for key in right_hot if key not in set(by_left)]
     left = _salted(left, keys, item, by_left, by_right).withColumn("_from_left", F.lit(True))
@@ -108,14 +108,18 @@ def _key_item(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.when(known, F.to_json(F.struct(*keys)))
 
 
-def _hot_keys(df: DataFrame, item: Column, most_rows: int) -> dict:
-    """Keys with more than ``most_rows`` rows, and about how many; MOST_HOT of them at most.
+def _hot_keys(left: DataFrame, right: DataFrame, item: Column, most_rows: int) -> list[dict]:
+    """For each side the keys with more than ``most_rows`` rows, and about how many; MOST_HOT of them at most.
 
-    Found from the sketch of one pass. Beyond a share of one in MOST_TRACKED of the rows no key is missed.
+    Found from the sketches of one pass over the keys. Beyond a share of one in MOST_TRACKED of the rows no key is missed.
     """
+    sides = [side.select(item.alias("_item"), F.lit(at).alias("_side")) for at, side in enumerate((left, right))]
     top = F.call_function("approx_top_k", F.col("_item"), F.lit(MOST_HOT), F.lit(MOST_TRACKED))
-    found = df.select(item.alias("_item")).where("_item IS NOT NULL").agg(top.alias("top")).first()["top"] or []
-    return {one["item"]: one["count"] for one in found if one["count"] > most_rows}
+    found = sides[0].union(sides[1]).where("_item IS NOT NULL").groupBy("_side").agg(top.alias("top"))
+    hot: list[dict] = [{}, {}]
+    for row in found.collect():
+        hot[row["_side"]] = {one["item"]: one["count"] for one in row["top"] if one["count"] > most_rows}
+    return hot
 
 
 def _salted(df: DataFrame, keys: Sequence[str], item: Column, dealt: Sequence, repeated: Sequence) -> DataFrame:
