@@ -21,7 +21,9 @@ an error, as it is in the SQL; one too small for it is an error where it is amon
 Vectors that are null, empty or hold a null or a non-finite number take no part; vectors of unequal
 length are compared as if zeros stood behind the shorter one; rows that share a vec_id are one
 vector, the least; an empty table gives no rows; ties go to the smaller vec_id; other columns are
-not read.
+not read. With ``every_row``, as the registered query has it, each row is a vector of its own: rows
+that share a vec_id are candidates for each other, and each of them asks where its vec_id does;
+rows without a vec_id are candidates, behind all others in ties; an empty vector counts as zeros.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemoor.llm.common import each_batch, query, table
-from lakemoor.llm.vectors import best_rows, clean, matrix, meet, packed, query_blocks, ranked, search, width_of
+from lakemoor.llm.vectors import best_rows, clean, matrix, meet, packed, query_blocks, ranked, width_of
 from lakemoor.session import pinned
 
 SHARD = 4096  # vectors in a tree
@@ -168,7 +170,7 @@ class ExactRows:
                 found += [(-score, one) for one in self.ids[at] if one != query_id]
             found = sorted(found)[: self.k]
             if found and -found[0][0] >= BIGINT:
-                raise OverflowError(f"the product of vectors {query_id} and {found[0][1]} is too large for a bigint")
+                raise OverflowError("a product among the best is too large for a bigint")
             scores = np.array([None if score > BIGINT else -score for score, _ in found], object)
             yield np.array([one for _, one in found], np.int64), scores
 
@@ -211,9 +213,9 @@ def forest(vectors: DataFrame, scale: float, width: int) -> DataFrame:
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = _scaled(matrix(pa.chunked_array([batch.column("vector")]), width), scale)
         nearest = (squares - 2 * rows @ pivots.T).argmin(axis=1).astype(np.int32)
-        return pa.record_batch([*batch.columns, pa.array(nearest)], names=["vec_id", "vector", "pivot"])
+        return pa.record_batch([*batch.columns, pa.array(nearest)], names=["row", "vec_id", "vector", "pivot"])
 
-    dealt = pinned(vectors.mapInArrow(each_batch(deal), "vec_id long, vector array<double>, pivot int"))
+    dealt = pinned(vectors.mapInArrow(each_batch(deal), "row long, vec_id long, vector array<double>, pivot int"))
     counts = {row.pivot: row["count"] for row in dealt.groupBy("pivot").count().collect()}  # PIVOTS rows at most
     parts, first = {}, 0
     for pivot in sorted(counts):
@@ -221,36 +223,38 @@ def forest(vectors: DataFrame, scale: float, width: int) -> DataFrame:
         first += parts[pivot][1]
     firsts = F.lit([parts.get(p, (0, 1))[0] for p in range(len(pivots))]).cast("array<int>")
     numbers = F.lit([parts.get(p, (0, 1))[1] for p in range(len(pivots))]).cast("array<int>")
-    shard = F.get(firsts, F.col("pivot")) + F.pmod(F.xxhash64("vec_id"), F.get(numbers, F.col("pivot")))
+    shard = F.get(firsts, F.col("pivot")) + F.pmod(F.xxhash64("row"), F.get(numbers, F.col("pivot")))
     if not counts:
         return vectors.sparkSession.createDataFrame([], "shard int, index binary")
-    return packed(dealt, [shard], lambda ids, rows: MetricTree(ids, _scaled(rows, scale)), width).toDF("shard", "index")
+    return packed(dealt, shard, lambda ids, rows: MetricTree(ids, _scaled(rows, scale)), width).toDF("shard", "index")
 
 
-def largest_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale: float = SCALE) -> DataFrame:
+def largest_products(
+    embeddings: DataFrame, every: int = 50, k: int = 5, scale: float = SCALE, every_row: bool = False
+) -> DataFrame:
     """The ``k`` largest inner products of ``floor(scale * x)`` for each query, against all other rows.
 
     Queries are the rows whose vec_id is divisible by ``every``. ``query_id``, ``rank``, ``vec_id``, ``score``.
     """
-    vectors = pinned(clean(embeddings).withColumn("small", small(F.col("vector"), scale)))
+    vectors = pinned(clean(embeddings, every_row).withColumn("small", small(F.col("vector"), scale)))
     width = width_of(vectors)
-    trees, large = (vectors.filter(one).select("vec_id", "vector") for one in ("small", "NOT small"))
+    trees, large = (vectors.filter(one).select("row", "vec_id", "vector") for one in ("small", "NOT small"))
 
-    def look(tree: MetricTree, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for query_id, row in zip(ids.tolist(), _scaled(rows, scale)):
-            yield tree.nearest(row, k, query_id)
+    def look(tree: MetricTree, places: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for own, row in zip(places.tolist(), _scaled(rows, scale)):
+            yield tree.nearest(row, k, own)
 
-    found = search(forest(trees, scale, width), query_blocks(trees, every, width), look, k, "long")
+    met = meet(forest(trees, scale, width), query_blocks(trees, every, width), look, "long")
     if large.isEmpty():
-        return found
+        return ranked(met, k, "long")
 
     def exact(some: DataFrame, asked: DataFrame) -> DataFrame:
-        shard = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-some.count() // SHARD))))
-        shards = packed(some, [shard], lambda ids, rows: ExactRows(ids, rows, k, scale), width)
+        shard = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-some.count() // SHARD))))
+        shards = packed(some, shard, lambda ids, rows: ExactRows(ids, rows, k, scale), width)
         blocks = query_blocks(asked, every, width)
         return meet(shards.toDF("shard", "index"), blocks, lambda index, ids, rows: index.best(ids, rows), "long")
 
-    all_pairs = found.drop("rank").unionByName(exact(large, vectors)).unionByName(exact(trees, large))
+    all_pairs = met.unionByName(exact(large, vectors)).unionByName(exact(trees, large))
     best = ranked(all_pairs, k, "long")
     told = F.raise_error(F.lit("a product among the best is too small for a bigint")).cast("long")
     return best.withColumn("score", F.when(F.col("score").isNull(), told).otherwise(F.col("score")))
@@ -279,4 +283,4 @@ def small(vector: Column, scale: float) -> Column:
     """
 )
 def op3_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return largest_products(table(spark, sf_dir, "embeddings"))
+    return largest_products(table(spark, sf_dir, "embeddings"), every_row=True)

@@ -4,9 +4,9 @@ A bounded set of pivots, the same everywhere, orders the space: a vector is know
 its nearest pivots, and is posted under each of these with its place there. A query orders the
 pivots alike, reads the postings of its own nearest ones, and ranks vectors by the footrule
 distance of the two orders (the sum of the differences of places, a missing pivot counting as one
-behind the last). The best share of each shard is then ranked by its exact cosine. The
-share is a share, so the work per query and the recall are alike at every size. Every row is
-posted; pivots alone come from a sample of ``SAMPLED`` rows, each as far as possible from those
+behind the last). The best share of each shard is then ranked by its exact cosine: a share at every
+size, and at least ``LEAST_RANKED`` vectors, which is more than the share in a shard of less than
+2,500 different ones. Every row is posted; pivots alone come from a sample of ``SAMPLED`` rows, each as far as possible from those
 chosen before, so that a crowd of similar vectors gets few of them.
 
 Recall of the five nearest against brute force, measured: README. Vectors that are null, empty,
@@ -106,30 +106,35 @@ def cosines(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def nearest_by_cosine(
-    embeddings: DataFrame, every: int = 50, k: int = 5, share: float = SHARE, places: int = PLACES
+    embeddings: DataFrame,
+    every: int = 50,
+    k: int = 5,
+    share: float = SHARE,
+    places: int = PLACES,
+    every_row: bool = False,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest found for each query.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all other rows.
     """
-    vectors = clean(embeddings)
+    vectors = clean(embeddings, every_row)
     vectors = pinned(vectors.filter(F.exists("vector", lambda x: x != 0)))
     width = width_of(vectors)
     n = vectors.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pivots = spread_pivots(_unit(pivots_of(vectors, SAMPLED, width)), PIVOTS)
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // SHARD)))
-    shards = packed(vectors, [shard], lambda ids, rows: Postings(ids, rows, pivots, places), width)
+    shard = F.pmod(F.xxhash64("row"), F.lit(-(-n // SHARD)))
+    shards = packed(vectors, shard, lambda ids, rows: Postings(ids, rows, pivots, places), width)
 
-    def look(index: Postings, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def look(index: Postings, own: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         wanted = max(LEAST_RANKED, int(share * len(index.rows))) + 1  # the query may be one of them
-        for query_id, row, order in zip(ids, rows, nearest_pivots(_unit(rows), index.pivots, index.places)):
-            yield index.best(row, index.near(order, wanted), k, query_id)
+        for place, row, order in zip(own, rows, nearest_pivots(_unit(rows), index.pivots, index.places)):
+            yield index.best(row, index.near(order, wanted), k, place)
 
     return search(shards.toDF("shard", "index"), query_blocks(vectors, every, width), look, k)
 
 
 @query()
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_by_cosine(table(spark, sf_dir, "embeddings"))
+    return nearest_by_cosine(table(spark, sf_dir, "embeddings"), every_row=True)

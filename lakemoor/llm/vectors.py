@@ -20,19 +20,43 @@ from lakemoor.session import pinned
 BLOCK = 256  # queries
 BLOCKS_TOGETHER = 32  # that one shard meets in one call
 
-CLEAN = "vec_id long, vector array<double>"
 
+def clean(embeddings: DataFrame, every_row: bool = False) -> DataFrame:
+    """``row`` (a number of its own), ``vec_id`` and ``vector`` (doubles) of the vectors that take part.
 
-def clean(embeddings: DataFrame) -> DataFrame:
-    """``vec_id`` and ``vector`` (doubles), one row per vec_id, without the vectors that take no part.
+    With ``every_row`` those are all rows, also ones that share a vec_id or have none, but for vectors
+    that are null or hold a null, a NaN or an infinity. Without it, empty vectors and rows without a
+    vec_id take no part either, and of rows that share a vec_id the least vector stays.
 
-    Those are null, empty, or hold a null, a NaN or an infinity. Of rows that share a vec_id the
-    least vector stays; rows without a vec_id take no part.
+    The numbers hold for what is written: pin the result before it is read twice.
     """
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
-    rows = embeddings.filter(F.col("vec_id").isNotNull() & finite & (F.size("embedding") > 0))
-    return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(vector).alias("vector"))
+    rows = embeddings.filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
+    if not every_row:
+        rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("vector") > 0))
+        rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector")
+
+
+class Named:
+    """The rows of a group in the order of their vec_ids (none comes last), and what is built over them.
+
+    ``rows`` and ``ids`` name them by their place; ``known`` says which have a vec_id.
+    """
+
+    def __init__(self, group: pa.Table, width: int, build: Callable[[np.ndarray, np.ndarray], object]) -> None:
+        rows, ids = group.column("row").to_numpy(), group.column("vec_id")
+        known, ids = ids.is_valid().to_numpy(), ids.fill_null(0).to_numpy()
+        order = np.lexsort((rows, ids, ~known))
+        self.rows, self.ids, self.known = rows[order], ids[order], known[order]
+        self.made = build(np.arange(len(order)), matrix(group.column("vector"), width)[order])
+
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """The place of each of ``rows`` here, -1 for one that is elsewhere."""
+        order = np.argsort(self.rows)
+        at = order[np.searchsorted(self.rows, rows, sorter=order).clip(max=len(order) - 1)]
+        return np.where(self.rows[at] == rows, at, -1)
 
 
 def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -48,81 +72,82 @@ def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def width_of(vectors: DataFrame) -> int:
-    return vectors.agg(F.coalesce(F.max(F.size("vector")), F.lit(1))).first()[0]
+    return max(1, vectors.agg(F.coalesce(F.max(F.size("vector")), F.lit(1))).first()[0])
 
 
-def packed(rows: DataFrame, keys: list[Column], build: Callable[[np.ndarray, np.ndarray], object], width: int) -> DataFrame:
-    """One row per group of ``rows`` (``vec_id``, ``vector``): the keys, and ``build(ids, matrix)`` pickled."""
-    names = [f"key{at}" for at in range(len(keys))]
+def packed(rows: DataFrame, key: Column, build: Callable[[np.ndarray, np.ndarray], object], width: int) -> DataFrame:
+    """One row per group of ``rows`` (see :func:`clean`): ``key``, and ``build(places, matrix)`` named and pickled."""
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("vec_id").to_numpy(), kind="stable")
-        ids = group.column("vec_id").to_numpy()[order]
-        made = pickle.dumps(build(ids, matrix(group.column("vector"), width)[order]), protocol=5)
-        return pa.table({**{n: pa.array([k.as_py()], pa.int32()) for n, k in zip(names, key)}, "packed": pa.array([made], pa.binary())})
+    def run(own: tuple, group: pa.Table) -> pa.Table:
+        made = pickle.dumps(Named(group, width, build), protocol=5)
+        return pa.table({"key": pa.array([own[0].as_py()], pa.int32()), "packed": pa.array([made], pa.binary())})
 
-    named = rows.select(*[key.cast("int").alias(name) for key, name in zip(keys, names)], "vec_id", "vector")
-    schema = ", ".join(f"{name} int" for name in names)
-    return named.groupBy(*names).applyInArrow(run, f"{schema}, packed binary")
+    named = rows.select(key.cast("int").alias("key"), "row", "vec_id", "vector")
+    return named.groupBy("key").applyInArrow(run, "key int, packed binary")
 
 
 def query_blocks(vectors: DataFrame, every: int, width: int) -> DataFrame:
     """The queries (vec_id divisible by ``every``) in blocks: ``block`` and ``queries``."""
     asked = vectors.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    return packed(asked, [block], lambda ids, rows: (ids, rows), width).toDF("block", "queries")
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks))
+    return packed(asked, block, lambda places, rows: rows, width).toDF("block", "queries")
 
 
 def search(shards: DataFrame, blocks: DataFrame, look: Callable, k: int, score: str = "double") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score``: the best ``k`` of all shards for each query.
 
-    ``shards``: ``shard`` and ``index`` (pickled); ``look(index, ids, rows)`` yields for each query of
-    a block the vec_ids and scores of its best ``k`` in that shard, never the query itself.
+    ``shards``: ``shard`` and ``index`` (:func:`packed`); ``look(index, places, rows)`` yields for each
+    query of a block the places and scores of its best ``k`` in that shard. ``places`` says where in
+    the shard the query itself is (-1: elsewhere), which is never among them.
     """
     return ranked(meet(shards, blocks, look), k, score)
 
 
 def meet(shards: DataFrame, blocks: DataFrame, look: Callable, score: str = "double") -> DataFrame:
-    """``query_id``, ``vec_id`` and ``score`` of all that ``look`` finds (see :func:`search`)."""
+    """``query_row``, ``query_id``, ``vec_id`` and ``score`` of all that ``look`` finds (see :func:`search`)."""
     shards, blocks = pinned(shards), pinned(blocks)
     together = max(1, -(-blocks.count() // BLOCKS_TOGETHER))
-    numbers = [row.shard for row in shards.select("shard").collect()]  # a number for each shard, not its rows
+    last = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]  # shards count from 0
     spread = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(together - 1))))
     asked = blocks.select(
         "block",
         "queries",
         F.pmod("block", F.lit(together)).alias("part"),
-        F.explode(F.lit(numbers).cast("array<int>")).alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"),
     )
     kind = pa.int64() if score == "long" else pa.float64()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids, ids, scores = [], [], []
+        none = np.empty(0, np.int64)
+        query_rows, query_ids, ids, unknown, scores = [none], [none], [none], [np.empty(0, bool)], [np.empty(0)]
         for index in left.column("index"):
-            index = pickle.loads(index.as_py())
+            shard: Named = pickle.loads(index.as_py())
             for block in right.column("queries"):
-                own, rows = pickle.loads(block.as_py())
-                for query_id, (found, values) in zip(own, look(index, own, rows)):
+                asked: Named = pickle.loads(block.as_py())
+                looked = look(shard.made, shard.places(asked.rows), asked.made)
+                for row, query_id, (found, values) in zip(asked.rows, asked.ids, looked):
+                    query_rows.append(np.full(len(found), row, np.int64))
                     query_ids.append(np.full(len(found), query_id, np.int64))
-                    ids.append(found)
+                    ids.append(shard.ids[found])
+                    unknown.append(~shard.known[found])
                     scores.append(values)
-        none = [np.empty(0)]
         return pa.table(
             {
-                "query_id": np.concatenate(query_ids or none).astype(np.int64),
-                "vec_id": np.concatenate(ids or none).astype(np.int64),
-                "score": pa.array(np.concatenate(scores or none), kind),
+                "query_row": np.concatenate(query_rows),
+                "query_id": np.concatenate(query_ids),
+                "vec_id": pa.array(np.concatenate(ids), pa.int64(), mask=np.concatenate(unknown)),
+                "score": pa.array(np.concatenate(scores), kind),
             }
         )
 
     met = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part"))
-    return met.applyInArrow(run, f"query_id long, vec_id long, score {score}")
+    return met.applyInArrow(run, f"query_row long, query_id long, vec_id long, score {score}")
 
 
 def ranked(met: DataFrame, k: int, score: str) -> DataFrame:
-    """The ``k`` best of ``met`` for each query; a null score comes last, ties go to the smaller vec_id."""
-    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    """The ``k`` best of ``met`` for each query row; a null score comes last, ties go to the smaller vec_id."""
+    best = Window.partitionBy("query_row").orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("vec_id"))
     found = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", F.col("score").cast(score).alias("score"))
 

@@ -197,3 +197,47 @@ def test_odd_vectors(spark, rows):
         assert search(table(spark, rows).limit(0)).collect() == []
         few = search(table(spark, [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 1.0], 0)])).collect()
         assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1, 2), (0, 2, 1)]
+
+
+def every_row_plain(rows, score):
+    """Per query row its five best rows as (score, vec_id), ties to the smaller vec_id, no vec_id last."""
+    out = []
+    for at, (q, a) in enumerate(rows):
+        if q is None or q % 50:
+            continue
+        found = [(-score(a, b), i is None, i or 0) for other, (i, b) in enumerate(rows) if other != at]
+        out += [(q, rank + 1, None if gone else i, -s) for rank, (s, gone, i) in enumerate(sorted(found)[:5])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_every_row_is_a_candidate(spark, monkeypatch, large):
+    """Different vectors under one vec_id, among them a query's, rows without one, empty vectors."""
+    monkeypatch.setattr(metric_tree, "SHARD", 30)
+    rng = np.random.default_rng(21)
+    rows = [(int(i), np.float32(rng.normal(size=4)).astype(float)) for i in rng.integers(0, 120, 200)]
+    rows += [(0, np.array([30.0, 0, 0, 0])), (0, np.array([40.0, 0, 0, 0])), (50, np.zeros(4)), (3, np.zeros(4))]
+    rows += [(None, np.array([20.0, 20, 20, 20])), (None, -np.ones(4)), (7, np.array([3.0, 0, 0, 0]))] * 2
+    if large:
+        rows += [(100, np.array([9000.0, 1, 0, 0])), (100, np.array([9000.0, 1, 0, 0])), (9, np.array([0, -9000.0, 0, 0]))]
+    given = table(spark, [(i, v.tolist() if v.any() else [], 0) for i, v in rows] + [(4, None, 0), (4, [None], 0)])
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = every_row_plain(whole, lambda a, b: sum(x * y for x, y in zip(a, b)))
+    found = metric_tree.largest_products(given, every_row=True).collect()
+    assert sorted((tuple(r) for r in found), key=str) == want
+    assert any(i is None for _, _, i, _ in want) and any(q == i for q, _, i, _ in want)
+
+    units = [(i, v) for i, v in rows if v.any()]
+    cosine = lambda a, b: float(permutation.cosines(a, b[None, :])[0])
+    want = every_row_plain(units, lambda a, b: round(cosine(a, b), 9))
+    found = permutation.nearest_by_cosine(given, share=1.0, every_row=True).collect()
+    key = lambda r: (r[0], r[1], r[3])
+    assert sorted(map(key, ((q, n, i, round(s, 9)) for q, n, i, s in found))) == sorted(map(key, want))
+    assert {r.vec_id for r in found} <= {i for i, _ in units}
+    assert any(r.vec_id == r.query_id for r in found)
+
+
+def test_two_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [3.0, 0.0], 0), (1, [0.5, 0.0], 0)]
+    found = metric_tree.largest_products(table(spark, rows), every_row=True)
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found.collect()) == [(1, 1, 196608), (2, 1, 32768)]
