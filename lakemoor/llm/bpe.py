@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from lakemoor.llm.common import each_batch, query, table, texts_of
 from lakemoor.llm.tokens import PieceMemory
 
-LONG = 256  # bytes from which a piece takes the query for long ones
+LONG = 256  # bytes from which a piece is encoded in parts, and a window takes the query for long ones
+PART = 64  # bytes of a part
+WINDOW = 8  # ids on each side of a seam that are encoded again at first
+PART_ROWS = 20_000  # token rows of parts or windows given to one query
 ROWS = 100_000  # token rows given to one query that encodes (a single piece may have more)
 DECODED_ROWS = 300_000  # and to one that decodes
 MEMORY = "300MB"
@@ -119,6 +122,7 @@ class RankCoder:
 
     def __init__(self, path: str) -> None:
         ranks = self.ranks = read_ranks(path)
+        self._bytes_of = {rank: token for token, rank in ranks.items()}
         merges = [
             (ranks[token[:cut]], ranks[token[cut:]], rank)
             for token, rank in ranks.items()
@@ -127,7 +131,7 @@ class RankCoder:
         ]
         # A token that is a part of one of lower rank: making it may make a pair of lower rank.
         unsafe = sorted({part for left, right, merged in merges for part in (left, right) if part > merged})
-        self._con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self._con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         left, right, merged = (np.array(column, "i8") for column in zip(*merges))
         self._keep("merges", pair=(left << 32) + right, merged=merged.astype("i4"))
         self._keep("unsafe", merged=np.array(unsafe, "i4"))
@@ -163,10 +167,60 @@ class RankCoder:
         ids = found.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
         return [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
+    def _merge_all(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of parts or windows, in queries of at most ``PART_ROWS`` rows, or of one larger window."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+
+        def flush(group: list[int], sql: str) -> None:
+            for at, ids in zip(group, self._merge([pieces[at] for at in group], sql)):
+                out[at] = np.frombuffer(ids, "<u4")
+
+        for sql, long in ((ENCODE, False), (ENCODE_LONG, True)):
+            group, rows = [], 0
+            for at, piece in enumerate(pieces):
+                if (len(piece) > LONG) != long:
+                    continue
+                if group and rows + len(piece) > PART_ROWS:
+                    flush(group, sql)
+                    group, rows = [], 0
+                group.append(at)
+                rows += len(piece)
+            if group:
+                flush(group, sql)
+        return out
+
+    def _join(self, seams: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of two neighbouring parts as one, for each of ``seams``."""
+        out: list[np.ndarray | None] = [None] * len(seams)
+        open_, wide = list(range(len(seams))), WINDOW
+        while open_:
+            windows = [np.concatenate([seams[at][0][-wide:], seams[at][1][:wide]]) for at in open_]
+            merged = self._merge_all([b"".join(map(self._bytes_of.__getitem__, own.tolist())) for own in windows])
+            failed = []
+            for at, own, new in zip(open_, windows, merged):
+                left, right = seams[at]
+                if (len(left) > wide and new[0] != own[0]) or (len(right) > wide and new[-1] != own[-1]):
+                    failed.append(at)
+                else:
+                    out[at] = np.concatenate([left[:-wide], new, right[wide:]])
+            open_, wide = failed, 2 * wide
+        return out
+
+    def _merge_long(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of long pieces, as bytes (see the text at the top)."""
+        parts = [[piece[at : at + PART] for at in range(0, len(piece), PART)] for piece in pieces]
+        flat = iter(self._merge_all([one for own in parts for one in own]))
+        ids = [[next(flat) for _ in own] for own in parts]
+        while any(len(own) > 1 for own in ids):
+            joined = iter(self._join([pair for own in ids for pair in zip(own[::2], own[1::2])]))
+            ids = [[next(joined) for _ in range(len(own) // 2)] + own[len(own) // 2 * 2 :] for own in ids]
+        return [own[0].tobytes() for own in ids]
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces, as bytes."""
         out: dict[str, bytes] = {}
         short: list[tuple[str, bytes]] = []
+        long: list[tuple[str, bytes]] = []
         rows = 0
 
         def flush() -> None:
@@ -181,13 +235,14 @@ class RankCoder:
             if raw in self.ranks:
                 out[piece] = np.array([self.ranks[raw]], "<u4").tobytes()
             elif len(raw) > LONG:
-                (out[piece],) = self._merge([raw], ENCODE_LONG)
+                long.append((piece, raw))
             else:
                 short.append((piece, raw))
                 rows += len(raw)
                 if rows >= ROWS:
                     flush()
         flush()
+        out.update(zip([one[0] for one in long], self._merge_long([one[1] for one in long])))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -196,42 +251,43 @@ class RankCoder:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for."""
-        out: list[bytes] = []
-        group: list[np.ndarray] = []
+        slices = [
+            (row, one[at : at + DECODED_ROWS])
+            for row, one in enumerate(np.frombuffer(own, "<u4") for own in ids)
+            for at in range(0, len(one), DECODED_ROWS)
+        ]
+        out: list[list[bytes]] = [[] for _ in ids]
+        group: list[tuple[int, np.ndarray]] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
-            lengths = np.array([len(one) for one in group])
-            ends = np.cumsum(lengths)
-            done = [b""] * len(group)
-            if ends[-1]:
-                tokens = pa.table(
-                    {
-                        "w": np.repeat(np.arange(len(group), dtype="i4"), lengths),
-                        "pos": np.arange(ends[-1], dtype="i4"),
-                        "id": np.concatenate(group).astype("i4"),
-                    }
-                )
-                found = self._ask(DECODE, "tokens", tokens)
-                tokens_of = found.flatten()
-                if len(tokens_of) != ends[-1]:
-                    raise ValueError("an id is not in the vocabulary")
-                joined = pc.binary_join(found, pa.scalar(b"", tokens_of.type))
-                for at, text in zip(np.flatnonzero(lengths).tolist(), joined.to_pylist()):
-                    done[at] = text
-            out.extend(done)
+            lengths = np.array([len(one) for _, one in group])
+            tokens = pa.table(
+                {
+                    "w": np.repeat(np.arange(len(group), dtype="i4"), lengths),
+                    "pos": np.arange(lengths.sum(), dtype="i4"),
+                    "id": np.concatenate([one for _, one in group]).astype("i4"),
+                }
+            )
+            found = self._ask(DECODE, "tokens", tokens)
+            tokens_of = found.flatten()
+            if len(tokens_of) != lengths.sum():
+                raise ValueError("an id is not in the vocabulary")
+            joined = pc.binary_join(found, pa.scalar(b"", tokens_of.type))
+            for (row, _), text in zip(group, joined.to_pylist()):
+                out[row].append(text)
             group.clear()
             held = 0
 
-        for one in ids:
-            group.append(np.frombuffer(one, "<u4"))
-            held += len(group[-1])
-            if held >= DECODED_ROWS:
+        for one in slices:
+            if group and held + len(one[1]) > DECODED_ROWS:
                 flush()
+            group.append(one)
+            held += len(one[1])
         if group:
             flush()
-        return out
+        return [b"".join(own) for own in out]
 
 
 _CODERS: dict[str, RankCoder] = {}

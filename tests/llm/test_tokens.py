@@ -66,6 +66,40 @@ def test_recursive_queries():
         coder.decode([np.array([60_000], "<u4").tobytes()])
 
 
+def test_long_pieces_are_joined_from_parts():
+    coder = bpe.RankCoder(RANKS)
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}
+    )
+    rnd = random.Random(16)
+    texts = ["".join(rnd.choices(some, k=k)) for some in ("abcdefghijklmnopqrstuvwxyz", "ab", "éüñßab") for k in (257, 20_000)]
+    texts += ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "".join(rnd.choices("abcdef", k=30)) * 300]
+    texts += ["a" * 5000, "abc" * 3000, "=-" * 3000, "-" * 5001, "日" * 5000, "abcab" * 700 + texts[0] + "xyzzy" * 800]
+    got = coder.encode(texts)
+    assert got == [np.array(own.encode_ordinary(text), "<u4").tobytes() for text in texts]
+    assert coder.decode(got) == [text.encode() for text in texts]
+
+
+@pytest.mark.parametrize("window", [1, 2])
+def test_windows_at_seams_grow(monkeypatch, window):
+    """Narrow windows and short parts: most seams need more than the first window."""
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    monkeypatch.setattr(bpe, "PART", 5)
+    monkeypatch.setattr(bpe, "LONG", 20)
+    monkeypatch.setattr(bpe, "PART_ROWS", 50)
+    monkeypatch.setattr(bpe, "DECODED_ROWS", 7)
+    coder = bpe.RankCoder(RANKS)
+    ranks = bpe.read_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(17)
+    some = "etaoin shrdlu=-.é日"
+    texts = ["".join(rnd.choices(some[:width], k=rnd.randrange(200))) for width in (2, 5, 9, 19) for _ in range(20)]
+    texts += ["-" * 77, "internationalizations" * 3, ""]
+    got = coder.encode(texts)
+    assert got == [np.array(own.encode_ordinary(text), "<u4").tobytes() for text in texts]
+    assert coder.decode(got) == [text.encode() for text in texts]
+
+
 def test_bpe_rows(spark):
     docs = odd_documents(spark, "ids", "bytes")
     rows = bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()
