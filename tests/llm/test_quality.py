@@ -70,3 +70,48 @@ def test_training_rows_are_bounded_where_an_id_repeats(spark):
     x, y = quality.training_rows(docs, labels, most=10)
     assert len(x) == len(y) <= 10
     assert (quality.training_rows(docs.repartition(7), labels, most=10)[0] == x).all()
+
+
+def gain_of(parts):
+    return sum(g * g / (h + 1.0) for g, h in parts)
+
+
+def test_trees_against_every_split():
+    """The first split of a tree is the best of all; so is the next one, given the first."""
+    rng = np.random.default_rng(23)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        g, h = rng.normal(size=n) * 20, rng.uniform(0.2, 3, size=n) * quality.LEAST_WEIGHT
+        h[rng.random(n) < 0.2] = 0
+        cuts = [0, n]
+        for leaves in (2, 3):
+            tried = {}
+            for at in set(range(1, n)) - set(cuts):
+                new = sorted([*cuts, at])
+                left, right = new[new.index(at) - 1], new[new.index(at) + 1]
+                if min(h[left:at].sum(), h[at:right].sum()) >= quality.LEAST_WEIGHT:
+                    tried[at] = gain_of((g[a:b].sum(), h[a:b].sum()) for a, b in zip(new, new[1:]))
+            now = gain_of((g[a:b].sum(), h[a:b].sum()) for a, b in zip(cuts, cuts[1:]))
+            if tried and max(tried.values()) > now + 1e-9:
+                cuts = sorted([*cuts, max(tried, key=tried.get)])
+            want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in zip(cuts, cuts[1:])])
+            assert np.allclose(quality._shallow_tree(g, h, leaves), want)
+
+
+def test_pairs_against_every_cross():
+    rng = np.random.default_rng(24)
+    for _ in range(40):
+        g = rng.normal(size=rng.integers(2, 6, size=2))
+        h = rng.uniform(0, 2, size=g.shape)
+        best, values = -np.inf, None
+        for i in range(1, g.shape[0]):
+            for j in range(1, g.shape[1]):
+                spans = [(a, b) for a in (slice(0, i), slice(i, None)) for b in (slice(0, j), slice(j, None))]
+                gain = gain_of((g[s].sum(), h[s].sum()) for s in spans) - gain_of([(g.sum(), h.sum())])
+                if gain > best:
+                    best, values = gain, np.zeros_like(g)
+                    for s in spans:
+                        values[s] = g[s].sum() / (h[s].sum() + 1)
+        found, entries = quality._cross(g, h)
+        assert np.isclose(found, best) and np.allclose(entries, values)
+    assert quality._cross(np.ones((1, 3)), np.ones((1, 3)))[0] == 0
