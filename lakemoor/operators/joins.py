@@ -13,38 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemoor.operators.ordered import (
-    MOST_BROADCAST_ROWS,
+    MOST_BROADCAST_BYTES,
     MOST_GROUP_ROWS,
     MOST_VALUES,
+    broadcast_if_small,
+    frame_bytes,
     with_last_known,
     with_running,
 )
 from lakemoor.session import pinned
 
-# The most bytes of measured values that are sent to every executor.
 MOST_HOT, MOST_TRACKED = 100, 10_000  # hot keys of a side, and keys that their sketch keeps
 SALTS = 64
 MOST_SLABS = 4096  # cuts of a range that are written into a plan
 PAIRS_PER_ROW = 1000  # pairs a task may compare for each row it may hold
-MOST_BROADCAST_BYTES = 64 * 1024 * 1024
-
-_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def frame_bytes(df: DataFrame) -> int:
-    """Bytes of the values of ``df``, measured by one aggregate: 16 per fixed-width value."""
-    widths = []
-    for f in df.schema.fields:
-        column = df[f.name]
-        if isinstance(f.dataType, _FIXED_WIDTH):
-            widths.append(F.lit(16))
-        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            widths.append(F.coalesce(F.octet_length(column), F.lit(0)) + 16)
-        else:
-            widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16)
-    total = F.sum(reduce(lambda a, b: a + b, widths).cast("bigint"))
-    return df.agg(total.alias("bytes")).first()["bytes"] or 0
-
 
 def sized_join(
     left: DataFrame,
@@ -204,11 +186,7 @@ def _blocks(p: DataFrame, i: DataFrame, where: Sequence[str], most_rows: int) ->
         *where, needed("_p").alias("_p_blocks"), needed("_i").alias("_i_blocks")
     )
     large = large.where("_p_blocks > 1 OR _i_blocks > 1")
-    count = large.count()
-    if count == 0:
-        return None
-    large = pinned(large)
-    return F.broadcast(large) if count <= MOST_BROADCAST_ROWS else large
+    return None if large.isEmpty() else broadcast_if_small(pinned(large))
 
 
 def _cut(df: DataFrame, blocks: DataFrame, where: Sequence[str], name: str) -> DataFrame:

@@ -23,18 +23,50 @@ from pyspark.sql import types as T
 
 from lakemoor.session import pinned
 
-# Rows of one group that a single task may sort, and rows that may be broadcast.
+# Rows of one group that a single task may sort.
 MOST_GROUP_ROWS = 5_000_000
+# Rows that may be broadcast, and bytes of their measured values.
 MOST_BROADCAST_ROWS = 10_000
+MOST_BROADCAST_BYTES = 64 * 1024 * 1024
 # Distinct values of one group that a single task counts up, where only counts per value are ordered.
 MOST_VALUES = 250_000
 # Segments per call. Their borders are sampled by the driver; beyond this they get longer instead.
 MOST_SEGMENTS = 20_000
 
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _BEFORE = (Window.unboundedPreceding, -1)
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of the values of a row of ``df``: 16 per value, and what text, bytes or nested values hold."""
+    widths = []
+    for f in df.schema.fields:
+        column = df[f.name]
+        if isinstance(f.dataType, _FIXED_WIDTH):
+            widths.append(F.lit(16))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            widths.append(F.coalesce(F.octet_length(column), F.lit(0)) + 16)
+        else:
+            widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16)
+    return reduce(lambda a, b: a + b, widths).cast("bigint")
+
+
+def frame_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``, measured by one aggregate."""
+    return df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it if one aggregate over it shows few rows and few bytes."""
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if _is_small(found["rows"], found["bytes"]) else df
+
+
+def _is_small(rows: int, size: int | None) -> bool:
+    return rows <= MOST_BROADCAST_ROWS and (size or 0) <= MOST_BROADCAST_BYTES
+
+
 @dataclass(frozen=True)
 class SplitGroups:
     """Rows of groups up to the row limit, and of those beyond it (``None`` if there are none)."""
@@ -48,11 +80,12 @@ class SplitGroups:
 def split_groups(df: DataFrame, keys: Sequence[str], most_rows: int = MOST_GROUP_ROWS) -> SplitGroups:
     """Count the groups of ``df`` and part the large ones from the rest."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > most_rows)
-    found = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_size").alias("rows")).first()
+    size = F.sum(row_bytes(sizes)).alias("bytes")
+    found = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_size").alias("rows"), size).first()
     if not found["groups"]:
         return SplitGroups(df, None)
     large_keys = sizes.select(*[F.col(k).alias(f"_large_{k}") for k in keys])
-    if found["groups"] <= MOST_BROADCAST_ROWS:
+    if _is_small(found["groups"], found["bytes"]):
         large_keys = F.broadcast(large_keys)
     same = _all_equal([(df[k], F.col(f"_large_{k}")) for k in keys])
     return SplitGroups(
@@ -84,8 +117,8 @@ class _Segments:
 
     def attach(self, rows: DataFrame, summary: DataFrame, names: Sequence[str]) -> DataFrame:
         side = summary.select(*[F.col(c).alias(f"_s_{c}") for c in ("_seg", *self.keys)], *names)
-        if self.most_summaries <= MOST_BROADCAST_ROWS:
-            side = F.broadcast(side)
+        if self.most_summaries <= MOST_BROADCAST_ROWS:  # else it is not worth measuring
+            side = broadcast_if_small(pinned(side))
         same = _all_equal([(rows[c], F.col(f"_s_{c}")) for c in ("_seg", *self.keys)])
         return rows.join(side, same).drop(*[f"_s_{c}" for c in ("_seg", *self.keys)])
 
@@ -294,7 +327,7 @@ def with_neighbours(
     )
     ends = ends.withColumnsRenamed({k: f"_e_{k}" for k in keys})
     if groups.large_groups <= MOST_BROADCAST_ROWS:
-        ends = F.broadcast(ends)
+        ends = broadcast_if_small(pinned(ends))
     large = large.join(ends, _all_equal([(large[k], F.col(f"_e_{k}")) for k in keys]))
     return _both(small, large)
 

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakemoor.operators import ordered
 from lakemoor.operators.joins import (
     asof_join,
     count_below,
@@ -270,6 +271,23 @@ def test_hot_keys_of_an_inner_join_are_split(spark):
                 spark.conf.set(name, value)
 
 
+def test_wide_summaries_are_not_broadcast(spark, monkeypatch):
+    """Few groups whose keys or carried values are wide: the same rows, with joins that shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(300).select((C("id") % 3).alias("k"), "id", F.repeat(F.lit("x"), (C("id") % 90).cast("int")).alias("w"))
+        found, plans = [], []
+        for limit in (ordered.MOST_BROADCAST_BYTES, 50):
+            monkeypatch.setattr(ordered, "MOST_BROADCAST_BYTES", limit)
+            made = with_neighbours(rows, ["k"], ["id"], "w", 1, 1, 2, most_rows=40)
+            found.append(sorted(map(tuple, made.collect())))
+            plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+        assert found[0] == found[1] and len(found[0]) == 300
+        assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_frame_bytes(spark):
     df = spark.createDataFrame([(1, "abc", [1, 2]), (2, None, None)], "a int, b string, c array<int>")
     assert 90 < frame_bytes(df) < 250
