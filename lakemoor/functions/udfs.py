@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,40 +99,47 @@ class WordTable:
 
 @F.arrow_udtf(returnType="user_id bigint, day date, kind string, first_id bigint, last_id bigint, events bigint")
 class Streaks:
-    """Stretches of rows of one kind in an ordered partition (user_id, day, event_type, event_id).
+    """Stretches of rows of one user, day and kind in an ordered partition (user_id, day, event_type, event_id).
 
-    A partition comes in batches; a stretch that goes on in the next batch is carried over, so a long one takes no memory.
+    A partition may hold many users and days, one after the other: Spark calls Python once for each partition, which costs
+    far more than the few rows of a user's day. No Python runs per row or stretch. A partition comes in batches; a
+    stretch that goes on in the next batch is carried over, so a long one takes no memory.
     """
 
     def __init__(self) -> None:
-        self._open: tuple | None = None
+        self._open: pa.Table | None = None
 
     def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
         if not rows.num_rows:
             return
-        kind = rows.column(2)
-        before, after = kind.slice(0, len(kind) - 1), kind.slice(1)
-        differ = pc.or_(pc.fill_null(pc.not_equal(before, after), False), pc.xor(pc.is_null(before), pc.is_null(after)))
-        begins = [0, *(at + 1 for at in pc.indices_nonzero(differ).to_pylist())]
-        ends = [*begins[1:], rows.num_rows]
-        ids = rows.column(3)
-        found = []
-        for begin, end in zip(begins, ends):
-            own = (rows.column(0)[begin].as_py(), rows.column(1)[begin].as_py(), kind[begin].as_py())
-            if self._open and self._open[:3] == own:
-                self._open = (*own, self._open[3], ids[end - 1].as_py(), self._open[5] + end - begin)
+        own, ids = [rows.column(at) for at in range(3)], rows.column(3)
+        begins = np.flatnonzero(reduce(np.logical_or, [_differs(column) for column in own])) + 1
+        begins = np.concatenate([[0], begins])
+        ends = np.append(begins[1:], rows.num_rows)
+        columns = [*[column.take(pa.array(begins)) for column in own], ids.take(pa.array(begins)), ids.take(pa.array(ends - 1))]
+        found = pa.table([*columns, pa.array(ends - begins, pa.int64())], names=_STREAK)
+        if self._open is not None:
+            met = pa.concat_tables([self._open, found.slice(0, 1)])
+            if any(_differs(met[name].combine_chunks()).any() for name in _STREAK[:3]):
+                found = pa.concat_tables([self._open, found])
             else:
-                if self._open:
-                    found.append(self._open)
-                self._open = (*own, ids[begin].as_py(), ids[end - 1].as_py(), end - begin)
-        if found:
-            yield _streak_table(found)
+                whole = met.slice(0, 1).set_column(4, "last_id", met["last_id"][1:])
+                whole = whole.set_column(5, "events", pa.array([pc.sum(met["events"]).as_py()], pa.int64()))
+                found = pa.concat_tables([whole, found.slice(1)])
+        self._open = found.slice(found.num_rows - 1)
+        if found.num_rows > 1:
+            yield found.slice(0, found.num_rows - 1).combine_chunks()
 
     def terminate(self) -> Iterator[pa.Table]:
-        if self._open:
-            yield _streak_table([self._open])
+        if self._open is not None:
+            yield self._open
 
 
-def _streak_table(found: list[tuple]) -> pa.Table:
-    kinds = {"user_id": pa.int64(), "day": pa.date32(), "kind": pa.string(), "first_id": pa.int64(), "last_id": pa.int64(), "events": pa.int64()}
-    return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), zip(*found))})
+_STREAK = ["user_id", "day", "kind", "first_id", "last_id", "events"]
+
+
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first is another one than that before it; a null is like a null."""
+    before, after = column.slice(0, len(column) - 1), column.slice(1)
+    known = pc.fill_null(pc.not_equal(before, after), False)
+    return pc.or_(known, pc.xor(pc.is_null(before), pc.is_null(after))).to_numpy(zero_copy_only=False)

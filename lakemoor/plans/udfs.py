@@ -10,6 +10,8 @@ from lakemoor.operators.digests import weighted_quantiles
 from lakemoor.plans.registry import Mounted, query
 from lakemoor.sources.files import spread
 
+PARTS_PER_TASK = 64  # partitions of a table function for each task, so that tasks get about as many rows
+
 
 @query(
     "P90",
@@ -92,6 +94,8 @@ def words_of_texts(at: Mounted) -> DataFrame:
     """,
 )
 def streaks_of_users(at: Mounted) -> DataFrame:
-    # A partition is a user's day: a user with very many events is spread over as many tasks as there are days.
+    # A partition holds many users' days, by a hash: a user with very many events is spread over as many as there are days.
     events = at.table("events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", "ts")
-    return Streaks(events.asTable().partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    parts = PARTS_PER_TASK * int(at.spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("user_id", "day"), F.lit(parts)).cast("int")
+    return Streaks(events.withColumn("part", part).asTable().partitionBy("part").orderBy("user_id", "day", "ts", "event_id"))

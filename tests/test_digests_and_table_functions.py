@@ -101,3 +101,42 @@ def test_streaks_go_on_across_batches(spark, small_batches):
     found = Streaks(df.asTable().partitionBy("user_id", "day").orderBy("event_id"))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     assert Streaks(df.limit(0).asTable().partitionBy("user_id", "day").orderBy("event_id")).collect() == []
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_streaks_of_many_users_in_a_partition(spark, small_batches, batch):
+    """Stretches end with their user and day, also where the next one begins with the same kind."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    rnd = random.Random(batch)
+    days = [None, datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)]
+    rows, want = [], []
+    for user in [None, *range(40)]:
+        for day in rnd.sample(days, rnd.randrange(1, 4)):
+            for _ in range(rnd.randrange(1, 4)):
+                kind, n, at = rnd.choice(["v", "w", None]), rnd.randrange(1, 6), len(rows)
+                if want and want[-1][:3] == (user, day, kind):
+                    want[-1] = (*want[-1][:4], at + n - 1, want[-1][5] + n)
+                else:
+                    want.append((user, day, kind, at, at + n - 1, n))
+                rows += [(user, day, kind, at + i, rnd.randrange(1)) for i in range(n)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "user_id bigint, day date, event_type string, event_id bigint, part int")
+    found = Streaks(df.asTable().partitionBy("part").orderBy("user_id", "day", "event_id"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_partitions_of_streaks_do_not_grow_with_users(spark, tmp_path):
+    """Python is called once for each partition, so there are as many as tasks ask for, not one for each user's day."""
+    from lakemoor.plans import run
+    from lakemoor.plans.udfs import PARTS_PER_TASK
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=i % 72), i // 3, "v") for i in range(9000)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    found = run("streaks_of_users", spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    repartition = next(line for line in plan.toString().splitlines() if "RepartitionByExpression" in line)
+    assert "part" in repartition and "user_id" not in repartition
+    assert PARTS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")) < found.count()
+    assert found.agg(F.sum("events")).first()[0] == 9000
