@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -251,13 +251,15 @@ def count_dominated(
 ) -> DataFrame:
     """For each row of ``df`` the number of rows that are smaller in ``first`` and in ``second``: ``id`` and ``out``.
 
-    A join on two inequalities that is only counted needs no pairs. The range of ``first`` is cut into slabs of
-    about as many rows; a value with a slab's worth of rows is a slab of its own. Slabs are the leaves of a binary tree:
-    a row asks each left sibling of the nodes on its way up how many of its rows are smaller in ``second``, which
-    is a running count along ``second`` in that node. Within a slab tasks count alike by the bits of ranks.
-    So every row stands on some log2(slabs) lines, and nothing meets in pairs. Slabs hold ``most_rows`` rows, or a
-    MOST_SLABS-th of all where that is more. Rows with a null, or a NaN,
-    are smaller than nothing and have nothing below them: their count is 0. ``id`` names a row.
+    A join on two inequalities that is only counted needs no pairs. The range of ``first`` is cut into slabs and that of
+    ``second`` into strips of about as many rows; a value that is a cut is a slab or strip of its own, since its rows
+    are not smaller than each other. Each row adds up three counts: the rows of lower slabs and lower strips, read off
+    running sums over a table of rows per slab and strip; the smaller rows of its own slab; and
+    the smaller rows of its own strip in lower slabs. Within a slab or strip, tasks count by the bits of ranks. So every row is
+    shuffled once to its slab, once to its strip and once to its id (and once to its cell, where Spark does not broadcast
+    the cells), however many slabs there are, and nothing meets in pairs. Slabs and strips hold ``most_rows`` rows, or a MOST_SLABS-th of all where that is more. Rows with a null,
+    or a NaN, are smaller than nothing and have nothing below them: their count is 0. ``id`` names a row; the counts
+    of rows that share one are added up.
     """
     rows = pinned(df.select(F.col(id).alias("_id"), F.col(first).alias("_x"), F.col(second).alias("_y")))
     known = F.col("_x").isNotNull() & F.col("_y").isNotNull()
@@ -267,49 +269,89 @@ def count_dominated(
     points = rows.where(known)
     if slabs is None:
         slabs = min(max(1, -(-points.count() // most_rows)), MOST_SLABS)
-    points = _in_slabs(points, slabs)
-    levels = max(1, (2 * slabs).bit_length())
-    nodes = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
-    # A row is a point of every node above its slab, and asks the left sibling wherever it comes from the right.
-    at = points.select("_id", "_y", "_slab", nodes).withColumn("_node", F.expr("shiftright(_slab, _level)"))
-    asks = at.where(F.col("_node") % 2 == 1).select(F.col("_node") - 1, "_level", "_y", "_id").toDF("_node", "_level", "_y", "_id")
-    asked = at.where(F.col("_node") % 2 == 1).select("_level", (F.col("_node") - 1).alias("_node")).distinct()
-    # Broadcast: two nodes a slab at most.
-    told = at.where(F.col("_node") % 2 == 0).join(F.broadcast(asked), ["_level", "_node"], "left_semi")
-    counted = told.groupBy("_level", "_node", "_y").agg(F.count(F.lit(1)).alias("_n")).withColumn("_side", F.lit(1))
-    questions = asks.groupBy("_level", "_node", "_y").agg(F.lit(0).cast("bigint").alias("_n")).withColumn("_side", F.lit(0))
-    line = counted.unionByName(questions)
-    ran = with_running(line, ["_level", "_node"], [F.col("_y"), F.col("_side")], {"_below": F.col("_n")}, most_rows)
-    answers = ran.where(F.col("_side") == 0).select("_level", "_node", "_y", "_below")
-    across = asks.join(answers, ["_level", "_node", "_y"]).select("_id", F.col("_below").alias("_n"))
-    inside = points.where(F.col("_slab") % 2 == 0).groupBy("_slab").applyInArrow(
-        _count_inside, f"_id {rows.schema['_id'].dataType.simpleString()}, _n bigint"
+    x_cuts, y_cuts = _cuts(points, "_x", slabs), _cuts(points, "_y", slabs)
+    points = points.withColumns({"_slab": _slab_of(points, "_x", x_cuts), "_strip": _slab_of(points, "_y", y_cuts)})
+    cells = _below_cells(points, 2 * len(x_cuts) + 1, 2 * len(y_cuts) + 1, most_rows)
+    # A slab that is one value may hold any share of the rows, but counts nothing: its rows are dealt to several groups.
+    in_turn = [F.when(F.col(at) % 2 == 1, F.pmod("_turn", f"{at}_parts")).otherwise(0).cast("int") for at in ("_slab", "_strip")]
+    placed = points.withColumn("_turn", F.monotonically_increasing_id()).join(cells, ["_slab", "_strip"]).select(
+        "_id", "_x", "_y", "_slab", "_strip", "_n", in_turn[0].alias("_slab_part"), in_turn[1].alias("_strip_part")
     )
-    summed = across.unionByName(inside).groupBy("_id").agg(F.sum("_n").alias(out))
-    return rows.select("_id").join(summed, "_id", "left").select(F.col("_id").alias(id), F.coalesce(out, F.lit(0)).alias(out))
-
-
-def _in_slabs(points: DataFrame, slabs: int) -> DataFrame:
-    """``_slab``: twice the number of cuts below ``_x``, and one more where it is a cut that stands for a slab alone."""
-    cuts = points.agg(F.percentile_approx("_x", [at / slabs for at in range(1, slabs)] or [0.5], 100 * slabs)).first()[0] or []
-    cuts = sorted(set(cuts)) if slabs > 1 else []
+    kept = ["_id", "_y", "_slab", "_strip", "_n", "_strip_part"]
+    in_slabs = placed.groupBy("_slab", "_slab_part").applyInArrow(
+        _counting("_x", kept), T.StructType([T.StructField(name, placed.schema[name].dataType) for name in kept])
+    )
+    in_strips = in_slabs.groupBy("_strip", "_strip_part").applyInArrow(
+        _counting("_slab", ["_id", "_n"]), T.StructType([T.StructField(name, placed.schema[name].dataType) for name in ("_id", "_n")])
+    )
+    unknown = rows.where(~known).select("_id", F.lit(0).cast("bigint").alias("_n"))
+    return in_strips.unionByName(unknown).groupBy(F.col("_id").alias(id)).agg(F.sum("_n").alias(out))
+
+
+def _cuts(points: DataFrame, column: str, slabs: int) -> list:
+    """Up to ``slabs - 1`` different values of ``column`` in order, with about as many rows from one to the next."""
+    if slabs < 2:
+        return []
+    if isinstance(points.schema[column].dataType, (T.NumericType, T.DatetimeType, T.AnsiIntervalType)):
+        found = F.percentile_approx(column, [at / slabs for at in range(1, slabs)], 100 * slabs)
+        return sorted(set(points.agg(found).first()[0] or []))
+    # No quantiles of such values: those of a sample. Cuts only balance the work, so any will do.
+    share = min(1.0, 100 * slabs / max(1, points.count()))
+    sample = points.sample(share, seed=1).agg(F.sort_array(F.collect_list(column)).alias("v"))
+    place = F.sequence(F.lit(1), F.lit(slabs - 1)) if slabs > 2 else F.array(F.lit(1))
+    at = F.transform(place, lambda n: F.get("v", F.floor(n * F.size("v") / slabs).cast("int")))
+    return [row[0] for row in sample.select(F.explode(F.array_distinct(at))).where("col IS NOT NULL").orderBy("col").collect()]
+
+
+def _slab_of(points: DataFrame, column: str, cuts: list) -> Column:
+    """Twice the number of cuts below ``column``, and one more where it is a cut itself."""
     if not cuts:
-        return points.withColumn("_slab", F.lit(0))
+        return F.lit(0)
     # Cuts in groups: the coarse ones lead to a few fine ones.
     step = max(1, int(len(cuts) ** 0.5))
-    kind = points.schema["_x"].dataType
+    kind = points.schema[column].dataType
     coarse = F.array(*[F.lit(one).cast(kind) for one in cuts[::step]])
-    group = F.greatest(F.size(F.filter(coarse, lambda cut: cut < F.col("_x"))) - 1, F.lit(0))
+    group = F.greatest(F.size(F.filter(coarse, lambda cut: cut < F.col(column))) - 1, F.lit(0))
     fine = F.get(F.array(*[F.array(*[F.lit(one).cast(kind) for one in cuts[at : at + step]]) for at in range(0, len(cuts), step)]), group)
-    below = group * step + F.size(F.filter(fine, lambda cut: cut < F.col("_x")))
-    is_cut = F.array_contains(fine, F.col("_x")) | F.array_contains(coarse, F.col("_x"))
-    return pinned(points.withColumn("_slab", (2 * below + is_cut.cast("int")).cast("int")))
+    below = group * step + F.size(F.filter(fine, lambda cut: cut < F.col(column)))
+    is_cut = F.array_contains(fine, F.col(column)) | F.array_contains(coarse, F.col(column))
+    return (2 * below + is_cut.cast("int")).cast("int")
 
 
-def _count_inside(slab: pa.Table) -> pa.Table:
-    """Per row of a slab the rows that are smaller in both, by the bits of the ranks of ``_x``."""
-    x = pc.rank(slab["_x"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) - 1
-    y = pc.rank(slab["_y"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) - 1
+def _below_cells(points: DataFrame, slabs: int, strips: int, most_rows: int) -> DataFrame:
+    """For each slab and strip with rows: ``_n`` rows of lower slabs and lower strips, and groups for the rows of both."""
+    rows = points.groupBy("_slab", "_strip").agg(F.count(F.lit(1)).alias("_rows"))
+    every = points.sparkSession.range(slabs * strips).select(
+        F.expr(f"CAST(id DIV {strips} AS INT)").alias("_slab"), F.expr(f"CAST(id % {strips} AS INT)").alias("_strip")
+    )
+    grid = every.join(rows, ["_slab", "_strip"], "left").fillna(0, ["_rows"])
+    slab, strip = Window.partitionBy("_slab"), Window.partitionBy("_strip")
+    before = (Window.unboundedPreceding, -1)
+    ran = grid.withColumns({
+        "_left": F.sum("_rows").over(slab.orderBy("_strip").rowsBetween(*before)),
+        "_slab_parts": F.ceil(F.sum("_rows").over(slab) / most_rows).cast("int"),
+    })
+    ran = ran.withColumns({
+        "_n": F.coalesce(F.sum("_left").over(strip.orderBy("_slab").rowsBetween(*before)), F.lit(0)),
+        "_strip_parts": F.ceil(F.sum("_rows").over(strip) / most_rows).cast("int"),
+    })
+    return pinned(ran.where("_rows > 0").select("_slab", "_strip", "_n", "_slab_parts", "_strip_parts"))
+
+
+def _counting(x: str, kept: Sequence[str]) -> Callable[[pa.Table], pa.Table]:
+    """A function that adds to ``_n`` of a group's rows those that are smaller in ``x`` and in ``_y``."""
+
+    def count(group: pa.Table) -> pa.Table:
+        below = pc.add(group["_n"], pa.array(_dominated(group[x], group["_y"])))
+        return group.set_column(group.column_names.index("_n"), "_n", below).select(list(kept))
+
+    return count
+
+
+def _dominated(x: pa.ChunkedArray, y: pa.ChunkedArray) -> np.ndarray:
+    """Per row the rows that are smaller in both, by the bits of the ranks of ``x``."""
+    x = pc.rank(x.combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    y = pc.rank(y.combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64) - 1
     below = np.zeros(len(x), np.int64)
     for bit in range(int(x.max()).bit_length() if len(x) else 0):
         right = (x >> bit) & 1  # those on the right of a node ask, those on the left are counted
@@ -320,7 +362,7 @@ def _count_inside(slab: pa.Table) -> pa.Table:
         begins = np.flatnonzero(np.diff(node[order], prepend=-1))
         base = np.repeat(upto[begins], np.diff(np.append(begins, len(x))))
         below[order] += np.where(left == 0, upto - base, 0)
-    return pa.table({"_id": slab["_id"], "_n": pa.array(below)})
+    return below
 
 
 def dense_grid(facts: DataFrame, members: DataFrame, key: str, step: str, steps: Column, measure: str) -> DataFrame:

@@ -41,6 +41,40 @@ def test_dominated_by_time(spark):
     assert sorted(map(tuple, count_dominated(df, "i", "x", "y", "n", 8).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("most_rows", [3, 250_000])
+def test_dominated_with_hot_values_of_both(spark, most_rows):
+    """A value with most of the rows is a slab or a strip of its own, its rows dealt to several groups."""
+    rnd = random.Random(9)
+    rows = [(i, 5 if i % 3 else rnd.randrange(12), 0.5 if i % 5 else rnd.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, x int, y double").repartition(5)
+    assert sorted(map(tuple, count_dominated(df, "i", "x", "y", "n", 6, most_rows).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("slabs", [1, 2, 9])
+def test_dominated_by_text(spark, slabs):
+    """Values that have no quantiles."""
+    rnd = random.Random(slabs)
+    rows = [(i, rnd.choice("abcdeé") * rnd.randrange(1, 3), rnd.choice(["", "x", "y\0", "zz"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, x string, y string").repartition(3)
+    assert sorted(map(tuple, count_dominated(df, "i", "x", "y", "n", slabs).collect())) == brute(rows)
+
+
+def test_dominated_rows_of_one_id(spark):
+    """Rows that share an id are one row with the sum of their counts, as GROUP BY has it."""
+    rows = [(1, 1, 1.0), (2, 2, 2.0), (2, 3, 3.0), (None, 4, 4.0), (None, 5, None), (3, None, 1.0)]
+    df = spark.createDataFrame(rows, "i int, x int, y double")
+    found = count_dominated(df, "i", "x", "y", "n", 2)
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, 0), (2, 3), (3, 0), (None, 3)]
+
+
+def test_dominated_rows_are_not_multiplied(spark):
+    """What is shuffled grows with the rows alone: no row is repeated for each level of a tree of slabs."""
+    df = spark.range(2000).selectExpr("id AS i", "id * 7 % 2000 AS x", "id * 13 % 2000 AS y")
+    plans = [count_dominated(df, "i", "x", "y", "n", slabs)._jdf.queryExecution().optimizedPlan().toString() for slabs in (2, 40)]
+    for plan in plans:
+        assert "Generate" not in plan and plan.count("FlatMapGroupsInArrow") == 2 and plan.count("Join") == 1
+
+
 def test_pairs_of_streams_and_their_state(spark):
     """Pairs are those of the batch join, and rows leave the state when the watermarks pass them."""
     path, rnd = scratch_path(spark, "pairs"), random.Random(6)
