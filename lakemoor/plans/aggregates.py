@@ -12,7 +12,6 @@ from lakemoor.operators.sketches import (
     merged,
     quantile_estimate,
     rank_estimate,
-    union_of,
     without,
     write_sketches,
 )
@@ -189,7 +188,8 @@ def unpivot_measures(at: Mounted) -> DataFrame:
 def _event_sketches(at: Mounted) -> DataFrame:
     """One row per day and type of event, read back from a table of sketches."""
     made = daily_sketches(at.table("events"), ["event_type"], "ts", ["user_id", "value"], ["value"])
-    return read_path(at.spark, write_sketches(made, scratch_path(at.spark, "event_sketches")))
+    # The schema is given: a table without events has no file to tell it.
+    return read_path(at.spark, write_sketches(made, scratch_path(at.spark, "event_sketches")), schema=made.schema)
 
 
 @query(
@@ -210,14 +210,13 @@ def distinct_by_sketch(at: Mounted) -> DataFrame:
     early = F.col("day") < F.lit(last)
     any_type = F.lit("(any)").alias("event_type")
     both = sketches.unionByName(sketches.withColumn("event_type", any_type)).drop("value_kll")
-    before = merged(both.where(early), ["event_type"])
-    after = merged(both.where(~early), ["event_type"]).select("event_type", *[F.col(c).alias(f"late_{c}") for c in ("user_id_theta", "value_theta")])
-    met = before.join(after, "event_type")
-    return met.select(
+    # Both times from one pass, so that types without events in one of them, or without a time, are kept.
+    values = {"early_theta": F.when(early, F.col("value_theta")), "late_theta": F.when(~early, F.col("value_theta"))}
+    return merged(both.withColumns(values), ["event_type"]).select(
         "event_type",
-        distinct_estimate(union_of(F.col("user_id_theta"), F.col("late_user_id_theta"))).alias("users"),
-        distinct_estimate(union_of(F.col("value_theta"), F.col("late_value_theta"))).alias("amounts"),
-        distinct_estimate(without(F.col("late_value_theta"), F.col("value_theta"))).alias("new_amounts"),
+        distinct_estimate(F.col("user_id_theta")).alias("users"),
+        distinct_estimate(F.col("value_theta")).alias("amounts"),
+        distinct_estimate(without(F.col("late_theta"), F.col("early_theta"))).alias("new_amounts"),
     )
 
 

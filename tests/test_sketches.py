@@ -1,12 +1,15 @@
 """Sketches per day: bounds per group, merging, and days that change alone."""
 
+import datetime
 import math
 import random
 
 import pytest
+from compare import connect, difference
 from pyspark.sql import functions as F
 
 from lakemoor.operators import sketches as sk
+from lakemoor.plans import QUERIES, run
 from lakemoor.sources.files import read_path
 
 LG, K = 9, 200
@@ -80,3 +83,30 @@ def test_one_day_again(spark, rows, made):
     daily = read_path(spark, made)
     assert [r.g for r in daily.where("day = '2024-01-03'").collect()] == ["z"]
     assert daily.where("g = 'c'").count() == 9
+
+
+START = datetime.datetime(2024, 1, 1)
+EVENTS = [(i, START + datetime.timedelta(days=i % 30), i % 7, "both", float(i % 11)) for i in range(90)]
+
+
+def told_apart(spark, tmp_path, key, events):
+    """How a query over ``events`` differs from its SQL; ``None``: it does not."""
+    df = spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    made = tmp_path / "made"
+    df.coalesce(1).write.parquet(str(made))
+    (tmp_path / "lake").mkdir()
+    (tmp_path / "lake" / "events.parquet").write_bytes(next(made.glob("*.parquet")).read_bytes())
+    with connect(str(tmp_path / "lake")) as con:
+        return difference(run(key, spark, str(tmp_path / "lake")), con, QUERIES[key].oracle)
+
+
+@pytest.mark.parametrize("at, kind", [(0, "old"), (29, "new"), (0, None), (29, None), (None, "untimed"), (None, "both"), (29, "(any)")])
+def test_types_of_one_time_are_counted(spark, tmp_path, at, kind):
+    """Types with early or late events alone, without a name, and events without a time."""
+    ts = None if at is None else START + datetime.timedelta(days=at)
+    events = [*EVENTS, (900, ts, 98, kind, 77.0), (901, ts, 99, kind, None)]
+    assert told_apart(spark, tmp_path, "distinct_by_sketch", events) is None
+
+
+def test_no_events_to_sketch(spark, tmp_path):
+    assert told_apart(spark, tmp_path, "distinct_by_sketch", []) is None
