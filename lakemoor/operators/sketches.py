@@ -73,11 +73,16 @@ def without(sketch: Column, other: Column) -> Column:
     return F.theta_difference(sketch, other)
 
 
+def ranked_rows(sketch: Column) -> Column:
+    """The number of rows that a KLL sketch has seen."""
+    return F.kll_sketch_get_n_double(sketch)
+
+
 def quantile_estimate(sketch: Column, share: float) -> Column:
-    """The least value kept that has at least ``share`` of the rows at or below it."""
-    return F.kll_sketch_get_quantile_double(sketch, F.lit(float(share)))
+    """The least value kept that has at least ``share`` of the rows at or below it; null without rows."""
+    return F.when(ranked_rows(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(float(share))))
 
 
 def rank_estimate(sketch: Column, value: float) -> Column:
-    """The estimated share of the rows at or below ``value``."""
-    return F.kll_sketch_get_rank_double(sketch, F.lit(float(value)))
+    """The estimated share of the rows at or below ``value``; null without rows."""
+    return F.when(ranked_rows(sketch) > 0, F.kll_sketch_get_rank_double(sketch, F.lit(float(value))))

@@ -12,6 +12,7 @@ from lakemoor.operators.sketches import (
     merged,
     quantile_estimate,
     rank_estimate,
+    ranked_rows,
     without,
     write_sketches,
 )
@@ -238,6 +239,7 @@ _SHARES = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
 )
 def quantiles_by_sketch(at: Mounted) -> DataFrame:
     # Estimates from merged daily sketches, exact while a merged sketch holds all values (up to RANKED of them).
-    found = merged(_event_sketches(at), ["event_type"])
+    # A type whose values are all null has no quantiles, and no row.
+    found = merged(_event_sketches(at), ["event_type"]).where(ranked_rows(F.col("value_kll")) > 0)
     shares = [quantile_estimate(F.col("value_kll"), share).alias(name) for name, share in _SHARES.items()]
     return found.select("event_type", *shares, F.round(rank_estimate(F.col("value_kll"), 50), 6).alias("to_50"))

@@ -110,3 +110,20 @@ def test_types_of_one_time_are_counted(spark, tmp_path, at, kind):
 
 def test_no_events_to_sketch(spark, tmp_path):
     assert told_apart(spark, tmp_path, "distinct_by_sketch", []) is None
+
+
+def test_types_without_values_have_no_quantiles(spark, tmp_path):
+    """Days and types with nulls alone, and a type that has no name."""
+    odd = [(900, START, 1, "nulls", None), (901, START + datetime.timedelta(days=29), 2, "nulls", None)]
+    odd += [(902, None, 3, "some", None), (903, START, 3, "some", None), (904, None, 3, "some", 4.0), (905, START, 3, None, 5.0)]
+    assert told_apart(spark, tmp_path, "quantiles_by_sketch", EVENTS + odd) is None
+
+
+def test_no_events_to_rank(spark, tmp_path):
+    assert told_apart(spark, tmp_path, "quantiles_by_sketch", []) is None
+
+
+def test_quantiles_of_an_empty_sketch_are_null(spark, made):
+    found = sk.merged(read_path(spark, made).select("g", "v_kll"), ["g"]).where("g = 'e'")
+    row = found.select(sk.ranked_rows(F.col("v_kll")), sk.quantile_estimate(F.col("v_kll"), 0.5), sk.rank_estimate(F.col("v_kll"), 1.0)).first()
+    assert tuple(row) == (0, None, None)
